@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.llm.encoding import TOKENIZERS, encode_texts
+from strandmill.llm.leakage import leaks
 from strandmill.llm.lookalike import twins_by_id, twins_by_name, twins_within, with_skeleton
 from strandmill.llm.matching import Columns, match
 from strandmill.plans.registry import Registry, load
@@ -49,3 +53,24 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(load(spark, sf, "chains").select(F.lit("chains").alias("tbl"), F.col("microbe_name").alias("name")))
     )
     return with_skeleton(names.where("name is not null").groupBy("tbl", "name").agg(F.count(F.lit(1)).alias("n_rows")), "name", "form")
+
+
+@REG.query()
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(load(spark, sf, "documents"), "doc_id", "text", os.path.join(os.environ.get("STRANDMILL_TOKENIZERS", TOKENIZERS), "byte_bpe_50k.tiktoken"))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+@REG.query()
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)
+
+
+@REG.query()
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item that leaked, with the number of documents that reveal it."""
+    counts = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return load(spark, sf, "eval_items").select("item_id", "lang", "split", "task").join(counts, "item_id")
