@@ -11,6 +11,7 @@ from strandmill.llm.encoding import TOKENIZERS, encode_texts
 from strandmill.llm.leakage import leaks
 from strandmill.llm.lookalike import twins_by_id, twins_by_name, twins_within, with_skeleton
 from strandmill.llm.matching import Columns, match
+from strandmill.llm.sentences import split_sentences
 from strandmill.plans.registry import Registry, load
 
 REG = Registry()
@@ -74,3 +75,8 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     """Each item that leaked, with the number of documents that reveal it."""
     counts = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
     return load(spark, sf, "eval_items").select("item_id", "lang", "split", "task").join(counts, "item_id")
+
+
+@REG.query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return split_sentences(load(spark, sf, "documents"), "doc_id", "text")
