@@ -65,6 +65,17 @@ def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list[str]:
     return sorted(r.k for r in rows)
 
 
+def hot_fields(df: DataFrame, keys: Mapping[str, Column], share: float = HOT_SHARE) -> dict[str, list[str]]:
+    """The hot values of several key expressions, counted in one pass: at most 1 / share of each."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("f"), v.cast("string").alias("k")) for k, v in keys.items()])
+    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.f", "p.k").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.where(F.col("f") == next(iter(keys))).agg(F.sum("n").alias("t"))
+    out: dict[str, list[str]] = {k: [] for k in keys}
+    for r in counts.where("k is not null").crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.col("t") * F.lit(share), F.lit(2))).select("f", "k").collect():
+        out[r.f].append(r.k)
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: str, how: str, spread: Column, salts: int = 16, share: float = HOT_SHARE, hot: list[str] | None = None, hint: str | None = "merge") -> DataFrame:
     """Equi-join of two tables on one text column, whose hot keys on the left are spread over ``salts`` tasks.
 
