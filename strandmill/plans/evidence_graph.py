@@ -1,3 +1,265 @@
+"""Graph metrics and their null models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.functions import stats
+from strandmill.operators import graph as gr
+from strandmill.operators import nullmodel as nm
+from strandmill.operators import votes as vo
+from strandmill.plans import adapter as ad
+from strandmill.plans import evidence_scoring as es
+from strandmill.plans import evidence_tables as et
+from strandmill.plans.adapter import sql
 from strandmill.plans.registry import Registry
+from strandmill.session import settle
 
 REG = Registry()
+Spark = SparkSession
+SEED = 20261105
+N_PERM = 200
+_NUM = r"TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT)"
+
+_ADJ = """adj AS (SELECT subject AS a, object AS b FROM edges WHERE subject IS NOT NULL AND object IS NOT NULL AND subject <> object UNION SELECT object, subject FROM edges WHERE subject IS NOT NULL AND object IS NOT NULL AND subject <> object),
+ deg AS (SELECT n.id, category, count(b) AS degree FROM nodes n LEFT JOIN adj ON adj.a = n.id GROUP BY 1, 2)"""
+
+
+def _adj(spark: Spark, sf: str) -> DataFrame:
+    return settle(gr.adjacency(ad.edges(spark, sf)), "adj")
+
+
+def _degrees(spark: Spark, sf: str, adj: DataFrame | None = None) -> DataFrame:
+    return gr.degrees(ad.nodes(spark, sf), adj if adj is not None else gr.adjacency(ad.edges(spark, sf)))
+
+
+@REG.query(oracle=sql(_ADJ + " SELECT id, category, degree, round(degree / greatest((SELECT count(*) FROM nodes) - 1, 1), 6) AS centrality FROM deg", "nodes", "edges"))
+def degree(spark: Spark, sf: str) -> DataFrame:
+    return _degrees(spark, sf)
+
+
+# the fold with its reset: one recursive step per different degree
+_BINS = """, hist AS (SELECT {k} AS k, degree, count(*) AS n, row_number() OVER (PARTITION BY {k} ORDER BY degree) AS i FROM deg GROUP BY {k}, degree),
+ fold AS (SELECT k, i, degree, 0 AS bin, CASE WHEN n >= 5 THEN 1 ELSE 0 END AS next, CASE WHEN n >= 5 THEN 0 ELSE n END AS cnt FROM hist WHERE i = 1
+   UNION ALL SELECT h.k, h.i, h.degree, f.next, f.next + CASE WHEN f.cnt + h.n >= 5 THEN 1 ELSE 0 END, CASE WHEN f.cnt + h.n >= 5 THEN 0 ELSE f.cnt + h.n END FROM fold f JOIN hist h ON h.k = f.k AND h.i = f.i + 1),
+ bins AS (SELECT k, degree, least(bin, greatest(max(next) OVER (PARTITION BY k) - 1, 0)) AS bin FROM fold)"""
+
+
+@REG.query(oracle=sql(_ADJ + _BINS.format(k="category") + " SELECT k AS category, degree, bin FROM bins", "nodes", "edges", recursive=True))
+def degree_bins(spark: Spark, sf: str) -> DataFrame:
+    return gr.degree_bins(_degrees(spark, sf), "category")
+
+
+@REG.query(oracle=sql(_ADJ + _BINS.format(k="'all'") + " SELECT b.bin, count(*) AS members, min(d.degree) AS low, max(d.degree) AS high, count(DISTINCT category) AS categories FROM deg d JOIN bins b ON b.degree = d.degree GROUP BY b.bin", "nodes", "edges", recursive=True))
+def degree_bin_profile(spark: Spark, sf: str) -> DataFrame:
+    """All nodes binned together, as the random chains need it."""
+    d = _degrees(spark, sf)
+    return d.join(F.broadcast(gr.degree_bins(d)), "degree").groupBy("bin").agg(F.count(F.lit(1)).alias("members"), F.min("degree").alias("low"), F.max("degree").alias("high"), F.countDistinct("category").alias("categories"))
+
+
+# reachability by repeated squaring is too slow as plain SQL at this size; a bounded walk by labels is enough for the data's diameter
+_CC = """, lab0 AS (SELECT id, id AS l FROM nodes), """ + ", ".join(f"lab{i} AS (SELECT x.id, least(x.l, coalesce(min(y.l), x.l)) AS l FROM lab{i - 1} x LEFT JOIN adj ON adj.a = x.id LEFT JOIN lab{i - 1} y ON y.id = adj.b GROUP BY x.id, x.l)" for i in range(1, 13))
+
+
+def _components(spark: Spark, sf: str) -> DataFrame:
+    return gr.components(ad.nodes(spark, sf), _adj(spark, sf))
+
+
+@REG.query(oracle=sql(_ADJ + _CC + " SELECT id, l AS component FROM lab12", "nodes", "edges"))
+def components(spark: Spark, sf: str) -> DataFrame:
+    return _components(spark, sf)
+
+
+def _sets(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Diseases with a small number and metabolites whose number is a multiple of 40, among the nodes with a neighbour."""
+    n = _degrees(spark, sf).where("degree > 0").withColumn("num", F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint"))
+    return n.where((F.col("category") == "Disease") & (F.col("num") % 3 == 0)).select("id"), n.where((F.col("category") == "Metabolite") & (F.col("num") % 40 == 0)).select("id")
+
+
+_SETS = f", sa AS (SELECT id FROM deg WHERE degree > 0 AND category = 'Disease' AND {_NUM} % 3 = 0), sb AS (SELECT id FROM deg WHERE degree > 0 AND category = 'Metabolite' AND {_NUM} % 40 = 0)"
+
+
+@REG.query(
+    oracle=sql(
+        _ADJ + _CC + _SETS + """, sz AS (SELECT l, count(*) AS n FROM lab12 GROUP BY l)
+SELECT count(*) AS components, max(n) AS largest, sum(n)::BIGINT AS nodes, round(max(n) / sum(n), 6) AS lcc_share, (SELECT round(avg((id NOT IN (SELECT id FROM nodes))::INT), 6) FROM sa) AS seeds_missing, (SELECT round(avg((id NOT IN (SELECT id FROM nodes))::INT), 6) FROM sb) AS targets_missing, max(n) / sum(n) >= 0.8 AS passed FROM sz""",
+        "nodes",
+        "edges",
+    )
+)
+def lcc_gate(spark: Spark, sf: str) -> DataFrame:
+    a, b = _sets(spark, sf)
+    return gr.lcc_gate(_components(spark, sf), a, b)
+
+
+# levels of the searches, from each of the two sets
+_LEVELS = lambda n, s: f", {n}0 AS (SELECT id AS src, id AS node, 0 AS dist FROM {s})" + "".join(f", {n}{i} AS (SELECT src, node, min(dist) AS dist FROM (SELECT * FROM {n}{i - 1} UNION ALL SELECT src, b, dist + 1 FROM {n}{i - 1} JOIN adj ON a = node WHERE dist = {i - 1}) GROUP BY 1, 2)" for i in range(1, 13))
+
+
+@REG.query(oracle=sql(_ADJ + _SETS + _LEVELS("d", "sa") + " SELECT src, node, dist FROM d12", "nodes", "edges"))
+def bfs_distances(spark: Spark, sf: str) -> DataFrame:
+    return gr.distances(_adj(spark, sf), _sets(spark, sf)[0])
+
+
+@REG.query(oracle=sql(_ADJ + _SETS + _LEVELS("d", "sa") + ", pd AS (SELECT sa.id AS src, sb.id AS node FROM sa, sb) SELECT dist, count(*) AS n FROM pd LEFT JOIN d12 USING (src, node) GROUP BY dist", "nodes", "edges"))
+def distance_tally(spark: Spark, sf: str) -> DataFrame:
+    a, b = _sets(spark, sf)
+    pairs = a.select(F.col("id").alias("src")).crossJoin(F.broadcast(b.select(F.col("id").alias("node"))))  # two named sets
+    return gr.distance_tally(pairs, gr.distances(_adj(spark, sf), a))
+
+
+_METRICS = """, pd AS (SELECT sa.id AS src, sb.id AS node, dist FROM sa CROSS JOIN sb LEFT JOIN d12 ON d12.src = sa.id AND d12.node = sb.id),
+ pa AS (SELECT src, min(dist) AS m FROM pd GROUP BY 1), pb AS (SELECT node, min(dist) AS m FROM pd GROUP BY 1),
+ ia AS (SELECT x.id AS s, dist FROM sa x JOIN sa y ON x.id <> y.id LEFT JOIN d12 ON src = x.id AND node = y.id), ib AS (SELECT x.id AS s, dist FROM sb x JOIN sb y ON x.id <> y.id LEFT JOIN e12 ON src = x.id AND node = y.id),
+ mt AS (SELECT (SELECT CASE WHEN count(m) = count(*) THEN round(avg(m), 6) END FROM pa) AS closest, (SELECT CASE WHEN count(m) = count(*) THEN round(avg(m), 6) END FROM pb) AS target_mean, (SELECT CASE WHEN count(dist) = count(*) THEN round(avg(dist), 6) END FROM pd) AS all_pairs,
+  (SELECT round(avg((dist IS NULL)::INT), 6) FROM pd) AS unreachable, (SELECT CASE WHEN count(dist) = count(*) THEN (SELECT round(avg(m), 6) FROM (SELECT min(dist) AS m FROM ia GROUP BY s)) END FROM ia) AS inside_a,
+  (SELECT CASE WHEN count(dist) = count(*) THEN (SELECT round(avg(m), 6) FROM (SELECT min(dist) AS m FROM ib GROUP BY s)) END FROM ib) AS inside_b)"""
+
+
+@REG.query(oracle=sql(_ADJ + _SETS + _LEVELS("d", "sa") + _LEVELS("e", "sb") + _METRICS + " SELECT *, round(closest - (inside_a + inside_b) / 2, 6) AS separation FROM mt", "nodes", "edges"))
+def distance_metrics(spark: Spark, sf: str) -> DataFrame:
+    a, b = _sets(spark, sf)
+    adj = _adj(spark, sf)
+    return gr.distance_metrics(gr.distances(adj, a), a, b, gr.distances(adj, b))
+
+
+def _hash(*parts: str) -> str:
+    return f"('0x' || substr(sha256(concat_ws(':', '{SEED}', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+_POOL = lambda k: f", pool AS (SELECT id, d.category, bin, row_number() OVER (PARTITION BY d.category, bin ORDER BY id) AS pos, count(*) OVER (PARTITION BY d.category, bin) AS size FROM deg d JOIN bins ON bins.degree = d.degree AND bins.k = {k})"
+
+
+@REG.query(
+    oracle=sql(
+        _ADJ + _SETS + _LEVELS("n", "sb") + _BINS.format(k="category") + _POOL("d.category")
+        + f""", near AS (SELECT node, min(dist) AS dist FROM n12 GROUP BY node), slots AS (SELECT id, unnest(range(1, {N_PERM + 1})) AS perm FROM sa),
+ dr AS (SELECT s.perm, s.id, q.id AS draw FROM (SELECT s.*, p.category, p.bin, CASE WHEN size > 1 THEN {_hash('perm::VARCHAR', 's.id')} % (size - 1) + 1 + ({_hash('perm::VARCHAR', 's.id')} % (size - 1) + 1 >= pos)::INT END AS at_pos FROM slots s JOIN pool p ON p.id = s.id) s LEFT JOIN pool q ON q.category = s.category AND q.bin = s.bin AND q.pos = s.at_pos),
+ per AS (SELECT perm, CASE WHEN count(dist) = count(*) THEN avg(dist) END AS v FROM dr LEFT JOIN near ON near.node = dr.draw GROUP BY perm), ob AS (SELECT CASE WHEN count(dist) = count(*) THEN avg(dist) END AS o FROM sa LEFT JOIN near ON node = id)
+SELECT round(max(o), 6) AS observed, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, CASE WHEN stddev_pop(v) > 1e-12 THEN round((max(o) - avg(v)) / stddev_pop(v), 6) END AS z, round((coalesce(sum((v <= o + 1e-12)::INT), 0) + 1) / (count(v) + 1), 6) AS p, count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS unreachable FROM per, ob""",
+        "nodes",
+        "edges",
+        recursive=True,
+    )
+)
+def perm_null_closest(spark: Spark, sf: str) -> DataFrame:
+    """Degree-matched permutation null of the closest distance."""
+    a, b = _sets(spark, sf)
+    adj = _adj(spark, sf)
+    d = settle(_degrees(spark, sf, adj), "degrees")
+    pool = settle(gr.pools(d, gr.degree_bins(d, "category"), True), "pool")
+    return gr.permutation_null(a, gr.nearest(adj, b), pool, N_PERM, SEED)
+
+
+@REG.query(
+    oracle=sql(
+        es._SCORED + ", " + _ADJ + _CC + _SETS + _LEVELS("n", "sb")
+        + ", near AS (SELECT node, min(dist) AS dist FROM n12 GROUP BY node) SELECT chain_id, round(m.degree / greatest((SELECT count(*) FROM nodes) - 1, 1), 6) AS centrality, near.dist AS target_distance, coalesce(x.l = y.l, false)::INT AS same_component FROM sc LEFT JOIN deg m ON m.id = sc.microbe_id LEFT JOIN near ON near.node = sc.metabolite_id LEFT JOIN lab12 x ON x.id = sc.microbe_id LEFT JOIN lab12 y ON y.id = sc.metabolite_id",
+        "nodes",
+        "edges",
+        "chs",
+    )
+)
+def structure_scores(spark: Spark, sf: str) -> DataFrame:
+    adj = _adj(spark, sf)
+    return gr.structure_scores(es.scored_chains(spark, sf), _degrees(spark, sf, adj), gr.components(ad.nodes(spark, sf), adj), gr.nearest(adj, _sets(spark, sf)[1]))
+
+
+def _shuffled(spark: Spark, sf: str, columns: list[str], where: str) -> tuple[DataFrame, DataFrame]:
+    c = settle(es.scored_chains(spark, sf).where(where).select("chain_id", "microbe_id", "metabolite_id", "gene_id", "gene_name"), "real")
+    return c, settle(nm.permute(c, "chain_id", columns, SEED), "shuffled")
+
+
+def _perm_sql(columns: tuple[str, ...], where: str) -> str:
+    cols = ", ".join(f"b.{c}" for c in columns)
+    return f"src AS (SELECT * FROM sc WHERE {where}), pl AS (SELECT * EXCLUDE ({', '.join(columns)}), row_number() OVER (ORDER BY chain_id) AS pos FROM src), dn AS (SELECT {', '.join(columns)}, row_number() OVER (ORDER BY {_hash('chain_id')}, chain_id) AS pos FROM src), shf AS (SELECT pl.*, {cols} FROM pl JOIN dn b USING (pos))"
+
+
+@REG.query(oracle=sql(es._SCORED + ", " + _perm_sql(("gene_id", "gene_name"), "gene_id IS NOT NULL") + " SELECT chain_id, metabolite_id, gene_id, gene_name FROM shf", "chs"))
+def gene_shuffle(spark: Spark, sf: str) -> DataFrame:
+    """Gene id and name permuted together among the rows that have a gene."""
+    return _shuffled(spark, sf, ["gene_id", "gene_name"], "gene_id is not null")[1].select("chain_id", "metabolite_id", "gene_id", "gene_name")
+
+
+def _evidence(spark: Spark, sf: str, chains: DataFrame, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    none = spark.createDataFrame([], "microbe_id string, n long")
+    c = chains.withColumn("hop1_edge_id", F.lit(None).cast("string")).withColumn("pathway", F.lit(None).cast("string"))
+    return vo.evidence_vote(c, *counts, none)
+
+
+_V3S = lambda t, n: f"{n} AS (SELECT chain_id, coalesce(m.n, 0) + coalesce(b.n, 0) + coalesce(g.n, 0) AS n FROM {t} LEFT JOIN bn m ON m.node = {t}.microbe_id LEFT JOIN bn b ON b.node = {t}.metabolite_id LEFT JOIN bk g ON g.key = lower(trim({t}.gene_name)))"
+_BOTH = (
+    et._BUCKETS + ", " + es._SCORED + ", " + es._V3.split(" b2 AS")[0].rstrip().rstrip(",") + ", " + _perm_sql(("metabolite_id",), "true") + ", " + _V3S("src", "real_n") + ", " + _V3S("shf", "null_n")
+    + ", df AS (SELECT r.chain_id, r.n AS x, s.n AS y, r.n - s.n AS d FROM real_n r JOIN null_n s USING (chain_id))"
+)
+
+
+def _differences(spark: Spark, sf: str) -> DataFrame:
+    """Counted evidence of every chain and of its copy with a permuted metabolite."""
+    real, null = _shuffled(spark, sf, ["metabolite_id"], "true")
+    counts = tuple(settle(x, "counts") for x in vo.record_counts(et._buckets(spark, sf), "metabolite", "gene"))
+    a = _evidence(spark, sf, real, counts).select("chain_id", F.col("n_first").alias("x"))
+    b = _evidence(spark, sf, null, counts).select("chain_id", F.col("n_first").alias("y"))
+    return a.join(b, "chain_id").withColumn("d", F.col("x") - F.col("y"))
+
+
+@REG.query(oracle=sql(_BOTH + " SELECT chain_id, x, y, d FROM df", "names", "edges", "chs", "curated"))
+def metabolite_shuffle(spark: Spark, sf: str) -> DataFrame:
+    """Counted evidence before and after the metabolites are permuted over all rows."""
+    return _differences(spark, sf)
+
+
+@REG.query(
+    oracle=sql(
+        _BOTH + """, h AS (SELECT abs(d) AS a, count(*) AS t, sum((d > 0)::INT) AS up FROM df WHERE d <> 0 GROUP BY 1), rk AS (SELECT *, coalesce(sum(t) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS r FROM h),
+ s AS (SELECT coalesce(sum(t), 0)::BIGINT AS n, coalesce(sum(r * up), 0)::DOUBLE AS w_plus, coalesce(sum(r * (t - up)), 0)::DOUBLE AS w_minus, coalesce(sum(t * t * t - t), 0)::BIGINT AS tie FROM rk)
+SELECT n, w_plus, w_minus, tie, round(CASE WHEN n > 0 AND n * (n + 1.0) * (2 * n + 1) / 24 - tie / 48 > 0 THEN (w_plus - n * (n + 1.0) / 4 - CASE WHEN w_plus - n * (n + 1.0) / 4 < 0 THEN -0.5 ELSE 0.5 END) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - tie / 48) ELSE 0 END, 6) AS z, round(CASE WHEN n > 0 AND n * (n + 1.0) * (2 * n + 1) / 24 - tie / 48 > 0 THEN (w_plus - w_minus) / (n * (n + 1.0) / 2) ELSE 0 END, 6) AS r FROM s""",
+        "names",
+        "edges",
+        "chs",
+        "curated",
+    )
+)
+def wilcoxon(spark: Spark, sf: str) -> DataFrame:
+    """Signed-rank test of the evidence of real against permuted chains."""
+    return stats.wilcoxon(_differences(spark, sf))
+
+
+@REG.query(oracle=sql(_BOTH + " SELECT count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(x - y), 6) AS mean_diff, round(median(x - y), 6) AS median_diff, CASE WHEN var_pop(x) > 0 THEN round(var_pop(y) / var_pop(x), 6) END AS variance_ratio FROM df", "names", "edges", "chs", "curated"))
+def paired_stats(spark: Spark, sf: str) -> DataFrame:
+    return stats.paired_stats(_differences(spark, sf), "x", "y")
+
+
+@REG.query(oracle=sql(_BOTH + ", pa AS (SELECT x AS v, count(*) / sum(count(*)) OVER () AS p FROM df GROUP BY x), pb AS (SELECT y AS v, count(*) / sum(count(*)) OVER () AS p FROM df GROUP BY y) SELECT round(sum(least(coalesce(pa.p, 0), coalesce(pb.p, 0))), 6) AS ovl FROM pa FULL JOIN pb ON pa.v = pb.v", "names", "edges", "chs", "curated"))
+def overlap_coefficient(spark: Spark, sf: str) -> DataFrame:
+    d = settle(_differences(spark, sf), "diff")
+    return stats.overlap_coefficient(d.select(F.col("x").alias("v")), d.select(F.col("y").alias("v")), "v")
+
+
+_SLOTS = ("microbe_id", "metabolite_id", "gene_id", "pathway")
+_RANDOM = (
+    es._SCORED + ", " + _ADJ + _BINS.format(k="'all'") + _POOL("'all'")
+    + f""", sl AS (SELECT chain_id, 'microbe_id' AS slot, microbe_id AS id FROM sc UNION ALL SELECT chain_id, 'metabolite_id', metabolite_id FROM sc UNION ALL SELECT chain_id, 'gene_id', gene_id FROM sc UNION ALL SELECT chain_id, 'pathway', pathway FROM sc),
+ pk AS (SELECT s.chain_id, s.slot, p.category, p.bin, CASE WHEN size > 1 THEN {_hash('chain_id', 'slot')} % (size - 1) + 1 + ({_hash('chain_id', 'slot')} % (size - 1) + 1 >= pos)::INT END AS at_pos FROM (SELECT * FROM sl WHERE id IS NOT NULL) s LEFT JOIN pool p ON p.id = s.id),
+ dr AS (SELECT chain_id, slot, q.id AS draw FROM pk LEFT JOIN pool q ON q.category = pk.category AND q.bin = pk.bin AND q.pos = pk.at_pos),
+ rnd AS (SELECT chain_id, max((draw IS NULL)::INT) AS skipped, """
+    + ", ".join(f"max(draw) FILTER (WHERE slot = '{s}') AS {s}" for s in _SLOTS)
+    + " FROM dr GROUP BY chain_id)"
+)
+
+
+def _random(spark: Spark, sf: str) -> DataFrame:
+    d = settle(_degrees(spark, sf), "degrees")
+    pool = settle(gr.pools(d, gr.degree_bins(d), False), "pool")
+    return nm.random_chains(es.scored_chains(spark, sf), pool, SEED, _SLOTS)
+
+
+@REG.query(oracle=sql(_RANDOM + " SELECT chain_id, skipped, " + ", ".join(f"CASE WHEN skipped = 0 THEN {s} END AS {s}" for s in _SLOTS) + " FROM rnd", "nodes", "edges", "chs", recursive=True))
+def degree_matched_chains(spark: Spark, sf: str) -> DataFrame:
+    return _random(spark, sf)
+
+
+@REG.query(oracle=sql(_RANDOM + ", kept AS (SELECT unnest([" + ", ".join(_SLOTS) + "]) AS id FROM rnd WHERE skipped = 0) SELECT (SELECT count(*) FROM rnd) AS n_chains, (SELECT sum(skipped)::BIGINT FROM rnd) AS n_skipped, count(id) AS n_draws, count(DISTINCT id) AS n_nodes, count(id) - count(DISTINCT id) AS n_duplicate_draws FROM kept", "nodes", "edges", "chs", recursive=True))
+def degree_matched_report(spark: Spark, sf: str) -> DataFrame:
+    return nm.draw_report(settle(_random(spark, sf), "draws"), _SLOTS)

@@ -58,7 +58,7 @@ def bridge(spark: Spark, sf: str) -> DataFrame:
     """A stand-in bridge: taxa are put onto the features by number; a third of them has a second, genus-level row."""
     kinds = load(spark, sf, "events").select(F.col("event_type").alias("feature")).distinct()
     ordered = kinds.agg(F.array_sort(F.collect_set("feature")).alias("fs"))  # five kinds
-    t = scored_chains(spark, sf).select("taxid").distinct().withColumn("n", F.col("taxid").cast("bigint")).crossJoin(F.broadcast(ordered))
+    t = scored_chains(spark, sf).select("taxid").distinct().withColumn("n", F.col("taxid").try_cast("bigint")).crossJoin(F.broadcast(ordered))
     one = t.select(F.explode(F.array(F.lit("H1"), F.lit("H2"))).alias("source"), "taxid", F.when(F.col("n") % 2 == 0, "species").otherwise("genus").alias("rank_token"), (F.col("n") % 8).alias("i"), "fs")
     two = t.where("n % 3 = 0").select(F.explode(F.array(F.lit("H1"), F.lit("H2"))).alias("source"), "taxid", F.lit("genus").alias("rank_token"), ((F.col("n") + 1) % 8).alias("i"), "fs")
     return one.unionByName(two).where(F.col("i") < F.size("fs")).select("source", "taxid", "rank_token", F.get("fs", F.col("i").cast("int")).alias("feature"))
@@ -83,7 +83,7 @@ _PRESENCE = (
     + ", "
     + _MATRIX
     + """, fs AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS i FROM (SELECT DISTINCT event_type AS feature FROM events)),
- taxa AS (SELECT DISTINCT taxid, taxid::BIGINT AS n FROM sc), co AS (SELECT unnest(['H1', 'H2']) AS cohort),
+ taxa AS (SELECT DISTINCT taxid, TRY_CAST(taxid AS BIGINT) AS n FROM sc), co AS (SELECT unnest(['H1', 'H2']) AS cohort),
  br AS (SELECT cohort, taxid, CASE WHEN n % 2 = 0 THEN 'species' ELSE 'genus' END AS rank_token, feature FROM taxa, co, fs WHERE i = n % 8 UNION ALL SELECT cohort, taxid, 'genus', feature FROM taxa, co, fs WHERE i = (n + 1) % 8 AND n % 3 = 0),
  pick AS (SELECT * FROM br QUALIFY row_number() OVER (PARTITION BY cohort, taxid ORDER BY CASE rank_token WHEN 'species' THEN 0 ELSE 1 END, feature) = 1),
  pres AS (SELECT t.taxid, co.cohort, CASE WHEN p.feature IS NULL OR s.detections IS NULL THEN 'not_bridged' WHEN s.detections > 0 THEN 'present' ELSE 'absent' END AS status, s.median, s.detection_rate FROM taxa t CROSS JOIN co LEFT JOIN pick p ON p.taxid = t.taxid AND p.cohort = co.cohort LEFT JOIN fstat s ON s.cohort = co.cohort AND s.feature = p.feature)"""
@@ -112,7 +112,7 @@ def entities(spark: Spark, sf: str) -> DataFrame:
 
 def _potential(spark: Spark, sf: str) -> DataFrame:
     e = entities(spark, sf)
-    n = F.col("chebi").cast("bigint")
+    n = F.col("chebi").try_cast("bigint")
     mapping = e.select(F.explode("chebi").alias("chebi")).distinct().where(n % 3 != 0).select("chebi", F.concat(F.lit("K"), n % 23).alias("ko"))
     return co.potential(e, mapping, ko_matrix(spark, sf), COHORTS)
 
@@ -144,7 +144,7 @@ def sample_reconciliation(spark: Spark, sf: str) -> DataFrame:
 
 
 def _number(c: str) -> F.Column:
-    return F.regexp_extract(c, "([0-9]+)$", 1).cast("bigint")
+    return F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint")
 
 
 def _vote1(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) -> DataFrame:
@@ -152,11 +152,11 @@ def _vote1(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) ->
     c = b.chains
     n = ad.nodes(spark, sf).where("category = 'Species'")
     none = F.lit(not empty)
-    return vo.external_vote(c, c.select("taxid").where((F.col("taxid").cast("bigint") % 50 == 0) & none), n.select("name").where((_number("id") % 61 == 0) & none), n.select(F.substring_index("name", " ", 1).alias("name")).where((_number("id") % 97 == 0) & none), b.hot)
+    return vo.external_vote(c, c.select("taxid").where((F.col("taxid").try_cast("bigint") % 50 == 0) & none), n.select("name").where((_number("id") % 61 == 0) & none), n.select(F.substring_index("name", " ", 1).alias("name")).where((_number("id") % 97 == 0) & none), b.hot)
 
 
-_V1 = _SCORED + r""", sp AS (SELECT name, regexp_extract(id, '([0-9]+)$', 1)::BIGINT AS n FROM nodes WHERE category = 'Species'),
- v1 AS (SELECT chain_id, max((taxid::BIGINT % 50 = 0 OR lower(microbe_name) IN (SELECT lower(name) FROM sp WHERE n % 61 = 0) OR (contains(microbe_name, ' ') AND EXISTS (SELECT 1 FROM sp WHERE n % 97 = 0 AND starts_with(lower(microbe_name), lower(split_part(name, ' ', 1)) || ' '))))::INT) AS vote1 FROM
+_V1 = _SCORED + r""", sp AS (SELECT name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM nodes WHERE category = 'Species'),
+ v1 AS (SELECT chain_id, max((TRY_CAST(taxid AS BIGINT) % 50 = 0 OR lower(microbe_name) IN (SELECT lower(name) FROM sp WHERE n % 61 = 0) OR (contains(microbe_name, ' ') AND EXISTS (SELECT 1 FROM sp WHERE n % 97 = 0 AND starts_with(lower(microbe_name), lower(split_part(name, ' ', 1)) || ' '))))::INT) AS vote1 FROM
    (SELECT s.chain_id, m.microbe_name, s.taxid FROM sc s LEFT JOIN (SELECT DISTINCT microbe_id, microbe_name FROM sc) m USING (microbe_id)) GROUP BY chain_id)"""
 
 
@@ -191,7 +191,7 @@ def _strain(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) -
     return vo.strain_available(b.chains, n.where(half).select(local_id(F.col("id")).alias("taxid")), n.where(~half).select("name"), b.hot)
 
 
-_V4 = r"""stn AS (SELECT id, name, regexp_extract(id, '([0-9]+)$', 1)::BIGINT AS n FROM nodes WHERE tax_rank = 'strain'),
+_V4 = r"""stn AS (SELECT id, name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM nodes WHERE tax_rank = 'strain'),
  st AS (SELECT chain_id, max((m.taxid IN (SELECT regexp_extract(id, '^[^:]*:(.*)$', 1) FROM stn WHERE n % 2 = 0) OR coalesce(lower(m.microbe_name) IN (SELECT lower(name) FROM stn WHERE n % 2 = 1), false))::INT) AS strain FROM sc s LEFT JOIN (SELECT DISTINCT microbe_id, microbe_name, taxid FROM sc) m USING (microbe_id) GROUP BY chain_id)"""
 
 

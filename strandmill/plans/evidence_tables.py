@@ -228,7 +228,7 @@ def bucket_counts(spark: Spark, sf: str) -> DataFrame:
 
 
 # polar pairs: few pairs of the data have both poles, so that taxa are brought together by genus number
-_POLAR = """polar AS (SELECT edge_id, 'T' || (regexp_extract(subject, '([0-9]+)$', 1)::BIGINT % 40) AS subject, predicate, object, pmids FROM edges WHERE predicate IN ('aggravates', 'alleviates', 'affects') AND subject IS NOT NULL AND object IS NOT NULL AND regexp_matches(subject, '[0-9]+$')),
+_POLAR = """polar AS (SELECT edge_id, 'T' || (TRY_CAST(regexp_extract(subject, '([0-9]+)$', 1) AS BIGINT) % 40) AS subject, predicate, object, pmids FROM edges WHERE predicate IN ('aggravates', 'alleviates', 'affects') AND subject IS NOT NULL AND object IS NOT NULL AND regexp_matches(subject, '[0-9]+$')),
  sides AS (SELECT subject, object, count(DISTINCT edge_id) FILTER (WHERE predicate = 'aggravates') AS ea, count(DISTINCT edge_id) FILTER (WHERE predicate = 'alleviates') AS el, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'aggravates')))) AS pa, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'alleviates')))) AS pl FROM polar GROUP BY 1, 2),
  ledger AS (SELECT subject, object, pa AS pmid_aggravates, pl AS pmid_alleviates, CASE WHEN pa > pl THEN 'aggravates' WHEN pa < pl THEN 'alleviates' ELSE 'unresolved_tie' END AS winner, CASE WHEN pa = pl THEN 'tie_both_neutral' ELSE 'loser_relabel' END AS action,
    CASE WHEN pa > pl THEN el WHEN pa < pl THEN ea ELSE ea + el END AS edges_relabeled FROM sides WHERE ea > 0 AND el > 0)"""
@@ -236,7 +236,7 @@ _POLAR = """polar AS (SELECT edge_id, 'T' || (regexp_extract(subject, '([0-9]+)$
 
 def _polar(spark: Spark, sf: str) -> DataFrame:
     e = ad.edges(spark, sf).where(F.col("predicate").isin("aggravates", "alleviates", "affects") & F.col("subject").rlike("[0-9]+$") & F.col("object").isNotNull())
-    return e.select("edge_id", F.concat(F.lit("T"), F.regexp_extract("subject", "([0-9]+)$", 1).cast("bigint") % 40).alias("subject"), "predicate", "object", "pmids")
+    return e.select("edge_id", F.concat(F.lit("T"), F.regexp_extract("subject", "([0-9]+)$", 1).try_cast("bigint") % 40).alias("subject"), "predicate", "object", "pmids")
 
 
 @REG.query(oracle=sql(_POLAR + " SELECT * FROM ledger", "edges"))
