@@ -3,9 +3,9 @@
 Units are words parted by white space, or single letters and digits for texts of a script without spaces; case, width
 and punctuation don't count. A passage is ``least`` consecutive units of an item with at most one in ``one_in``
 exchanged. The exchanged units leave runs of exact ones, so that a passage always holds a known number of seeds, runs of
-``seed`` exact units, on one diagonal; only diagonals with so many seeds are aligned, the one with the rarest seed
-first, by Smith and Waterman's method within the stretch that the item can cover. The alignment is accepted when it
-holds a passage.
+``seed`` exact units, on one diagonal; only diagonals with so many seeds go on, the one with the rarest seed first.
+Where the seeds extend to a passage, the stretch that the item can cover is aligned by Smith and Waterman's method; the
+score of the alignment is at least that of the shortest passage, and higher for copies that go on with edits.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ class Rule:
         """The seeds that every passage holds: n units, m of them exchanged, leave m + 1 runs and so n - m seed - (seed - 1) seeds at least."""
         return max(1, min(max(self.least, m * self.one_in) - m * self.seed - (self.seed - 1) for m in range(self.least)))
 
+    @property
+    def score(self) -> int:
+        """The least score of a passage's own alignment, a match counting 1 and an exchange -1."""
+        return min(max(self.least, m * self.one_in) - 2 * m for m in range(self.least))
+
 
 WORDS = Rule(12, 8, 4)
 LETTERS = Rule(24, 8, 5)
@@ -105,8 +110,8 @@ class Items:
         part = units[k : k + self.rule.seed]
         return part if isinstance(part, str) else tuple(part)
 
-    def found(self, text: str) -> list[int]:
-        """The items of which the text holds a passage."""
+    def found(self, text: str) -> list[tuple[int, int]]:
+        """The items of which the text holds a passage, each with the best score of its alignments."""
         if not self.items or (self.dense and not _HAS_SPACELESS(text)):
             return []
         units = self.units(text)
@@ -116,62 +121,34 @@ class Items:
                 for item, pos in at:
                     hits[item, k - pos].append(self.shared[s])
         likely = sorted((min(h), -len(h), item, shift) for (item, shift), h in hits.items() if len(h) >= self.needed)
-        out: set[int] = set()
+        out: dict[int, int] = {}
         for _, _, item, shift in likely:
-            if item not in out and self.extended(units, self.items[item], shift) and self.aligned(units, self.items[item], shift):
-                out.add(item)
-        return sorted(out)
+            if self.extended(units, self.items[item], shift):
+                score = self.score(units, self.items[item], shift)
+                if score >= self.rule.score:
+                    out[item] = max(score, out.get(item, 0))
+        return sorted(out.items())
 
     def extended(self, units: Sequence[str], item: Sequence[str], shift: int) -> bool:
-        """Whether the seeds extend to a passage without gaps on their own diagonal: what an alignment must contain to be accepted."""
+        """Whether the seeds extend to a passage on their own diagonal: the exact check."""
         a = max(0, -shift)
         return self.passage([int(x == y) for x, y in zip(units[a + shift : shift + len(item)], item[a:])])
 
-    def aligned(self, units: Sequence[str], item: Sequence[str], shift: int) -> bool:
-        """Smith-Waterman over the stretch of the text that the item covers at this shift; true if the alignment holds a passage."""
-        margin = 2
+    def score(self, units: Sequence[str], item: Sequence[str], shift: int, margin: int = 2) -> int:
+        """The best local alignment in a band about the diagonal: 1 for a match, -1 for an exchange, -2 for a gap."""
         start = max(0, shift - margin)
         part = units[start : shift + len(item) + margin]
-        # scores: match 1, exchange -1, gap -2, in a band about the diagonal
         width = 2 * margin + 1
-        rows: list[list[tuple[int, int]]] = []  # (score, from): 0 start, 1 diagonal, 2 skip a unit of the text, 3 of the item
-        top, at = 0, (-1, -1)
+        above, top = [0] * (width + 1), 0
         for i, u in enumerate(item):
-            row = []
+            row = [0] * (width + 1)  # the last cell stays 0, for the band's edge
             for b in range(width):
                 j = i + shift - start + b - margin
-                if not 0 <= j < len(part):
-                    row.append((0, 0))
-                    continue
-                above = rows[i - 1] if i else None
-                best = (0, 0)
-                d = (above[b][0] if above else 0) + (1 if part[j] == u else -1)
-                if d > best[0]:
-                    best = (d, 1)
-                if b and row[b - 1][0] - 2 > best[0]:
-                    best = (row[b - 1][0] - 2, 2)
-                if above and b + 1 < width and above[b + 1][0] - 2 > best[0]:
-                    best = (above[b + 1][0] - 2, 3)
-                row.append(best)
-                if best[0] > top:
-                    top, at = best[0], (i, b)
-            rows.append(row)
-        # the columns of the best alignment, from its end: matched, exchanged, or a gap
-        columns: list[int] = []
-        i, b = at
-        while i >= 0 and 0 <= b < width and rows[i][b][1]:
-            score, how = rows[i][b]
-            j = i + shift - start + b - margin
-            if how == 1:
-                columns.append(int(part[j] == item[i]))
-                i -= 1
-            elif how == 2:
-                columns.append(-1)
-                b -= 1
-            else:
-                columns.append(-1)
-                i, b = i - 1, b + 1
-        return self.passage(columns)
+                if 0 <= j < len(part):
+                    row[b] = max(0, above[b] + (1 if part[j] == u else -1), row[b - 1] - 2 if b else 0, above[b + 1] - 2)
+            top = max(top, *row)
+            above = row
+        return top
 
     def passage(self, columns: list[int]) -> bool:
         """Whether some stretch without gaps is long enough and has at most one exchanged unit in ``one_in``; it starts with an exact unit, as its best part does."""
@@ -193,7 +170,7 @@ class Items:
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, block: int = BLOCK) -> DataFrame:
-    """``doc_id, item_id``: each document with each item of which it holds a passage.
+    """``doc_id, item_id, score``: each document with each item of which it holds a passage, and the alignment's score.
 
     ``items`` is a set of queries, compared with all documents in blocks of ``block`` items; each block is broadcast, the
     corpus is never shuffled. Null, empty and short texts hold nothing; repeated rows give one row; very long texts are
@@ -212,9 +189,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                    rows += [(doc, item) for item in spaced.found(text) + dense.found(text)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+                    rows += [(doc, item, score) for item, score in spaced.found(text) + dense.found(text)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score"])
 
-        found = docs.mapInPandas(scan, "doc_id bigint, item_id bigint")
+        found = docs.mapInPandas(scan, "doc_id bigint, item_id bigint, score int")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
