@@ -12,11 +12,12 @@ ZETA2 = 1.644934  # fixed value: the limit of the sum of 1 / i^2, as published w
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     """``struct(low, high)`` of a proportion's interval, six digits; nulls for n = 0."""
+    n = F.nullif(n, F.lit(0))
     p = hits / n
     denominator = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / denominator
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / denominator
-    return F.struct(F.when(n > 0, F.round(centre - half, 6)).alias("low"), F.when(n > 0, F.round(centre + half, 6)).alias("high"))
+    return F.struct(F.round(centre - half, 6).alias("low"), F.round(centre + half, 6).alias("high"))
 
 
 def saturating(n: Column, full: int = 3) -> Column:

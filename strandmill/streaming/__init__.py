@@ -1 +1,5 @@
-"""See the README for what lives in this subpackage."""
+"""Incremental intake of assertions."""
+
+from strandmill.streaming.intake import intake, merge_batch
+
+__all__ = ["intake", "merge_batch"]
