@@ -14,7 +14,7 @@ from strandmill.gates import GateError, require_columns
 
 def tsv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
     """A tab-separated file with a header: every column text, empty cells kept as empty text, no quoting."""
-    df = spark.read.options(sep="\t", header=True, quote="", emptyValue="", nullValue="\u0000").csv(path)
+    df = spark.read.options(sep="\t", header=True, quote="").csv(path).na.fill("")
     return require_columns(df, required, path)
 
 
