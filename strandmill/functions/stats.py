@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.operators.ranking import running
+
 ZETA2 = 1.644934  # fixed value: the limit of the sum of 1 / i^2, as published with the score
 
 
@@ -35,12 +37,11 @@ def harmonic_score(*counts: Column, full: int = 3) -> Column:
 def wilcoxon(differences: DataFrame, d: str = "d") -> DataFrame:
     """One row of the paired signed-rank test by its normal approximation: n, w_plus, w_minus, tie, z, r.
 
-    Zeros and nulls are dropped; ties get middle ranks. The ranks come from a histogram of |d|, whose running sum is
-    over distinct values only. No difference at all, or no variance, gives z = 0 and r = 0.
+    Zeros and nulls are dropped; ties get middle ranks. The ranks come from a histogram of |d| and its running sum,
+    which many tasks make. No difference at all, or no variance, gives z = 0 and r = 0.
     """
     h = differences.where(F.col(d).isNotNull() & (F.col(d) != 0)).groupBy(F.abs(d).alias("a")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(d) > 0).cast("long")).alias("up"))
-    below = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = h.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = running(h, [], [F.col("a").asc()], F.col("t"), "below").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     s = ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"),

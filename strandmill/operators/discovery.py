@@ -34,7 +34,9 @@ def candidates(edges: DataFrame, nodes: DataFrame, left: Sequence[str], right: S
     paths = side(left, "left").join(side(right, "right"), "b").where(F.col("left") != F.col("right"))
     known = legs.select(F.col("a").alias("left"), F.col("b").alias("right"))
     open_ = paths.join(known, ["left", "right"], "left_anti")
-    return open_.groupBy("left", "right").agg(F.array_sort(F.collect_set("b")).alias("mids"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array_union("left_pmids", "right_pmids"))))).alias("n_pmids")).withColumn("n_mids", F.size("mids"))
+    mids = open_.groupBy("left", "right").agg(F.array_sort(F.collect_set("b")).alias("mids"))
+    ids = open_.select("left", "right", F.explode(F.array_union("left_pmids", "right_pmids")).alias("pmid")).groupBy("left", "right").agg(F.countDistinct("pmid").alias("n_pmids"))
+    return mids.join(ids, ["left", "right"], "left").select("left", "right", "mids", F.coalesce("n_pmids", F.lit(0)).alias("n_pmids"), F.size("mids").alias("n_mids"))
 
 
 def ranked(cands: DataFrame, shown: int = 8) -> DataFrame:

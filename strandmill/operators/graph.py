@@ -108,28 +108,71 @@ def lcc_gate(comp: DataFrame, seeds: DataFrame, targets: DataFrame, least_share:
     return j.select("components", "largest", "nodes", share.alias("lcc_share"), "seeds_missing", "targets_missing", ok.alias("passed"))
 
 
+def _between(dist: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distances that start in A and end in B: reached pairs only, by two semi-joins."""
+    return dist.join(a.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(b.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+
+
+def _size(ids: DataFrame, name: str) -> DataFrame:
+    return ids.agg(F.countDistinct("id").alias(name))
+
+
 def distance_metrics(dist: DataFrame, a: DataFrame, b: DataFrame, within_b: DataFrame) -> DataFrame:
     """One row of distances between node sets A and B: closest (mean over A of the nearest B), its mirror, all pairs, inside A, inside B, separation.
 
     ``dist`` starts at A, ``within_b`` at B. A statistic is null where it needs a pair that isn't connected, or a set of
-    at least two that is smaller; ``unreachable`` is the share of pairs without a path.
+    at least two that is smaller; ``unreachable`` is the share of pairs without a path. Only reached pairs are looked
+    at; whether pairs are missing is told from their number, so that A and B are never multiplied out.
     """
-    A, B = a.select(F.col("id").alias("src")).distinct(), b.select(F.col("id").alias("node")).distinct()
-    full = A.crossJoin(F.broadcast(B)).join(dist, ["src", "node"], "left")
-    per_a = full.groupBy("src").agg(F.min("dist").alias("m"))
-    per_b = full.groupBy("node").agg(F.min("dist").alias("m"))
-    whole = lambda df, c, name: df.agg(F.when((F.count(c) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0), F.round(F.avg(c), 6)).alias(name))
-
-    def inside(d: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-        S = ids.select(F.col("id").alias("src")).distinct()
-        pairs = S.crossJoin(F.broadcast(S.select(F.col("src").alias("node")))).where("src <> node").join(d, ["src", "node"], "left")
-        return pairs.agg(F.when((F.count("dist") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0), F.lit(1)).alias("ok")).crossJoin(pairs.groupBy("src").agg(F.min("dist").alias("m")).agg(F.round(F.avg("m"), 6).alias("v"))).select(F.when(F.col("ok") == 1, F.col("v")).alias(name))
-
-    out = whole(per_a, "m", "closest").crossJoin(whole(per_b, "m", "target_mean")).crossJoin(whole(full, "dist", "all_pairs"))
-    out = out.crossJoin(full.agg(F.round(F.avg(F.col("dist").isNull().cast("double")), 6).alias("unreachable"))).crossJoin(inside(dist, a, "inside_a")).crossJoin(inside(within_b, b, "inside_b"))
+    ab = settle(_between(dist, a, b), "ab")
+    nearest_b = ab.groupBy("src").agg(F.min("dist").alias("m")).agg(F.count(F.lit(1)).alias("ra"), F.avg("m").alias("va"))
+    nearest_a = ab.groupBy("node").agg(F.min("dist").alias("m")).agg(F.count(F.lit(1)).alias("rb"), F.avg("m").alias("vb"))
+    whole = ab.agg(F.count(F.lit(1)).alias("rp"), F.avg("dist").alias("vp"))
+
+    def inside(d: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+        p = _between(d, ids, ids).where("src <> node").groupBy("src").agg(F.min("dist").alias("m"), F.count(F.lit(1)).alias("n"))
+        return p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n{tag}"), F.avg("m").alias(f"v{tag}"))
+
+    j = _size(a, "na").crossJoin(_size(b, "nb")).crossJoin(nearest_b).crossJoin(nearest_a).crossJoin(whole).crossJoin(inside(dist, a, "_ia")).crossJoin(inside(within_b, b, "_ib"))  # one row each
+    c, pairs = F.col, F.col("na") * F.col("nb")
+    some = pairs > 0
+    closed = lambda n, m, v: F.when((c(n) > 1) & (c(m) == c(n) * (c(n) - 1)), F.round(c(v), 6))
+    out = j.select(
+        F.when(some & (c("ra") == c("na")), F.round("va", 6)).alias("closest"), F.when(some & (c("rb") == c("nb")), F.round("vb", 6)).alias("target_mean"), F.when(some & (c("rp") == pairs), F.round("vp", 6)).alias("all_pairs"),
+        F.when(some, F.round(1 - c("rp") / pairs, 6)).alias("unreachable"), closed("na", "n_ia", "v_ia").alias("inside_a"), closed("nb", "n_ib", "v_ib").alias("inside_b"))
     return out.withColumn("separation", F.round(F.col("closest") - (F.col("inside_a") + F.col("inside_b")) / 2, 6))
 
 
+def read_modes(adj: DataFrame, cards: DataFrame, modes: dict[str, DataFrame], a: str, b: str) -> DataFrame:
+    """``mode, seeds, targets, closest, unreachable, status``: the closest distance over several populations of cards (all, the top 10, …).
+
+    Distances are searched once, from all seeds. More than half of the pairs without a path makes a reading not
+    applicable; a seed without any target leaves it without a value.
+    """
+    ids = lambda df, c: df.select(F.col(c).alias("id")).where("id is not null").distinct()
+    near = settle(distances(adj, ids(cards, a)), "modes")
+    out = None
+    for name, part in modes.items():
+        A, B = ids(part, a), ids(part, b)
+        ab = settle(_between(near, A, B), "mode")
+        per = ab.groupBy("src").agg(F.min("dist").alias("m"), F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ra"), F.avg("m").alias("va"), F.coalesce(F.sum("n"), F.lit(0)).alias("rp"))
+        j = _size(A, "seeds").crossJoin(_size(B, "targets")).crossJoin(per)
+        pairs = F.col("seeds") * F.col("targets")
+        lost = F.when(pairs > 0, F.round(1 - F.col("rp") / pairs, 6))
+        value = F.when(F.col("ra") == F.col("seeds"), F.round("va", 6))
+        row = j.select(F.lit(name).alias("mode"), "seeds", "targets", value.alias("closest"), lost.alias("unreachable"), F.when(pairs == 0, "empty").when(lost > 0.5, "not_applicable").when(value.isNull(), "not_computable").otherwise("ok").alias("status"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def uniform_null(a: DataFrame, near: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """One row like ``permutation_null``, with members of A replaced by any node of their category, whatever its degree."""
+    one = pool.select("id", "category")
+    flat = positions(one, ["category"], [F.col("id").asc()]).withColumn("bin", F.lit(0))
+    sizes = flat.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
+    return permutation_null(a, near, flat.join(sizes, "category"), n_perm, seed)
+
+
 def pools(degree_table: DataFrame, bins: DataFrame, by_category_bins: bool) -> DataFrame:
     """``id, category, bin, pos, size``: every node with its place among the nodes of its category and degree bin."""
     keys = ["category", "degree"] if by_category_bins else ["degree"]
@@ -177,9 +220,11 @@ def structure_scores(cards: DataFrame, degree_table: DataFrame, comp: DataFrame,
     return j.select("chain_id", "centrality", "target_distance", F.coalesce(F.col("cm") == F.col("cb"), F.lit(False)).cast("int").alias("same_component"))
 
 
-def distance_tally(pairs: DataFrame, dist: DataFrame) -> DataFrame:
-    """``dist, n``: how many (src, node) pairs lie how far apart; null is unreachable."""
-    return pairs.join(dist, ["src", "node"], "left").groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
+def distance_tally(dist: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``dist, n``: how many pairs of A and B lie how far apart; the last row, with a null distance, counts those without a path (left out if there are none)."""
+    reached = _between(dist, a, b).groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
+    rest = _size(a, "na").crossJoin(_size(b, "nb")).crossJoin(reached.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r")))
+    return reached.unionByName(rest.select(F.lit(None).cast("int").alias("dist"), (F.col("na") * F.col("nb") - F.col("r")).alias("n")).where("n > 0"))
 
 
 def consistent(z1, z2):

@@ -46,3 +46,15 @@ def draw_report(draws: DataFrame, slots: Sequence[str]) -> DataFrame:
     nodes = draws.where("skipped = 0").select(F.explode(F.array(*slots)).alias("id")).where("id is not null")
     n = nodes.agg(F.count(F.lit(1)).alias("n_draws"), F.countDistinct("id").alias("n_nodes"))
     return draws.agg(F.count(F.lit(1)).alias("n_chains"), F.sum("skipped").alias("n_skipped")).crossJoin(n).withColumn("n_duplicate_draws", F.col("n_draws") - F.col("n_nodes"))
+
+
+def paired_votes(real: DataFrame, null: DataFrame, votes: Sequence[str]) -> DataFrame:
+    """One row per vote: mean over the real chains, over their random copies, and the share of copies that could be made.
+
+    ``null`` has a row for each chain whose copy exists; the real means are taken over the same chains, and over all of
+    them as well, so that a selection by skipping shows.
+    """
+    both = real.select("chain_id", *votes).join(null.select("chain_id", *[F.col(v).alias(f"null_{v}") for v in votes], F.lit(1).alias("made")), "chain_id", "left")
+    rows = F.array(*[F.struct(F.lit(v).alias("vote"), F.col(v).cast("double").alias("x"), F.col(f"null_{v}").cast("double").alias("y")) for v in votes])
+    each = both.select("made", F.explode(rows).alias("r")).select("made", "r.*")
+    return each.groupBy("vote").agg(F.round(F.avg("x"), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("made") == 1, F.col("x"))), 6).alias("mean_kept"), F.round(F.avg("y"), 6).alias("mean_null"), F.round(F.count("made") / F.count(F.lit(1)), 6).alias("made_share"))

@@ -105,8 +105,7 @@ def bfs_distances(spark: Spark, sf: str) -> DataFrame:
 @REG.query(oracle=sql(_ADJ + _SETS + _LEVELS("d", "sa") + ", pd AS (SELECT sa.id AS src, sb.id AS node FROM sa, sb) SELECT dist, count(*) AS n FROM pd LEFT JOIN d12 USING (src, node) GROUP BY dist", "nodes", "edges"))
 def distance_tally(spark: Spark, sf: str) -> DataFrame:
     a, b = _sets(spark, sf)
-    pairs = a.select(F.col("id").alias("src")).crossJoin(F.broadcast(b.select(F.col("id").alias("node"))))  # two named sets
-    return gr.distance_tally(pairs, gr.distances(_adj(spark, sf), a))
+    return gr.distance_tally(gr.distances(_adj(spark, sf), a), a, b)
 
 
 _METRICS = """, pd AS (SELECT sa.id AS src, sb.id AS node, dist FROM sa CROSS JOIN sb LEFT JOIN d12 ON d12.src = sa.id AND d12.node = sb.id),
@@ -152,6 +151,46 @@ def perm_null_closest(spark: Spark, sf: str) -> DataFrame:
     return gr.permutation_null(a, gr.nearest(adj, b), pool, N_PERM, SEED)
 
 
+@REG.query(
+    oracle=sql(
+        _ADJ + _SETS + _LEVELS("n", "sb")
+        + f""", near AS (SELECT node, min(dist) AS dist FROM n12 GROUP BY node), slots AS (SELECT id, unnest(range(1, {N_PERM + 1})) AS perm FROM sa), pool AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS pos, count(*) OVER (PARTITION BY category) AS size FROM deg),
+ dr AS (SELECT s.perm, s.id, q.id AS draw FROM (SELECT s.*, p.category, CASE WHEN size > 1 THEN {_hash('perm::VARCHAR', 's.id')} % (size - 1) + 1 + ({_hash('perm::VARCHAR', 's.id')} % (size - 1) + 1 >= pos)::INT END AS at_pos FROM slots s JOIN pool p ON p.id = s.id) s LEFT JOIN pool q ON q.category = s.category AND q.pos = s.at_pos),
+ per AS (SELECT perm, CASE WHEN count(dist) = count(*) THEN avg(dist) END AS v FROM dr LEFT JOIN near ON near.node = dr.draw GROUP BY perm), ob AS (SELECT CASE WHEN count(dist) = count(*) THEN avg(dist) END AS o FROM sa LEFT JOIN near ON node = id)
+SELECT round(max(o), 6) AS observed, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, CASE WHEN stddev_pop(v) > 1e-12 THEN round((max(o) - avg(v)) / stddev_pop(v), 6) END AS z, round((coalesce(sum((v <= o + 1e-12)::INT), 0) + 1) / (count(v) + 1), 6) AS p, count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS unreachable FROM per, ob""",
+        "nodes",
+        "edges",
+    )
+)
+def uniform_null_closest(spark: Spark, sf: str) -> DataFrame:
+    """The same null with members of the category drawn whatever their degree."""
+    a, b = _sets(spark, sf)
+    adj = _adj(spark, sf)
+    return gr.uniform_null(a, gr.nearest(adj, b), _degrees(spark, sf, adj), N_PERM, SEED)
+
+
+
+
+@REG.query(
+    oracle=sql(
+        es._SCORED + ", " + _ADJ + """, p10 AS (SELECT * FROM sc ORDER BY depth DESC, chain_id LIMIT 10), p100 AS (SELECT * FROM sc ORDER BY depth DESC, chain_id LIMIT 100), ms AS (SELECT id FROM (SELECT DISTINCT microbe_id AS id FROM p100) WHERE id IS NOT NULL)""" + _LEVELS("m", "ms")
+        + ", " + ", ".join(f"{n}p AS (SELECT a.id AS src, b.id AS node, dist FROM (SELECT DISTINCT microbe_id AS id FROM {n} WHERE microbe_id IS NOT NULL) a CROSS JOIN (SELECT DISTINCT metabolite_id AS id FROM {n} WHERE metabolite_id IS NOT NULL) b LEFT JOIN m12 ON m12.src = a.id AND m12.node = b.id)" for n in ("p10", "p100"))
+        + " SELECT mode, seeds, targets, closest, unreachable, CASE WHEN unreachable > 0.5 THEN 'not_applicable' WHEN closest IS NULL THEN 'not_computable' ELSE 'ok' END AS status FROM ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS mode, (SELECT count(DISTINCT src) FROM {n}p) AS seeds, (SELECT count(DISTINCT node) FROM {n}p) AS targets, (SELECT CASE WHEN count(m) = count(*) THEN round(avg(m), 6) END FROM (SELECT min(dist) AS m FROM {n}p GROUP BY src)) AS closest, (SELECT round(avg((dist IS NULL)::INT), 6) FROM {n}p) AS unreachable" for m, n in (("top10", "p10"), ("top100", "p100")))
+        + ")",
+        "nodes",
+        "edges",
+        "chs",
+    )
+)
+def read_modes(spark: Spark, sf: str) -> DataFrame:
+    """Closest distance from microbes to metabolites over the deepest 10 and 100 chains."""
+    order = [F.desc("depth"), F.asc("chain_id")]
+    c = es.scored_chains(spark, sf)
+    top = settle(c.orderBy(*order).limit(100), "top")
+    return gr.read_modes(_adj(spark, sf), top, {"top10": top.orderBy(*order).limit(10), "top100": top}, "microbe_id", "metabolite_id")
+
+
 @REG.query(
     oracle=sql(
         es._SCORED + ", " + _ADJ + _CC + _SETS + _LEVELS("n", "sb")
@@ -263,3 +302,27 @@ def degree_matched_chains(spark: Spark, sf: str) -> DataFrame:
 @REG.query(oracle=sql(_RANDOM + ", kept AS (SELECT unnest([" + ", ".join(_SLOTS) + "]) AS id FROM rnd WHERE skipped = 0) SELECT (SELECT count(*) FROM rnd) AS n_chains, (SELECT sum(skipped)::BIGINT FROM rnd) AS n_skipped, count(id) AS n_draws, count(DISTINCT id) AS n_nodes, count(id) - count(DISTINCT id) AS n_duplicate_draws FROM kept", "nodes", "edges", "chs", recursive=True))
 def degree_matched_report(spark: Spark, sf: str) -> DataFrame:
     return nm.draw_report(settle(_random(spark, sf), "draws"), _SLOTS)
+
+
+_RANDOM_VOTES = (
+    et._BUCKETS + ", " + _RANDOM + ", " + es._V3.split(" b2 AS")[0].rstrip().rstrip(",")
+    + """, rc AS (SELECT r.chain_id, CASE WHEN skipped = 0 THEN r.microbe_id END AS microbe_id, r.metabolite_id, g.name AS gene_name, s.depth FROM rnd r JOIN sc s USING (chain_id) LEFT JOIN nodes g ON g.id = r.gene_id WHERE skipped = 0), """
+    + _V3S("sc", "rn") + ", " + _V3S("rc", "nn")
+    + ", bth AS (SELECT sc.chain_id, (rn.n > 0)::INT AS v3, sc.depth AS v2, (nn.n > 0)::INT AS n3, rc.depth AS n2, rc.chain_id IS NOT NULL AS made FROM sc JOIN rn USING (chain_id) LEFT JOIN rc USING (chain_id) LEFT JOIN nn USING (chain_id))"
+)
+_VOTE_ROW = lambda v, x, y: f"SELECT '{v}' AS vote, round(avg({x}), 6) AS mean_all, round(avg({x}) FILTER (WHERE made), 6) AS mean_kept, round(avg({y}), 6) AS mean_null, round(count(*) FILTER (WHERE made) / count(*), 6) AS made_share FROM bth"
+
+
+@REG.query(oracle=sql(_RANDOM_VOTES + " " + _VOTE_ROW("vote3", "v3", "n3") + " UNION ALL " + _VOTE_ROW("vote2", "v2", "n2"), "names", "edges", "chs", "curated", recursive=True))
+def random_chain_votes(spark: Spark, sf: str) -> DataFrame:
+    """Votes of the real chains against those made anew on their degree-matched random copies."""
+    real = settle(es.scored_chains(spark, sf), "real")
+    d = settle(_degrees(spark, sf), "degrees")
+    pool = settle(gr.pools(d, gr.degree_bins(d), False), "pool")
+    draws = settle(nm.random_chains(real, pool, SEED, _SLOTS).where("skipped = 0"), "draws")
+    gene = ad.nodes(spark, sf).select(F.col("id").alias("gene_id"), F.col("name").alias("gene_name"))
+    null = draws.join(gene, "gene_id", "left").join(real.select("chain_id", "depth"), "chain_id")
+    counts = tuple(settle(x, "counts") for x in vo.record_counts(et._buckets(spark, sf), "metabolite", "gene"))
+    a = _evidence(spark, sf, real, counts).select("chain_id", "vote3").join(real.select("chain_id", F.col("depth").alias("vote2")), "chain_id")
+    b = _evidence(spark, sf, null, counts).select("chain_id", "vote3").join(null.select("chain_id", F.col("depth").alias("vote2")), "chain_id")
+    return nm.paired_votes(a, b, ("vote2", "vote3"))
