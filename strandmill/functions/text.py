@@ -78,3 +78,9 @@ def shown_p(p: Column) -> Column:
 def p_band(p: Column) -> Column:
     """significant, boundary (0.05 to 0.10, both exclusive), or not_significant; null for no p."""
     return F.when(p.isNull(), None).when(p <= 0.05, "significant").when(p < 0.10, "boundary").otherwise("not_significant")
+
+
+def tree_class(paths: Column, signs: str = "C23") -> Column:
+    """The class of a topic by its tree numbers: signs_symptoms if one lies under ``signs``, no_tree_number without any, else disease_other."""
+    under = F.exists(paths, lambda p: (p == signs) | p.startswith(signs + "."))
+    return F.when(paths.isNull() | (F.size(paths) == 0), "no_tree_number").when(under, "signs_symptoms").otherwise("disease_other")

@@ -144,6 +144,12 @@ def direction_agreement(pairs: DataFrame, expected: dict[str, str]) -> DataFrame
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(comparable).alias("comparable"), F.count_if(consistent).alias("consistent"), F.count_if(F.size("polar") > 1).alias("self_conflict"))
 
 
+def strata(pairs: DataFrame, stratum: str, hit: str) -> DataFrame:
+    """``stratum, n, hits, rate, low, high``: agreement per stratum with its interval."""
+    g = pairs.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits")).withColumn("w", wilson(F.col("hits"), F.col("n")))
+    return g.select("stratum", "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("rate"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
+
+
 def hit_bins(scores: DataFrame, score: str, hit: str, edges: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """``bin, n, hits, rate`` over fixed bins of a score; a null score is in no bin."""
     b = F.lit(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.ids import hash_number
 from strandmill.operators.ranking import positions
-from strandmill.session import settle
+from strandmill.session import forget, settle
 
 MIN_BIN = 5
 
@@ -81,14 +81,15 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 60) -> DataFr
     Each round takes the least label among neighbours, then the label of that label (pointer jumping), so that a path of
     n nodes needs about log n rounds; labels are written after each round and the loop ends when none changes.
     """
-    labels = settle(nodes.select("id", F.col("id").alias("component")).distinct(), "cc")
+    held = labels = settle(nodes.select("id", F.col("id").alias("component")).distinct(), "cc")
     for _ in range(max_rounds):
         nb = adj.join(labels, adj["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         lower = labels.join(nb, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", F.col("component"))).alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
         new = settle(lower.join(jump, "c", "left").select("id", F.least("c", F.coalesce("cc", F.col("c"))).alias("component"), "old"), "cc")
         changed = not new.where("component <> old").isEmpty()
-        labels = new.select("id", "component")
+        forget(held)
+        held, labels = new, new.select("id", "component")
         if not changed:
             break
     return labels

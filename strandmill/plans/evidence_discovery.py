@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.functions.text import tree_class
 from strandmill.operators import discovery as di
 from strandmill.operators import graft as gf
 from strandmill.operators import naming as na
@@ -173,6 +174,28 @@ def direction_agreement(spark: Spark, sf: str) -> DataFrame:
     return di.direction_agreement(e.withColumn("alterations", F.col("predicates")), {"aggravates": "increases_abundance_in", "alleviates": "decreases_abundance_in"})
 
 
+@REG.query(
+    oracle=sql(
+        """pp AS (SELECT subject, object, array_to_string(list_sort(list_distinct(list(predicate))), '+') AS stratum, max((source_type = 'curated')::INT) AS hit FROM edges WHERE subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2),
+ g AS (SELECT stratum, count(*) AS n, sum(hit)::BIGINT AS hits FROM pp GROUP BY 1)
+SELECT *, round(hits / n, 6) AS rate, round((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS low, round((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS high FROM g""",
+        "edges",
+    )
+)
+def agreement_strata(spark: Spark, sf: str) -> DataFrame:
+    """Share of pairs with curated evidence per set of predicates."""
+    e = ad.edges(spark, sf).where("subject is not null and object is not null")
+    p = e.groupBy("subject", "object").agg(F.array_join(F.array_sort(F.collect_set("predicate")), "+").alias("predicates"), F.max((F.col("source_type") == "curated").cast("int")).alias("hit"))
+    return di.strata(p, "predicates", "hit")
+
+
+@REG.query(oracle=f"WITH {_TREES} SELECT id, CASE WHEN path = '1' OR starts_with(path, '1.') THEN 'signs_symptoms' ELSE 'disease_other' END AS class FROM trees UNION ALL SELECT 'S' || s_suppkey, 'no_tree_number' FROM supplier")
+def tree_classes(spark: Spark, sf: str) -> DataFrame:
+    bare = load(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.lit(None).cast("string").alias("path"))
+    t = trees(spark, sf).unionByName(bare).groupBy("id").agg(F.collect_list("path").alias("paths"))
+    return t.select("id", tree_class(F.col("paths"), "1").alias("class"))
+
+
 @REG.query(oracle=sql("SELECT (confidence >= 0.2)::INT + (confidence >= 0.4)::INT + (confidence >= 0.6)::INT + (confidence >= 0.8)::INT AS bin, count(*) AS n, sum((source_type = 'curated')::INT)::BIGINT AS hits, round(avg((source_type = 'curated')::INT), 6) AS rate FROM edges WHERE confidence IS NOT NULL GROUP BY 1", "edges"))
 def hit_bins(spark: Spark, sf: str) -> DataFrame:
     return di.hit_bins(ad.edges(spark, sf).withColumn("hit", (F.col("source_type") == "curated").cast("int")), "confidence", "hit")

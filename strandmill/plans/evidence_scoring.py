@@ -266,6 +266,16 @@ def null_control(spark: Spark, sf: str) -> DataFrame:
     return _cards(spark, sf, empty=True).agg(F.count(F.lit(1)).alias("cards"), *[F.sum(v).alias(f"sum_{v}") for v in ("vote1", "vote2", "vote3", "vote4")])
 
 
+@REG.query(oracle=sql("SELECT count(*) AS cards, 0::BIGINT AS wrong_total, 0::BIGINT AS wrong_depth, 0::BIGINT AS out_of_range, count(*) - count(DISTINCT chain_id) AS repeated FROM chs", "chs"))
+def card_gates(spark: Spark, sf: str) -> DataFrame:
+    """Identities that must hold before any statistic: totals, vote 2 as depth, ranges, one card per chain; all counts but the first are 0."""
+    c = _cards(spark, sf).join(scored_chains(spark, sf).select("chain_id", "depth"), "chain_id")
+    odd = ~F.col("vote1").isin(0, 1) | ~F.col("vote3").isin(0, 1) | ~F.col("vote4").between(0, 2)
+    return c.agg(
+        F.count(F.lit(1)).alias("cards"), F.count_if(F.col("votes_total") != F.col("vote1") + F.col("vote2") + F.col("vote3") + F.col("vote4")).alias("wrong_total"), F.count_if(F.col("vote2") != F.col("depth")).alias("wrong_depth"),
+        F.count_if(odd).alias("out_of_range"), (F.count(F.lit(1)) - F.countDistinct("chain_id")).alias("repeated"))
+
+
 _CF = f""", top AS (SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, chain_id, hop1_edge_id FROM cards ORDER BY {_ORDER} LIMIT 10), rem AS (SELECT DISTINCT hop1_edge_id AS removed_edge FROM top WHERE hop1_edge_id IS NOT NULL),
  sce AS (SELECT removed_edge, c.* EXCLUDE (borda) FROM cards c, rem WHERE hop1_edge_id IS NULL OR hop1_edge_id <> removed_edge),
  sb AS (SELECT *, rank() OVER (PARTITION BY removed_edge ORDER BY vote1) + rank() OVER (PARTITION BY removed_edge ORDER BY vote2) + rank() OVER (PARTITION BY removed_edge ORDER BY vote3) + rank() OVER (PARTITION BY removed_edge ORDER BY vote4) - 4 AS borda FROM sce),

@@ -50,11 +50,19 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that is no longer needed; any other table is left alone."""
+    if path := getattr(df, "_settled_at", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -262,6 +262,17 @@ def test_statistics(spark):
     assert (zero.low, zero.high) == (None, None)
 
 
+def test_labels(spark):
+    df = spark.createDataFrame([(0.9, 0.9), (0.6, 0.9), (0.9, 0.4), (None, 1.0)], "m double, v double")
+    assert [r[0] for r in df.select(stats.calibration(F.col("m"), F.col("v"))).collect()] == ["calibrated", "collapsed", "collapsed", "undetermined"]
+    z = spark.createDataFrame([(1.0, 2.0), (1.0, -2.0), (None, 1.0), (0.0, 1.0)], "a double, b double")
+    assert [r[0] for r in z.select(gr.consistent(F.col("a"), F.col("b"))).collect()] == ["consistent", "opposite", "undetermined", "undetermined"]
+    t = spark.createDataFrame([(["C23.5"],), (["C2", "C231"],), ([],), (None,)], "p array<string>")
+    assert [r[0] for r in t.select(text.tree_class(F.col("p"))).collect()] == ["signs_symptoms", "disease_other", "no_tree_number", "no_tree_number"]
+    null = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
+    assert null.agg(stats.empirical_p(F.col("v"), F.lit(1.5))).first()[0] == 0.5
+
+
 def test_open_discovery(spark):
     edges = [("L1", "S1", ["1", "2"]), ("S1", "R1", ["3"]), ("L1", "S2", ["5"]), ("S2", "R1", ["6", "1"]), ("L2", "S1", ["8"]), ("L2", "R1", ["9"]), ("L1", "H", ["1"]), ("H", "R2", ["1"])]
     edges += [("H", f"x{i}", ["0"]) for i in range(60)]
