@@ -9,7 +9,9 @@ remembered.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TOKENIZERS = "/opt/tokenizers"
 #: Pieces remembered by a worker; when so many are known it starts afresh.
 MEMO = 300_000
-_BUILT: dict[int, Encoder] = {}
+#: Ids after which a batch is handed over.
+FLUSH = 2_000_000
+_BUILT: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -118,15 +122,18 @@ def encode_texts(documents: DataFrame, key: str, text: str, vocabulary: str, pat
     kind = documents.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = hash((sent.value[:64], len(sent.value), pattern))
+        mark = hashlib.sha256(sent.value).hexdigest() + pattern
         if mark not in _BUILT:
             _BUILT[mark] = Encoder.parse(sent.value, pattern)
         encode = _BUILT[mark].encode
         for batch in batches:
-            rows = [encode(t) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, "ids"])
+            first, flat, offsets = 0, array("i"), [0]
+            for i, text in enumerate(batch.column(1)):
+                flat.extend(encode(text.as_py()))
+                offsets.append(len(flat))
+                if len(flat) > FLUSH or i + 1 == len(batch):  # long texts leave in several batches
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), ids], names=[key, "ids"])
+                    first, flat, offsets = i + 1, array("i"), [0]
 
     return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")

@@ -157,6 +157,8 @@ def test_encode_texts(spark):
     assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert sorted(((r.doc_id, tuple(r.ids)) for r in got.collect()), key=repr) == sorted([(1, (31373, 995)), (1, (31373, 995)), (2, ()), (3, ()), (None, (87,))], key=repr)
     assert E.encode_texts(df.limit(0), "doc_id", "text", VOCABULARY).count() == 0
+    long = spark.createDataFrame([(i, "word " * 900_000 if i % 2 else "") for i in range(6)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n for r in E.encode_texts(long, "doc_id", "text", VOCABULARY).select("doc_id", F.size("ids").alias("n")).collect()} == {i: 900_001 if i % 2 else 0 for i in range(6)}
 
 
 # leakage
