@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.session import settle
+
 RANKS = ("species", "genus")
 
 
@@ -64,11 +66,13 @@ def potential(entities: DataFrame, mapping: DataFrame, matrix: DataFrame, cohort
     """
     grid = entities.crossJoin(F.broadcast(entities.sparkSession.createDataFrame([(c,) for c in cohorts], "cohort string")))
     kos = entities.select("entity", F.explode("chebi").alias("chebi")).join(mapping, "chebi").select("entity", "ko").distinct()
-    n_mapped = kos.groupBy("entity").agg(F.count(F.lit(1)).alias("n_mapped"))
+    # many entities map to the same features: sums are made once per set of features
+    sets = settle(kos.groupBy("entity").agg(F.array_sort(F.collect_list("ko")).alias("kos")).withColumn("ko_set", F.array_join("kos", "|")), "sets")
+    members = sets.select("ko_set", "kos").distinct().select("ko_set", F.explode("kos").alias("ko"))
     m = matrix.select("cohort", F.col("feature").alias("ko"), "sample", F.col("value").cast("decimal(18,4)").alias("v")).groupBy("cohort", "ko", "sample").agg(F.sum("v").alias("v"))
-    sums = kos.join(m, "ko").groupBy("entity", "cohort", "sample").agg(F.sum("v").alias("v"))
-    stats = padded_stats(sums, ["entity"], _samples(matrix))
-    j = grid.join(n_mapped, "entity", "left").join(stats, ["entity", "cohort"], "left")
+    sums = members.join(m, "ko").groupBy("ko_set", "cohort", "sample").agg(F.sum("v").alias("v"))
+    stats = padded_stats(sums, ["ko_set"], _samples(matrix))
+    j = grid.join(sets.select("entity", "ko_set", F.size("kos").cast("long").alias("n_mapped")), "entity", "left").join(stats, ["ko_set", "cohort"], "left")
     label = F.when(F.size("chebi") <= 0, "no_chebi").when(F.col("n_mapped").isNull(), "unmapped_chebi").when(F.col("detections") > 0, "measurable").otherwise("ko_absent")
     return j.select("entity", "cohort", F.coalesce("n_mapped", F.lit(0)).alias("n_mapped"), label.alias("label"), "median", "detection_rate")
 
