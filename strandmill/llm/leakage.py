@@ -54,10 +54,16 @@ def _spaceless(ch: str) -> bool:
 _HAS_SPACELESS = re.compile("[㐀-鿿぀-ヿ豈-﫿\U00020000-\U0003ffff]").search
 
 
-def by_letters(text: str) -> bool:
-    """Whether at least a quarter of the letters belong to a script without spaces."""
+_OTHER_WORDS = re.compile("[^\\W㐀-鿿぀-ヿ豈-﫿\U00020000-\U0003ffff]+").findall
+
+
+def by_letters(text: str, lang: str | None = None) -> bool:
+    """Whether a text is compared by letters: it holds letters of a script without spaces, and either its language is
+    Chinese or Japanese, or these are a quarter of its letters or as many as its words of other scripts (long foreign names count once).
+    """
     letters = [c for c in text if c.isalpha()]
-    return 4 * sum(map(_spaceless, letters)) >= len(letters) > 0
+    dense = sum(map(_spaceless, letters))
+    return dense > 0 and ((lang or "")[:2].lower() in ("zh", "ja") or 4 * dense >= len(letters) or dense >= len(_OTHER_WORDS(text)))
 
 
 class _Kept(dict):
@@ -169,14 +175,15 @@ class Items:
         return False
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, block: int = BLOCK, item_lang: str | None = None) -> DataFrame:
     """``doc_id, item_id, score``: each document with each item of which it holds a passage, and the alignment's score.
 
     ``items`` is a set of queries, compared with all documents in blocks of ``block`` items; each block is broadcast, the
     corpus is never shuffled. Null, empty and short texts hold nothing; repeated rows give one row; very long texts are
-    scanned whole in linear time.
+    scanned whole in linear time. ``item_lang`` names the column with the item's language, if there is one.
     """
-    texts = [(r[0], r[1]) for r in items.select(F.col(item_key), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).distinct().orderBy(item_key, item_text).toLocalIterator()]
+    lang = F.col(item_lang) if item_lang else F.lit(None)
+    texts = [tuple(r) for r in items.select(F.col(item_key), F.col(item_text), lang.cast("string").alias("_lang")).where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).distinct().orderBy(item_key, item_text, "_lang").toLocalIterator()]
     docs = documents.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     out = None
     for at in range(0, max(1, len(texts)), block):
@@ -184,8 +191,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
         sent = documents.sparkSession.sparkContext.broadcast(part)
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            spaced = Items([x for x in sent.value if not by_letters(x[1])], WORDS, words)
-            dense = Items([x for x in sent.value if by_letters(x[1])], LETTERS, letters)
+            spaced = Items([x[:2] for x in sent.value if not by_letters(*x[1:])], WORDS, words)
+            dense = Items([x[:2] for x in sent.value if by_letters(*x[1:])], LETTERS, letters)
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):

@@ -62,7 +62,7 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+    return leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text", item_lang="lang")
 
 
 @REG.query()

@@ -207,6 +207,16 @@ def test_chinese_leaks():
     assert L.by_letters(item) and not L.by_letters("plain words") and not L.by_letters("")
 
 
+def test_chinese_full_of_latin_names(spark):
+    item = "如果Lumospira zuzaphilus把2-hydroxydedivenol转化为2-hydroxyluniminoside，同时OEDQ8被livalar抑制，那么55天后mibapar的含量会怎样变化？"  # item 1496
+    docs = spark.createDataFrame([(4641, "旧笔记：" + item), (1, "plain words only")], "doc_id long, text string")
+    items = spark.createDataFrame([(1496, item, "zh")], "item_id long, text string, lang string")
+    assert rows(L.leaks(docs, items, "doc_id", "text", "item_id", "text"), "doc_id", "item_id") == [(4641, 1496)]
+    assert rows(L.leaks(docs, items, "doc_id", "text", "item_id", "text", item_lang="lang"), "doc_id", "item_id") == [(4641, 1496)]
+    mostly = "一 Lumospira zuzaphilus hydroxydedivenol hydroxyluniminoside"
+    assert L.by_letters(mostly, "zh") and not L.by_letters(mostly, "en") and not L.by_letters("plain words", "zh")
+
+
 def test_leaks_on_tables(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\r\n")), (2, None), (3, ""), (4, "one two three"), (1, "x " + item), (5, item.replace("six", "sex"))], "doc_id long, text string").withColumn("item_id", F.lit(0))
