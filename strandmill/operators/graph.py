@@ -147,21 +147,26 @@ def distance_metrics(dist: DataFrame, a: DataFrame, b: DataFrame, within_b: Data
 def read_modes(adj: DataFrame, cards: DataFrame, modes: dict[str, DataFrame], a: str, b: str) -> DataFrame:
     """``mode, seeds, targets, closest, unreachable, status``: the closest distance over several populations of cards (all, the top 10, …).
 
-    Distances are searched once, from all seeds. More than half of the pairs without a path makes a reading not
-    applicable; a seed without any target leaves it without a value.
+    Each seed's nearest target comes from one search from all targets of the mode; which pairs have a path is told by the
+    components, so that seeds and targets are never multiplied out and a mode may hold every chain. More than half of the
+    pairs without a path makes a reading not applicable; a seed without any target leaves it without a value.
     """
     ids = lambda df, c: df.select(F.col(c).alias("id")).where("id is not null").distinct()
-    near = settle(distances(adj, ids(cards, a)), "modes")
+    held = adj.select(F.col("a").alias("id"))
+    for part in (cards, *modes.values()):
+        held = held.union(ids(part, a)).union(ids(part, b))
+    comp = components(held.distinct(), adj)
     out = None
     for name, part in modes.items():
-        A, B = ids(part, a), ids(part, b)
-        ab = settle(_between(near, A, B), "mode")
-        per = ab.groupBy("src").agg(F.min("dist").alias("m"), F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ra"), F.avg("m").alias("va"), F.coalesce(F.sum("n"), F.lit(0)).alias("rp"))
-        j = _size(A, "seeds").crossJoin(_size(B, "targets")).crossJoin(per)
+        A, B = settle(ids(part, a), "seeds"), settle(ids(part, b), "targets")
+        per = A.join(nearest(adj, B), A["id"] == F.col("node")).agg(F.count(F.lit(1)).alias("ra"), F.avg("dist").alias("va"))
+        inside = lambda x, n: x.join(comp, "id").groupBy("component").agg(F.count(F.lit(1)).alias(n))
+        reached = inside(A, "ca").join(inside(B, "cb"), "component").agg(F.coalesce(F.sum(F.col("ca") * F.col("cb")), F.lit(0)).alias("rp"))
+        j = _size(A, "seeds").crossJoin(_size(B, "targets")).crossJoin(per).crossJoin(reached)  # one row each
         pairs = F.col("seeds") * F.col("targets")
         lost = F.when(pairs > 0, F.round(1 - F.col("rp") / pairs, 6))
         value = F.when(F.col("ra") == F.col("seeds"), F.round("va", 6))
-        row = j.select(F.lit(name).alias("mode"), "seeds", "targets", value.alias("closest"), lost.alias("unreachable"), F.when(pairs == 0, "empty").when(lost > 0.5, "not_applicable").when(value.isNull(), "not_computable").otherwise("ok").alias("status"))
+        row = settle(j.select(F.lit(name).alias("mode"), "seeds", "targets", value.alias("closest"), lost.alias("unreachable"), F.when(pairs == 0, "empty").when(lost > 0.5, "not_applicable").when(value.isNull(), "not_computable").otherwise("ok").alias("status")), "mode")
         out = row if out is None else out.unionByName(row)
     return out
 

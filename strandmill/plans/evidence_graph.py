@@ -191,6 +191,29 @@ def read_modes(spark: Spark, sf: str) -> DataFrame:
     return gr.read_modes(_adj(spark, sf), top, {"top10": top.orderBy(*order).limit(10), "top100": top}, "microbe_id", "metabolite_id")
 
 
+_MODES = {"all": "SELECT microbe_id, metabolite_id FROM sc", "top10": f"SELECT microbe_id, metabolite_id FROM cards ORDER BY {es._ORDER} LIMIT 10", "top100": "SELECT microbe_id, metabolite_id FROM cards ORDER BY votes_total DESC, borda DESC, chain_id LIMIT 100"}
+# levels of the search from all targets of a mode at once
+_NEAREST = lambda n: f", {n}_0 AS (SELECT id AS node, 0 AS dist FROM {n}_b)" + "".join(f", {n}_{i} AS (SELECT node, min(dist) AS dist FROM (SELECT * FROM {n}_{i - 1} UNION ALL SELECT b, dist + 1 FROM {n}_{i - 1} JOIN adj ON a = node WHERE dist = {i - 1}) GROUP BY 1)" for i in range(1, 13))
+
+
+@REG.query(
+    oracle=sql(
+        es._CARDS + ", " + _ADJ + _CC
+        + "".join(f", {m}_p AS ({q}), {m}_a AS (SELECT DISTINCT microbe_id AS id FROM {m}_p WHERE microbe_id IS NOT NULL), {m}_b AS (SELECT DISTINCT metabolite_id AS id FROM {m}_p WHERE metabolite_id IS NOT NULL)" + _NEAREST(m) for m, q in _MODES.items())
+        + " SELECT mode, seeds, targets, closest, unreachable, CASE WHEN seeds * targets = 0 THEN 'empty' WHEN unreachable > 0.5 THEN 'not_applicable' WHEN closest IS NULL THEN 'not_computable' ELSE 'ok' END AS status FROM ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS mode, (SELECT count(*) FROM {m}_a) AS seeds, (SELECT count(*) FROM {m}_b) AS targets, (SELECT CASE WHEN count(dist) = count(*) THEN round(avg(dist), 6) END FROM {m}_a LEFT JOIN {m}_12 ON node = id) AS closest, round(1 - (SELECT coalesce(sum(x.n * y.n), 0) FROM (SELECT l, count(*) AS n FROM {m}_a JOIN lab12 USING (id) GROUP BY l) x JOIN (SELECT l, count(*) AS n FROM {m}_b JOIN lab12 USING (id) GROUP BY l) y USING (l)) / (SELECT (SELECT count(*) FROM {m}_a) * (SELECT count(*) FROM {m}_b)), 6) AS unreachable" for m in _MODES)
+        + ")",
+        "nodes",
+        *es._CARD_TABLES,
+    )
+)
+def read_modes_cards(spark: Spark, sf: str) -> DataFrame:
+    """Closest distance from microbes to metabolites over all chains, the ten best cards and the hundred best by votes."""
+    cards = settle(es._cards(spark, sf), "ranked")
+    modes = {"all": es.scored_chains(spark, sf), "top10": vo.top_cards(cards), "top100": vo.top_cards(cards, 100, {"votes_total": "desc", "borda": "desc", "chain_id": "asc"})}
+    return gr.read_modes(_adj(spark, sf), cards, modes, "microbe_id", "metabolite_id")
+
+
 @REG.query(
     oracle=sql(
         es._SCORED + ", " + _ADJ + _CC + _SETS + _LEVELS("n", "sb")

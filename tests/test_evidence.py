@@ -202,6 +202,24 @@ def test_distances(spark):
     assert rows(gr.nearest(adj, b)) == [("m1", 1), ("m2", 2), ("t1", 0), ("t2", 0), ("x", 1), ("x2", 1)]
 
 
+def test_read_modes(spark):
+    adj = path_graph(spark)
+    cards = spark.createDataFrame([("m1", "t1"), ("m2", "t2"), ("lone", "t2"), (None, "t1")], "m string, t string")
+    got = rows(gr.read_modes(adj, cards, {"all": cards, "top": cards.where("m = 'm2'")}, "m", "t"))
+    assert got == [("all", 3, 2, None, 0.333333, "not_computable"), ("top", 1, 1, 5.0, 0.0, "ok")]
+
+
+def test_read_modes_hold_all_chains_first(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()["read_modes_cards"](spark, sf).collect()
+    chains = spark.read.parquet(f"{sf}/chains.parquet").agg(F.countDistinct("microbe_id"), F.countDistinct("metabolite_id")).first()
+    assert [r["mode"] for r in got] == ["all", "top10", "top100"] and tuple(got[0])[1:3] == tuple(chains)
+    best = entry.queries()["top_cards_by_votes"](spark, sf).join(spark.read.parquet(f"{sf}/chains.parquet"), "chain_id").agg(F.countDistinct("microbe_id"), F.countDistinct("metabolite_id")).first()
+    assert tuple(got[2])[1:3] == tuple(best)
+
+
 def test_components_and_bins(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(20)], "subject string, object string")
     nodes = spark.createDataFrame([(x,) for x in "abcdez"] + [(f"p{i:02}",) for i in range(21)], "id string")
