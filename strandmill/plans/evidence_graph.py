@@ -228,6 +228,59 @@ def structure_scores(spark: Spark, sf: str) -> DataFrame:
     return gr.structure_scores(es.scored_chains(spark, sf), _degrees(spark, sf, adj), gr.components(ad.nodes(spark, sf), adj), gr.nearest(adj, _sets(spark, sf)[1]))
 
 
+# the same statistics over whole sets: every disease, and every metabolite of the chains, that has a neighbour
+def _whole_sets(spark: Spark, sf: str, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    linked = adj.select(F.col("a").alias("id")).distinct()
+    a = ad.nodes(spark, sf).where("category = 'Disease'").select("id").join(linked, "id", "left_semi")
+    b = es.scored_chains(spark, sf).where("metabolite_id is not null").select(F.col("metabolite_id").alias("id")).distinct().join(linked, "id", "left_semi")
+    return settle(a, "diseases"), settle(b, "metabolites")
+
+
+_WHOLE = ", sa AS (SELECT id FROM deg WHERE degree > 0 AND category = 'Disease'), sn_b AS (SELECT DISTINCT metabolite_id AS id FROM sc WHERE metabolite_id IN (SELECT a FROM adj))"
+
+
+@REG.query(
+    oracle=sql(
+        es._SCORED + ", " + _ADJ + _CC + _WHOLE + """, sz AS (SELECT l, count(*) AS n FROM lab12 GROUP BY l)
+SELECT count(*) AS components, max(n) AS largest, sum(n)::BIGINT AS nodes, round(max(n) / sum(n), 6) AS lcc_share, (SELECT round(avg((id NOT IN (SELECT id FROM nodes))::INT), 6) FROM sa) AS seeds_missing, (SELECT round(avg((id NOT IN (SELECT id FROM nodes))::INT), 6) FROM sn_b) AS targets_missing, max(n) / sum(n) >= 0.8 AS passed FROM sz""",
+        "nodes",
+        "edges",
+        "chs",
+    )
+)
+def lcc_gate_whole(spark: Spark, sf: str) -> DataFrame:
+    adj = _adj(spark, sf)
+    return gr.lcc_gate(gr.components(ad.nodes(spark, sf), adj), *_whole_sets(spark, sf, adj))
+
+
+@REG.query()
+def bfs_distances_whole(spark: Spark, sf: str) -> DataFrame:
+    """Distances from every disease to all it reaches."""
+    adj = _adj(spark, sf)
+    return gr.distances(adj, _whole_sets(spark, sf, adj)[0])
+
+
+@REG.query()
+def distance_tally_whole(spark: Spark, sf: str) -> DataFrame:
+    adj = _adj(spark, sf)
+    a, b = _whole_sets(spark, sf, adj)
+    return gr.distance_tally(gr.distances(adj, a), a, b)
+
+
+@REG.query()
+def distance_metrics_whole(spark: Spark, sf: str) -> DataFrame:
+    adj = _adj(spark, sf)
+    a, b = _whole_sets(spark, sf, adj)
+    return gr.distance_metrics(gr.distances(adj, a), a, b, gr.distances(adj, b))
+
+
+@REG.query()
+def structure_scores_whole(spark: Spark, sf: str) -> DataFrame:
+    """Structure of every chain, with the distance of its metabolite to the nearest of all diseases."""
+    adj = _adj(spark, sf)
+    return gr.structure_scores(es.scored_chains(spark, sf), _degrees(spark, sf, adj), gr.components(ad.nodes(spark, sf), adj), gr.nearest(adj, _whole_sets(spark, sf, adj)[0]))
+
+
 def _shuffled(spark: Spark, sf: str, columns: list[str], where: str) -> tuple[DataFrame, DataFrame]:
     c = settle(es.scored_chains(spark, sf).where(where).select("chain_id", "microbe_id", "metabolite_id", "gene_id", "gene_name"), "real")
     return c, settle(nm.permute(c, "chain_id", columns, SEED), "shuffled")

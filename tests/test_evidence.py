@@ -220,6 +220,15 @@ def test_read_modes_hold_all_chains_first(spark):
     assert tuple(got[2])[1:3] == tuple(best)
 
 
+def test_distances_start_at_every_disease(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/merged_nodes.parquet").where("category = 'Disease'").select("id").distinct()
+    degree = entry.queries()["degree"](spark, sf).where("degree > 0").join(table, "id", "left_semi")
+    assert rows(entry.queries()["bfs_distances_whole"](spark, sf).select("src").distinct()) == rows(degree, "id")
+
+
 def test_components_and_bins(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(20)], "subject string, object string")
     nodes = spark.createDataFrame([(x,) for x in "abcdez"] + [(f"p{i:02}",) for i in range(21)], "id string")
