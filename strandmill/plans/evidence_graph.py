@@ -281,6 +281,30 @@ def structure_scores_whole(spark: Spark, sf: str) -> DataFrame:
     return gr.structure_scores(es.scored_chains(spark, sf), _degrees(spark, sf, adj), gr.components(ad.nodes(spark, sf), adj), gr.nearest(adj, _whole_sets(spark, sf, adj)[0]))
 
 
+N_PERM_FULL = 1000
+_NULL_ROW = """per AS (SELECT perm, CASE WHEN count(dist) = count(*) THEN avg(dist) END AS v FROM dr LEFT JOIN sn_12 ON node = dr.draw GROUP BY perm), ob AS (SELECT CASE WHEN count(dist) = count(*) THEN avg(dist) END AS o FROM sa LEFT JOIN sn_12 ON node = id)
+SELECT round(max(o), 6) AS observed, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, CASE WHEN stddev_pop(v) > 1e-12 THEN round((max(o) - avg(v)) / stddev_pop(v), 6) END AS z, round((coalesce(sum((v <= o + 1e-12)::INT), 0) + 1) / (count(v) + 1), 6) AS p, count(v) AS n, count(*) FILTER (WHERE v IS NULL) AS unreachable FROM per, ob"""
+_DRAW = lambda keys: f"slots AS (SELECT id, unnest(range(1, {N_PERM_FULL + 1})) AS perm FROM sa), hs AS (SELECT s.perm, s.id, p.* EXCLUDE (id), {_hash('perm::VARCHAR', 's.id')} AS h FROM slots s JOIN pool p ON p.id = s.id), dr AS (SELECT s.perm, s.id, q.id AS draw FROM (SELECT *, CASE WHEN size > 1 THEN h % (size - 1) + 1 + (h % (size - 1) + 1 >= pos)::INT END AS at_pos FROM hs) s LEFT JOIN pool q ON q.pos = s.at_pos AND " + " AND ".join(f"q.{k} = s.{k}" for k in keys) + "), "
+
+
+@REG.query(oracle=sql(es._SCORED + ", " + _ADJ + _WHOLE + _NEAREST("sn") + _BINS.format(k="category") + _POOL("d.category") + ", " + _DRAW(("category", "bin")) + _NULL_ROW, "nodes", "edges", "chs", recursive=True))
+def perm_null_closest_whole(spark: Spark, sf: str) -> DataFrame:
+    """Degree-matched permutation null over the whole sets, with the reference's 1000 permutations."""
+    adj = _adj(spark, sf)
+    a, b = _whole_sets(spark, sf, adj)
+    d = settle(_degrees(spark, sf, adj), "degrees")
+    pool = settle(gr.pools(d, gr.degree_bins(d, "category"), True), "pool")
+    return gr.permutation_null(a, gr.nearest(adj, b), pool, N_PERM_FULL, SEED)
+
+
+@REG.query(oracle=sql(es._SCORED + ", " + _ADJ + _WHOLE + _NEAREST("sn") + ", pool AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS pos, count(*) OVER (PARTITION BY category) AS size FROM deg), " + _DRAW(("category",)) + _NULL_ROW, "nodes", "edges", "chs"))
+def uniform_null_closest_whole(spark: Spark, sf: str) -> DataFrame:
+    """The same null with members of the category drawn whatever their degree."""
+    adj = _adj(spark, sf)
+    a, b = _whole_sets(spark, sf, adj)
+    return gr.uniform_null(a, gr.nearest(adj, b), _degrees(spark, sf, adj), N_PERM_FULL, SEED)
+
+
 def _shuffled(spark: Spark, sf: str, columns: list[str], where: str) -> tuple[DataFrame, DataFrame]:
     c = settle(es.scored_chains(spark, sf).where(where).select("chain_id", "microbe_id", "metabolite_id", "gene_id", "gene_name"), "real")
     return c, settle(nm.permute(c, "chain_id", columns, SEED), "shuffled")

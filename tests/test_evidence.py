@@ -229,6 +229,14 @@ def test_distances_start_at_every_disease(spark):
     assert rows(entry.queries()["bfs_distances_whole"](spark, sf).select("src").distinct()) == rows(degree, "id")
 
 
+def test_null_models_use_a_thousand_permutations(spark):
+    import __spark_entry__ as entry
+
+    for name in ("perm_null_closest_whole", "uniform_null_closest_whole"):
+        r = entry.queries()[name](spark, "/root/testdata/sf0.001").first()
+        assert r.n + r.unreachable == 1000
+
+
 def test_components_and_bins(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(20)], "subject string, object string")
     nodes = spark.createDataFrame([(x,) for x in "abcdez"] + [(f"p{i:02}",) for i in range(21)], "id string")
