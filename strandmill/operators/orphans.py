@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators.skew import salted_join
+from strandmill.operators.skew import hot_keys
 
 PLACEHOLDERS = ("", "-", "NA")
+FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+#: Slices of time into which the rows of a hot key are cut.
+SLICES = 8
 
 
 def reference_key(c: Column) -> Column:
@@ -21,6 +24,10 @@ def reference_key(c: Column) -> Column:
     return F.when(t.isin(*PLACEHOLDERS), None).otherwise(key)
 
 
+def _moment(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
 @dataclass(frozen=True)
 class Source:
     """A table that refers: ``fields`` maps each referring column to the name of its target table."""
@@ -56,35 +63,79 @@ def references(sources: Sequence[Source]) -> DataFrame:
     return out
 
 
-def validity(targets: Sequence[Target]) -> DataFrame:
-    """``target_key, since, until``: one interval per key, from its first ``added`` to its last ``removed`` (open if any row of the key is open)."""
+def starts(targets: Sequence[Target]) -> DataFrame:
+    """``target_key, t, reach``: for each time at which a key's rows begin, how far the furthest of them reaches.
+
+    A null start is the beginning of time, a null end its end. Rows of a key that begin together are one here.
+    """
     parts = []
     for t in targets:
         removed = F.col(t.removed) if t.removed else F.lit(None)
-        parts.append(t.table.select(F.concat_ws("|", F.lit(t.name), reference_key(F.col(t.key))).alias("target_key"), reference_key(F.col(t.key)).alias("k"), F.col(t.added).cast("timestamp").alias("since"), removed.cast("timestamp").alias("until")).where(F.col("k").isNotNull()).drop("k"))
+        key = reference_key(F.col(t.key))
+        rows = t.table.select(key.alias("k"), F.coalesce(F.col(t.added).cast("timestamp"), _moment(FIRST)).alias("t"), F.coalesce(removed.cast("timestamp"), _moment(LAST)).alias("reach")).where(F.col("k").isNotNull())
+        parts.append(rows.select(F.concat_ws("|", F.lit(t.name), "k").alias("target_key"), "t", "reach"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    # a null start means "always": it must win over later starts
-    since = F.when(F.count("since") < F.count(F.lit(1)), None).otherwise(F.min("since"))
-    until = F.when(F.count("until") < F.count(F.lit(1)), None).otherwise(F.max("until"))
-    return rows.groupBy("target_key").agg(since.alias("since"), until.alias("until"))
+    return rows.groupBy("target_key", "t").agg(F.max("reach").alias("reach"))
+
+
+def _sliced(refs: DataFrame, spans: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both streams with a ``slot``: keys that hold 1 % of either stream are cut into slices of time, and their references spread within a slice.
+
+    A slice begins with one row that tells how far the starts before it reach; these come from one maximum per key and
+    slice, so that no task sees all rows of a hot key, whether they are references or parents.
+    """
+    both = refs.select("target_key", F.col("at").alias("t")).unionByName(spans.select("target_key", "t"))
+    hot = sorted({*hot_keys(refs, F.col("target_key")), *hot_keys(spans, F.col("target_key"))})
+    if not hot:
+        return refs.withColumn("slot", F.lit(0)), spans.withColumn("slot", F.lit(0))
+    is_hot = F.col("target_key").isin(hot)
+    cuts = both.where(is_hot).agg(F.percentile_approx(F.col("t").cast("double"), [i / SLICES for i in range(1, SLICES)], 1000)).first()[0]
+    cuts = sorted(set(cuts or []))
+
+    def of(t: Column) -> Column:
+        out = F.lit(0)
+        for c in cuts:
+            out = out + F.coalesce(t.cast("double") >= c, F.lit(False)).cast("int")
+        return out
+
+    spread = F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int")
+    r = refs.withColumn("slot", F.when(is_hot, of(F.col("at")) * salts + spread).otherwise(0))
+    each = spans.where(is_hot).withColumn("slice", of(F.col("t")))
+    most = each.groupBy("target_key", "slice").agg(F.max("reach").alias("m"))
+    grid = most.groupBy("target_key").agg(F.collect_list(F.struct("slice", "m")).alias("ms")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))  # SLICES entries at most
+    carried = grid.select("target_key", _moment(FIRST).alias("t"), F.array_max(F.transform(F.filter("ms", lambda x: x["slice"] < F.col("slice")), lambda x: x["m"])).alias("reach"), "slice")
+    copies = F.explode(F.sequence(F.col("slice") * salts, F.col("slice") * salts + salts - 1)).alias("slot")
+    hot_spans = each.select("target_key", "t", "reach", "slice").unionByName(carried).select("target_key", "t", "reach", copies)
+    return r, spans.where(~is_hot).withColumn("slot", F.lit(0)).unionByName(hot_spans)
 
 
 def broken_references(sources: Sequence[Source], targets: Sequence[Target], salts: int = 16) -> DataFrame:
     """``tbl, field, row_key, ref_period, reason``: each broken reference once.
 
-    References and parent intervals are partitioned alike by key, sorted, and merged in one linear pass (a sort-merge
-    join); a key that holds 1 % of the references or more is spread over ``salts`` tasks, its one parent row repeated.
-    ``missing``: no target row has the key. ``late``: the target starts after the referring time. ``deleted``: it ended
-    at or before it. A null start counts as "always there", a null end as "still there". Without a referring time only
-    ``missing`` can be told, and ``ref_period`` is null. Repeated rows give one row. Empty tables: no references means
-    no rows, no targets means that all are missing.
+    References and the starts of parents are partitioned alike by key, sorted by time, and merged in one linear pass that
+    carries how far the parent rows seen so far reach: the running maximum of their ends. A key with several rows is
+    there wherever one of them is, so that a parent removed and added again leaves a gap in between.
+    ``missing``: no target row has the key. ``late``: every row of it starts after the referring time. ``deleted``: some
+    started before, and all of those had ended at or before that time. A null start counts as "always there", a null
+    end as "still there". Without a referring time only ``missing`` can be told, and ``ref_period`` is null. Repeated
+    rows give one row. Empty tables: no references means no rows, no targets means that all are missing.
     """
-    parents = validity(targets).withColumn("there", F.lit(1))
-    joined = salted_join(references(sources), parents, "target_key", "left", F.col("row_key"), salts)
-    reason = F.when(F.col("there").isNull(), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
-    out = joined.select("tbl", "field", "row_key", F.date_format("at", "yyyy-MM").alias("ref_period"), reason.alias("reason"))
+    refs, spans = _sliced(references(sources), starts(targets), salts)
+    none = F.lit(None).cast("string")
+    parents = spans.select("target_key", "slot", "t", F.lit(0).alias("kind"), "reach", none.alias("tbl"), none.alias("field"), none.alias("row_key"))
+    asked = refs.select("target_key", "slot", F.col("at").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("reach"), "tbl", "field", "row_key")
+    group = Window.partitionBy("target_key", "slot")
+    merged = (
+        parents.unionByName(asked)
+        .withColumn("upto", F.max("reach").over(group.orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("known", F.min("kind").over(group))
+        .where("kind = 1")
+    )
+    at = F.col("t")
+    reason = F.when(F.col("known") == 1, "missing").when(at.isNotNull() & F.col("upto").isNull(), "late").when(F.col("upto") <= at, "deleted")
+    out = merged.select("tbl", "field", "row_key", F.date_format("t", "yyyy-MM").alias("ref_period"), reason.alias("reason"))
     return out.where(F.col("reason").isNotNull()).distinct()
 
 

@@ -18,6 +18,7 @@ import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,40 +69,52 @@ def _unbracket(text: str) -> str:
     return _strip(t[1:-1]) if len(t) > 1 and t[0] == "[" and t[-1] == "]" else t
 
 
+@lru_cache(maxsize=256)
+def _patterns(delimiters: str, quote: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Compiled for a dialect: a delimiter; what must follow a closing quote; a run of quotes."""
+    one = f"[{re.escape(delimiters)}]" if delimiters else "(?!)"
+    blank = f"[{re.escape(BLANK)}]*"
+    return re.compile(one), re.compile(f"{one}|{blank}(?:{one}|$(?![\\s\\S]))"), re.compile(re.escape(quote) + "+" if quote else "(?!)")
+
+
 def pieces(text: str, dialect: Dialect) -> list[tuple[str, bool]]:
     """(content, was quoted) of the non-empty places between the delimiters; a doubled quote inside quotes is one quote.
 
     A quote opens only at the start of a place and closes only before a delimiter or the end; an unclosed one is text.
+    One pass finds all runs of quotes, one from right to left the next run that may close; so the time is linear, however
+    many quotes stay open: in a run of quotes the pairs are content, and an odd one out closes if what follows allows it.
     """
+    t, q = _unbracket(text), dialect.quote
+    delimiter, follows, run = _patterns(dialect.delimiters, q)
+    if not q or q not in t:
+        return [(p, False) for x in (delimiter.split(t) if dialect.delimiters else [t]) if (p := _strip(x))]
+    runs = [m.span() for m in run.finditer(t)]
+    at = {a: k for k, (a, _) in enumerate(runs)}
+    ends = [bool(follows.match(t, b)) for _, b in runs]
+    closing, later = [-1] * (len(runs) + 1), -1  # the first run from k on that closes a quote opened before it
+    for k in range(len(runs) - 1, -1, -1):
+        if ends[k] and (runs[k][1] - runs[k][0]) % 2:
+            later = k
+        closing[k] = later
     out: list[tuple[str, bool]] = []
-    t, q, d = _unbracket(text), dialect.quote, dialect.delimiters
-    i, n, start = 0, len(t), 0
-    while i <= n:
-        if q and i < n and t[i] == q and not _strip(t[start:i]):
-            j = i + 1
-            while j < n:
-                if t[j] == q:
-                    if t[j + 1 : j + 2] == q:
-                        j += 2
-                        continue
-                    rest = t[j + 1 :].lstrip(BLANK)
-                    # the blanks after a closing quote are padding or delimiters
-                    if not rest or t[j + 1] in d or rest[0] in d:
-                        break
-                j += 1
-            if j < n:
-                out.append((t[i + 1 : j].replace(q + q, q), True))
-                i = j + 1
-                while i < n and t[i] not in d:
-                    i += 1
-                i += 1
-                start = i
+    start, n = 0, len(t)
+    while start <= n:
+        i = start
+        while i < n and t[i] in BLANK and t[i] not in dialect.delimiters:
+            i += 1
+        if (k := at.get(i)) is not None:
+            a, b = runs[k]
+            close = b - 1 if ends[k] and (b - a) % 2 == 0 else runs[closing[k + 1]][1] - 1 if closing[k + 1] >= 0 else -1
+            if close > i:
+                out.append((t[i + 1 : close].replace(q + q, q), True))
+                m = delimiter.search(t, close + 1)
+                start = m.end() if m else n + 1
                 continue
-        if i == n or t[i] in d:
-            if piece := _strip(t[start:i]):
-                out.append((piece, False))
-            start = i + 1
-        i += 1
+        m = delimiter.search(t, i)
+        end = m.start() if m else n
+        if piece := _strip(t[start:end]):
+            out.append((piece, False))
+        start = m.end() if m else n + 1
     return out
 
 
@@ -118,14 +131,23 @@ class ValueCode:
         self.unseen = -math.log2(1 / whole)
         self.extra = {"a": math.log2(26)}
 
+        self.known: dict[str, float] = {}
+
     def value(self, text: str) -> float:
+        cost = self.known.get(text)
+        if cost is None:
+            cost = self._value(text)
+            if len(text) <= 64 and len(self.known) < MEMO:
+                self.known[text] = cost
+        return cost
+
+    def _value(self, text: str) -> float:
         if REFERENCE.match(text):
             return self.kind["ref"] + text.count(":") + self.extra["a"] * sum(c.isalpha() for c in text) / 2
-        cost = self.kind["words"] + self.symbol.get("end", self.unseen)
-        for ch in outline(text):
-            s = _symbol(ch)
-            cost += self.symbol.get(s, self.unseen) + self.extra.get(s, 0)
-        return cost
+        symbols: Counter = Counter()
+        for ch, n in Counter(outline(text)).items():
+            symbols[_symbol(ch)] += n
+        return self.kind["words"] + self.symbol.get("end", self.unseen) + sum(n * (self.symbol.get(s, self.unseen) + self.extra.get(s, 0)) for s, n in sorted(symbols.items()))
 
     def listed(self, text: str) -> tuple[float, list[str]]:
         """The cost and the values of a quoted stretch: one value, or a list of values."""
@@ -149,8 +171,19 @@ class ValueCode:
 
 
 def candidates(text: str) -> list[Dialect]:
-    """The dialects that can tell the text apart from a coarser one: all their quotes and some of their delimiters occur in it."""
-    return [x for x in DIALECTS if (not x.delimiters or any(c in text for c in x.delimiters)) and (not x.quote or x.quote in text)]
+    """The dialects that can tell the text apart from a coarser one: all their quotes and some of their delimiters occur in it.
+
+    Of dialects whose delimiters are the same as far as they occur, only the smallest can be cheapest.
+    """
+    present = set(text)
+    least: dict[tuple[frozenset, str], Dialect] = {}
+    for x in DIALECTS:
+        some = frozenset(x.delimiters) & present
+        if (x.delimiters and not some) or (x.quote and x.quote not in present):
+            continue
+        if (old := least.get((some, x.quote))) is None or len(x.delimiters) < len(old.delimiters):
+            least[some, x.quote] = x
+    return list(least.values())
 
 
 def choose(text: str, code: ValueCode) -> Dialect:
@@ -177,31 +210,47 @@ def _seed_values(text: str) -> list[str]:
     return [v for v in out if v not in PLACEHOLDERS]
 
 
+class _Memo(OrderedDict):
+    """A bounded map that forgets what was used least recently."""
+
+    def find(self, key, make):
+        if key in self:
+            self.move_to_end(key)
+            return self[key]
+        value = make()
+        if len(key[-1]) <= 4096:
+            self[key] = value
+            if len(self) > MEMO:
+                self.popitem(last=False)
+        return value
+
+
+def _tally(shape: str) -> Counter:
+    """How often the classes and symbols occur in the values of one outline."""
+    one: Counter = Counter()
+    for v in _seed_values(shape):
+        ref = bool(REFERENCE.match(v))
+        one["kind", "ref" if ref else "words"] += 1
+        if not ref:
+            one["symbol", "end"] += 1
+            for ch, n in Counter(v).items():
+                one["symbol", _symbol(ch)] += n
+    return one
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
-    memo: OrderedDict[str, Counter] = OrderedDict()
+    memo = _Memo()
     for pdf in batches:
-        for field, shape, n in zip(pdf["field"], pdf["shape"], pdf["n"]):
-            one = memo.get(shape)
-            if one is None:
-                one = Counter()
-                for v in _seed_values(shape):
-                    ref = bool(REFERENCE.match(v))
-                    one["kind", "ref" if ref else "words"] += 1
-                    if not ref:
-                        one["symbol", "end"] += 1
-                        one.update(("symbol", _symbol(c)) for c in v)
-                memo[shape] = one
-                if len(memo) > MEMO:
-                    memo.popitem(last=False)
-            for k, c in one.items():
+        for (field, shape), n in Counter(zip(pdf["field"], pdf["shape"])).items():
+            for k, c in memo.find((shape,), lambda: _tally(shape)).items():
                 total[(field, *k)] += c * n
     yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["field", "what", "symbol", "n"])
 
 
 def value_counts(packed: DataFrame) -> dict[str, dict[tuple[str, str], int]]:
-    """Counts of value classes and symbols per field over all rows: at most fields x (2 + ``SYMBOLS``) of them reach the driver."""
-    shapes = packed.where("raw is not null").select("field", F.regexp_replace("raw", "[0-9]+", "0").alias("shape")).groupBy("field", "shape").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of value classes and symbols per field over all rows: each task sends its sums, and fields x (2 + ``SYMBOLS``) of them at most reach the driver."""
+    shapes = packed.where("raw is not null").select("field", F.regexp_replace("raw", "[0-9]+", "0").alias("shape"))
     rows = shapes.mapInPandas(_counted, "field string, what string, symbol string, n long").groupBy("field", "what", "symbol").agg(F.sum("n").alias("n")).collect()
     out: dict[str, dict[tuple[str, str], int]] = {}
     for r in rows:
@@ -223,9 +272,10 @@ def packed_fields(tables: Sequence[tuple[str, DataFrame, str, Sequence[str]]]) -
 def split_packed(packed: DataFrame, counts: Mapping[str, Mapping[tuple[str, str], int]] | None = None) -> DataFrame:
     """``tbl, field, row_key, pos, item``: each value of each packed field, with its place from 1.
 
-    ``packed`` has ``tbl, field, row_key, raw``. Repeated rows are split once; null, blank and placeholder fields and
-    empty places give no rows; texts of any length are parsed whole, in one pass. Fields with equal texts give equal
-    values. An empty table gives no rows.
+    ``packed`` has ``tbl, field, row_key, raw``. Repeated rows give their values once; null, blank and placeholder fields
+    and empty places give no rows; texts of any length are parsed whole, in time proportional to their length for each of
+    the few dialects that can apply. Fields with equal texts give equal values. An empty table gives no rows. Besides
+    the sums of ``value_counts`` only the result is shuffled, to drop repetitions.
     """
     counts = value_counts(packed) if counts is None else counts
     known = {f: dict(c) for f, c in counts.items()}
@@ -233,7 +283,7 @@ def split_packed(packed: DataFrame, counts: Mapping[str, Mapping[tuple[str, str]
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = {f: ValueCode(c) for f, c in known.items()}
         fallback = ValueCode({})
-        memo: OrderedDict[tuple[str, str], Dialect] = OrderedDict()
+        memo = _Memo()
         for pdf in batches:
             src: list[int] = []
             pos: list[int] = []
@@ -245,12 +295,8 @@ def split_packed(packed: DataFrame, counts: Mapping[str, Mapping[tuple[str, str]
                 if raw.isdigit():
                     got = [raw]
                 else:
-                    key = (field, outline(raw))
-                    dialect = memo.get(key)
-                    if dialect is None:
-                        dialect = memo[key] = choose(key[1], code)
-                        if len(memo) > MEMO:
-                            memo.popitem(last=False)
+                    shape = outline(raw)
+                    dialect = memo.find((field, shape), lambda shape=shape, code=code: choose(shape, code))
                     got = values(raw, dialect, code)
                 src += [i] * len(got)
                 pos += range(1, len(got) + 1)
@@ -260,5 +306,4 @@ def split_packed(packed: DataFrame, counts: Mapping[str, Mapping[tuple[str, str]
             rows["item"] = pd.Series(item, dtype="object")
             yield rows
 
-    distinct = packed.select("tbl", "field", "row_key", "raw").distinct()
-    return distinct.mapInPandas(parse, "tbl string, field string, row_key string, pos int, item string").distinct()
+    return packed.select("tbl", "field", "row_key", "raw").mapInPandas(parse, "tbl string, field string, row_key string, pos int, item string").distinct()

@@ -88,10 +88,11 @@ keyed AS (SELECT * EXCLUDE (r), CASE WHEN contains(r, ':') THEN lower(split_part
 parents AS (
   SELECT 'node' AS target, CASE WHEN contains(id, ':') THEN lower(split_part(id, ':', 1)) || substr(id, instr(id, ':')) ELSE id END AS k, added_at, removed_at FROM merged_nodes
   UNION ALL SELECT 'edge', edge_id, added_at, removed_at FROM merged_edges),
-spans AS (SELECT target, k, min(added_at) AS since, CASE WHEN count(removed_at) = count(*) THEN max(removed_at) END AS until FROM parents GROUP BY target, k),
 told AS (SELECT tbl, field, row_key, strftime(ref_at, '%Y-%m') AS ref_period,
-           CASE WHEN s.k IS NULL THEN 'missing' WHEN since > ref_at THEN 'late' WHEN until <= ref_at THEN 'deleted' END AS reason
-         FROM keyed r LEFT JOIN spans s ON r.k = s.k AND r.target = s.target),
+           CASE WHEN count(s.k) = 0 THEN 'missing' WHEN ref_at IS NULL THEN NULL
+             WHEN bool_or(coalesce(s.added_at <= ref_at, true) AND coalesce(s.removed_at > ref_at, true)) THEN NULL
+             WHEN bool_or(coalesce(s.added_at <= ref_at, true)) THEN 'deleted' ELSE 'late' END AS reason
+         FROM keyed r LEFT JOIN parents s ON r.k = s.k AND r.target = s.target GROUP BY tbl, field, row_key, ref_at, r.k, r.target),
 found AS (SELECT DISTINCT * FROM told WHERE reason IS NOT NULL)
 """
 

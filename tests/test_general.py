@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,13 +112,12 @@ def brute_broken(refs, parents):
         month = at.strftime("%Y-%m") if at else None
         if k not in spans:
             out.add((field, row, month, "missing"))
-            continue
-        since = None if any(s is None for s, _ in spans[k]) else min(s for s, _ in spans[k])
-        until = None if any(u is None for _, u in spans[k]) else max(u for _, u in spans[k])
-        if at and since and since > at:
-            out.add((field, row, month, "late"))
-        elif at and until and until <= at:
-            out.add((field, row, month, "deleted"))
+        elif at:
+            begun = [(s, u) for s, u in spans[k] if s is None or s <= at]
+            if not begun:
+                out.add((field, row, month, "late"))
+            elif all(u is not None and u <= at for _, u in begun):
+                out.add((field, row, month, "deleted"))
     return out
 
 
@@ -126,6 +126,7 @@ def test_broken_references_against_brute_force(spark):
     day = lambda n: T(2025, 1, 1) + dt.timedelta(days=n)
     parents = [(f"x:{i}", day(rng.randint(0, 60)) if i % 9 else None, day(rng.randint(30, 200)) if i % 4 == 0 else None) for i in range(40)]
     parents += parents[:5]
+    parents += [(f"x:{i % 12}", day(rng.randint(0, 200)), day(rng.randint(30, 220)) if i % 5 else None) for i in range(50)]  # keys that come and go, one of them hot
     shapes = ["X:{0}", "x:{0}", " X:{0}", "x:{0}\t", "x:{0}-y"]
     refs = []
     for i in range(400):
@@ -144,6 +145,13 @@ def test_broken_references_against_brute_force(spark):
     assert {r.reason for r in none.collect()} == {"missing"}
 
 
+def test_parent_removed_and_added_again(spark):
+    nodes = spark.createDataFrame([("A", T(2025, 1, 1), T(2025, 2, 1)), ("A", T(2025, 6, 1), None)], "id string, a timestamp, r timestamp")
+    refs = spark.createDataFrame([("r1", T(2025, 1, 15), "A"), ("r2", T(2025, 3, 1), "A"), ("r3", T(2025, 7, 1), "A"), ("r4", T(2024, 7, 1), "A"), ("r5", None, "A"), ("r6", None, "B")], "row string, t timestamp, s string")
+    got = rows(broken_references([Source("tab", refs, "row", "t", {"s": "n"})], [Target("n", nodes, "id", "a", "r")]).select("row_key", "reason"))
+    assert got == [("r2", "deleted"), ("r4", "late"), ("r6", "missing")]
+
+
 def test_reference_key(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in ("MeSH:D1", " mesh:D1\t", "E-aB", "-", None)], "x string").select(reference_key(F.col("x"))).collect()]
     assert got == ["mesh:D1", "mesh:D1", "E-aB", None, None]
@@ -157,6 +165,20 @@ def test_no_forbidden_calls():
         assert "localCheckpoint" not in p.read_text(), p
 
 
+@pytest.mark.parametrize("unit", ['"a;', '"12345", ', "word and more; ", '"', "'1' | "])
+def test_packed_parse_is_linear(unit):
+    code = P.ValueCode({("kind", "ref"): 9000, ("kind", "words"): 200, ("symbol", "a"): 1500})
+
+    def took(n):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        P.values(text, P.choose(P.outline(text), code), code)
+        return time.process_time() - began
+
+    took(20_000)
+    assert took(400_000) < 40 * max(took(40_000), 0.01)  # ten times as long; a quadratic parse would take a hundred times
+
+
 @pytest.mark.parametrize("text", ["x" * 50, "((", '"', "'a", '["', "a''b"])
 def test_odd_packed_texts_do_not_fail(text):
     code = P.ValueCode({})
