@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators.skew import hot_keys
+from strandmill.operators.skew import HOT_SHARE
 
 PLACEHOLDERS = ("", "-", "NA")
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
@@ -86,19 +86,19 @@ def _sliced(refs: DataFrame, spans: DataFrame, salts: int) -> tuple[DataFrame, D
     A slice begins with one row that tells how far the starts before it reach; these come from one maximum per key and
     slice, so that no task sees all rows of a hot key, whether they are references or parents.
     """
-    both = refs.select("target_key", F.col("at").alias("t")).unionByName(spans.select("target_key", "t"))
-    hot = sorted({*hot_keys(refs, F.col("target_key")), *hot_keys(spans, F.col("target_key"))})
-    if not hot:
+    both = refs.select(F.lit(0).alias("side"), "target_key", F.col("at").alias("t")).unionByName(spans.select(F.lit(1).alias("side"), "target_key", "t"))
+    counts = both.groupBy("side", "target_key").agg(F.count(F.lit(1)).alias("n"), F.min("t").cast("double").alias("lo"), F.max("t").cast("double").alias("hi"))
+    total = counts.groupBy("side").agg(F.sum("n").alias("all"))
+    many = counts.join(F.broadcast(total), "side").where(F.col("n") >= F.greatest(F.col("all") * HOT_SHARE, F.lit(2))).collect()  # 1 / HOT_SHARE keys of each side at most
+    if not many:
         return refs.withColumn("slot", F.lit(0)), spans.withColumn("slot", F.lit(0))
-    is_hot = F.col("target_key").isin(hot)
-    cuts = both.where(is_hot).agg(F.percentile_approx(F.col("t").cast("double"), [i / SLICES for i in range(1, SLICES)], 1000)).first()[0]
-    cuts = sorted(set(cuts or []))
+    is_hot = F.col("target_key").isin(sorted({r.target_key for r in many}))
+    lo, hi = min((r.lo for r in many if r.side == 0 and r.lo is not None), default=0.0), max((r.hi for r in many if r.side == 0 and r.hi is not None), default=0.0)
+    cuts = [lo + (hi - lo) * i / SLICES for i in range(1, SLICES)] if hi > lo else []
 
     def of(t: Column) -> Column:
-        out = F.lit(0)
-        for c in cuts:
-            out = out + F.coalesce(t.cast("double") >= c, F.lit(False)).cast("int")
-        return out
+        """The number of cuts at or before a time; nulls come first."""
+        return F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + F.coalesce(t.cast("double") >= c, F.lit(False)).cast("int")) if cuts else F.lit(0)
 
     spread = F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int")
     r = refs.withColumn("slot", F.when(is_hot, of(F.col("at")) * salts + spread).otherwise(0))
