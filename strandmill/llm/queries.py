@@ -67,13 +67,13 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @REG.query()
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).select("doc_id", "item_id")
+    return _leaks(spark, sf).where("exact").select("doc_id", "item_id")
 
 
 @REG.query()
 def p7_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Each item that leaked, with the number of documents that reveal it and the best score."""
-    counts = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("score").alias("best_score"))
+    """Each item that leaked, with the number of documents that hold a passage of it, of those that hold an edited copy only, and the best score."""
+    counts = _leaks(spark, sf).groupBy("item_id").agg(F.count_if("exact").alias("n_documents"), F.count_if(~F.col("exact")).alias("n_edited"), F.max("score").alias("best_score"))
     return load(spark, sf, "eval_items").select("item_id", "lang", "split", "task").join(counts, "item_id")
 
 

@@ -177,13 +177,12 @@ def brute_leak(text, item, rule, units):
     return False
 
 
-def test_leaks_against_brute_force():
+def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(10, 40)))) for i in range(12)]
-    block = L.Items(items, L.WORDS, L.words)
-    hits = 0
-    for _ in range(250):
+    texts = []
+    for d in range(250):
         _, it = rng.choice(items)
         w = it.split()
         n = rng.randint(8, 24)
@@ -192,21 +191,90 @@ def test_leaks_against_brute_force():
         for k in range(len(part)):
             if rng.random() < 0.1:
                 part[k] = "zzz"
-        text = " ".join([rng.choice(vocabulary) for _ in range(10)] + [p.upper() + "," for p in part] + [rng.choice(vocabulary) for _ in range(10)])
-        want = sorted(i for i, t in items if brute_leak(text, t, L.WORDS, L.words))
-        assert [i for i, _ in block.found(text)] == want, text
-        hits += bool(want)
-    assert 50 < hits < 250
+        texts.append((d, " ".join([rng.choice(vocabulary) for _ in range(10)] + [p.upper() + "," for p in part] + [rng.choice(vocabulary) for _ in range(10)])))
+    want = sorted(((d, i) for d, t in texts for i, it in items if brute_leak(t, it, L.WORDS, L.words)), key=repr)
+    docs, its = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(L.leaks(docs, its, "doc_id", "text", "item_id", "text").where("exact"), "doc_id", "item_id") == want
+    assert 50 < len(want) < 250
+
+
+def full_alignment(text, item):
+    best, above = 0, [0] * (len(text) + 1)
+    for u in item:
+        row = [0]
+        for j, t in enumerate(text, 1):
+            row.append(max(0, above[j - 1] + (1 if t == u else -1), above[j] - 2, row[-1] - 2))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_edited_copies_are_found(spark):
+    item = [f"i{k}" for k in range(24)]
+    cases = {
+        1: item[:8] + ["new"] + item[8:16] + ["other"] + item[16:],  # two words added
+        2: item[:8] + item[9:16] + item[17:],  # two words left out
+        3: ["sub" if k in (7, 15) else w for k, w in enumerate(item)],  # two exchanged: a passage
+        4: item[:6] + ["a", "b", "c"] + item[6:9],  # too little
+        5: item[:9] + ["x"] + ["y" if k == 14 else w for k, w in enumerate(item)][9:],
+        6: item[::-1],
+    }
+    docs = spark.createDataFrame([(k, " ".join(["p", "q", *w, "r"])) for k, w in cases.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.exact) for r in L.leaks(docs, items, "doc_id", "text", "item_id", "text").collect()}
+    assert {d for d, _ in got} == {1, 2, 3, 5} and len(got) == 8
+    assert {d for (d, _), (_, exact) in got.items() if exact} == {3, 5}  # in 5 the fifteen words after the added one are a passage
+    for (d, _), (score, _) in got.items():
+        assert score == full_alignment(cases[d], item)
+
+
+def test_band_scores_equal_full_alignment():
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 9))], dtype=np.uint64) for _ in range(200)]
+    items = [np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 6))], dtype=np.uint64) for _ in range(200)]
+    got = L.alignment_scores(L.windows(texts, items, [0] * 200)).tolist()  # the band holds all diagonals of texts so short
+    assert got == [full_alignment(t[: len(i) + L.BAND].tolist(), i.tolist()) for t, i in zip(texts, items)]
+
+
+def test_rare_seeds_cover_every_passage():
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = [rng.choice([0, 1, 5, 100]) for _ in range(rng.randint(1, 9))]
+        kept = L.rarest(counts)
+        covers = [s for n in range(1 << len(counts)) if all(n >> k & 3 for k in range(len(counts) - 1)) and (s := sum(c for k, c in enumerate(counts) if n >> k & 1)) >= 0]
+        assert len(counts) == 1 or (all({k, k + 1} & set(kept) for k in range(len(counts) - 1)) and sum(counts[k] for k in kept) == min(covers))
+    for rule in L.RULES:
+        for n in range(rule.least, 200):
+            m = n // rule.one_in
+            assert -(-(n - m) // (m + 1)) >= rule.run >= rule.seed + 1
+
 
+def found_pairs(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    its = spark.createDataFrame(items, "item_id long, text string")
+    return rows(L.leaks(docs, its, "doc_id", "text", "item_id", "text").where("exact"), "doc_id", "item_id")
 
-def test_chinese_leaks():
+
+def test_chinese_leaks(spark):
     item = "如果Tipubacter mefevora把L-monosonate转化为6-methyldupivonol，同时WVFL8被dudolar抑制，那么63天后rogupor的含量会怎样变化？"
-    block = L.Items([(7, item)], L.LETTERS, L.letters)
-    assert block.found("旧笔记中写着“" + item[20:60].replace("，", "\n") + "”这句话。")[0][0] == 7
-    assert block.found("如果Zadabacter pazetica把5-hydroxyzoliponine转化为L-kerasadione，同时QVSI2被zalosar抑制，那么4天后zebozol的含量会怎样变化？") == []
+    other = "如果Zadabacter pazetica把5-hydroxyzoliponine转化为L-kerasadione，同时QVSI2被zalosar抑制，那么4天后zebozol的含量会怎样变化？"
+    assert found_pairs(spark, ["旧笔记中写着“" + item[20:60].replace("，", "\n") + "”这句话。", other], [(7, item)]) == [(0, 7)]
     assert L.by_letters(item) and not L.by_letters("plain words") and not L.by_letters("")
 
 
+def test_seeds_across_texts_do_not_count(spark):
+    item = " ".join(f"i{k}" for k in range(14))
+    halves = [" ".join(item.split()[:7]), " ".join(item.split()[7:])]
+    assert found_pairs(spark, halves + [item], [(1, item)]) == [(2, 1)]
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"i{k}" for k in range(14))
+    long = "filler words " * 150_000 + item + " more" * 100_000
+    assert found_pairs(spark, [long, "x"], [(1, item)]) == [(0, 1)]
+
+
 def test_chinese_full_of_latin_names(spark):
     item = "如果Lumospira zuzaphilus把2-hydroxydedivenol转化为2-hydroxyluniminoside，同时OEDQ8被livalar抑制，那么55天后mibapar的含量会怎样变化？"  # item 1496
     docs = spark.createDataFrame([(4641, "旧笔记：" + item), (1, "plain words only")], "doc_id long, text string")
@@ -222,7 +290,6 @@ def test_leaks_on_tables(spark):
     docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\r\n")), (2, None), (3, ""), (4, "one two three"), (1, "x " + item), (5, item.replace("six", "sex"))], "doc_id long, text string").withColumn("item_id", F.lit(0))
     items = spark.createDataFrame([(10, item), (11, None), (12, "short"), (10, item)], "item_id long, text string").withColumn("doc_id", F.lit(0))
     assert rows(L.leaks(docs, items, "doc_id", "text", "item_id", "text"), "doc_id", "item_id") == [(1, 10), (5, 10)]
-    assert rows(L.leaks(docs, items, "doc_id", "text", "item_id", "text", block=1), "doc_id", "item_id") == [(1, 10), (5, 10)]
     assert L.leaks(docs.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
     assert L.leaks(docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
