@@ -54,6 +54,11 @@ class Rule:
         """The exact units in a row that every passage holds: n units, m of them exchanged, leave m + 1 runs."""
         return min(-(-(max(self.least, m * self.one_in) - m) // (m + 1)) for m in range(self.least))
 
+    @property
+    def close(self) -> int:
+        """The exact units that some stretch of ``least`` units of every passage has: from twice the length on, one of two apart has at most its share of the exchanged ones."""
+        return self.least - (2 * self.least - 1) // self.one_in
+
     @property
     def score(self) -> int:
         """The least score of a passage's own alignment."""
@@ -204,17 +209,47 @@ def passage(columns, rule: Rule) -> bool:
     return False
 
 
-def bands(shifts: list[int]) -> list[int]:
-    """Centres of bands that cover all diagonals."""
-    out: list[int] = []
-    first = None
+def bands(shifts: list[int]) -> list[list[int]]:
+    """The diagonals in groups that one band covers."""
+    out: list[list[int]] = []
     for s in sorted(shifts):
-        if first is None or s - first > SPREAD:
-            first = s
-            out.append(s + SPREAD // 2)
+        if out and s - out[-1][0] <= SPREAD:
+            out[-1].append(s)
+        else:
+            out.append([s])
     return out
 
 
+def likely(texts: list[np.ndarray], items: list[np.ndarray], shifts: list[list[int]], rule: Rule) -> np.ndarray:
+    """Which groups of diagonals are worth an alignment: on them some ``least`` units of the item have ``close`` exact ones at least.
+
+    Every passage has them on its own diagonal. An edited copy has them if each of its parts holds a seed.
+    """
+    of: dict[int, int] = {}
+    parts, offsets, n = [], [], 0
+    for t in texts:
+        if id(t) not in of:
+            of[id(t)] = n
+            parts.append(t)
+            n += len(t)
+        offsets.append(of[id(t)])
+    flat = np.concatenate(parts)
+    longest = max(map(len, items))
+    own = np.zeros((len(items), longest), dtype=np.uint64)
+    for k, item in enumerate(items):
+        own[k, : len(item)] = item
+    counts = np.fromiter(map(len, shifts), dtype=np.int64, count=len(shifts))
+    which = np.repeat(np.arange(len(shifts)), counts)
+    at = np.concatenate([np.asarray(s, dtype=np.int64) for s in shifts])[:, None] + np.arange(longest)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))[which, None]
+    sizes = np.fromiter(map(len, items), dtype=np.int64, count=len(items))[which, None]
+    inside = (at >= 0) & (at < lengths) & (np.arange(longest) < sizes)
+    same = inside & (flat[np.where(inside, at + np.asarray(offsets, dtype=np.int64)[which, None], 0)] == own[which])
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    sums = np.cumsum(np.pad(np.logical_or.reduceat(same, first, axis=0), ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    return (sums[:, rule.least :] - sums[:, : -rule.least]).max(axis=1) >= rule.close
+
+
 def windows(texts: list[np.ndarray], items: list[np.ndarray], centres: list[int]) -> np.ndarray:
     """``[candidate, unit of the item, diagonal of the band]``: whether the units are the same. ``texts`` and ``items`` are codes."""
     longest = max(map(len, items))
@@ -470,15 +505,17 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
             out = []
             for rule in RULES:
                 own = pdf[pdf["kind"] == rule.kind].reset_index(drop=True)
-                jobs = [(len(item), k, c) for k, (item, shifts) in enumerate(zip(own["item"], own["shifts"])) for c in bands([int(s) for s in shifts])]
-                jobs.sort()  # items of like length go together
+                jobs = [(len(item), k, group) for k, (item, shifts) in enumerate(zip(own["item"], own["shifts"])) for group in bands(shifts.tolist())]
+                jobs.sort(key=lambda x: x[:2])  # items of like length go together
                 at = 0
                 while at < len(jobs):
-                    n = max(1, min(1024, CELLS // (jobs[min(at + 1023, len(jobs) - 1)][0] + 2 * BAND)))
-                    part = jobs[at : at + n]
-                    at += n
-                    done = aligned([code(rule.kind, own["text"][k]) for _, k, _ in part], [code(rule.kind, own["item"][k]) for _, k, _ in part], [c for _, _, c in part], rule)
-                    out += [(own["doc_id"][k], own["cls"][k], score, exact) for (_, k, _), (score, exact) in zip(part, done) if score >= rule.score]
+                    part = jobs[at : at + max(1, min(1024, CELLS // jobs[at][0]))]
+                    at += len(part)
+                    texts, items = [code(rule.kind, own["text"][k]) for _, k, _ in part], [code(rule.kind, own["item"][k]) for _, k, _ in part]
+                    some = np.flatnonzero(likely(texts, items, [g for _, _, g in part], rule)).tolist()
+                    if some:
+                        done = aligned([texts[j] for j in some], [items[j] for j in some], [part[j][2][0] + SPREAD // 2 for j in some], rule)
+                        out += [(own["doc_id"][part[j][1]], own["cls"][part[j][1]], score, exact) for j, (score, exact) in zip(some, done) if score >= rule.score]
             yield pd.DataFrame(out, columns=["doc_id", "cls", "score", "exact"])
 
     texts = hits.select("sid", "doc_id", "kind", F.col("units").alias("text")).distinct()

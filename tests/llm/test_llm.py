@@ -248,6 +248,9 @@ def test_rare_seeds_cover_every_passage():
         for n in range(rule.least, 200):
             m = n // rule.one_in
             assert -(-(n - m) // (m + 1)) >= rule.run >= rule.seed + 1
+            for _ in range(20):
+                wrong = set(rng.sample(range(1, n - 1), m)) if rng.random() < 0.5 else set(range(a := rng.randint(1, n - 1 - m), a + m))
+                assert max(sum(k not in wrong for k in range(a, a + rule.least)) for a in range(n - rule.least + 1)) >= rule.close
 
 
 def found_pairs(spark, texts, items):
