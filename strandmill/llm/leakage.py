@@ -34,8 +34,8 @@ CHUNK = 200_000
 #: Half the width of the band of diagonals that are aligned together, and the spread of seeds within it.
 BAND, SPREAD = 6, 4
 MATCH, EXCHANGE, GAP = 1, -1, -2
-#: Cells of a band matrix that are held at once, per diagonal.
-CELLS = 200_000
+#: Items with which a stretch of text is sent to a worker at once, about.
+TOGETHER = 64
 _MEMO = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -466,7 +466,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
     column with the item's language, if there is one. Empty tables give no rows.
     """
     items = settle(_classes(items, item_key, item_text, item_lang), "items")
-    facts = items.groupBy("kind").agg(F.max("n").alias("longest"), F.sum("n").alias("n")).collect()
+    facts = items.groupBy("kind").agg(F.max("n").alias("longest"), F.sum("n").alias("n"), F.countDistinct("cls").alias("classes")).collect()
     classes = items.select("cls", "kind", "units").distinct()
     seeds = settle(_item_seeds(classes), "seeds")
     docs = documents.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").cast("string").alias("text")).where("doc_id is not null and text <> ''")
@@ -489,38 +489,47 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
     own = seeds.join(often, "key", "left").groupBy("cls").agg(F.collect_list(F.struct("pos", "key", F.coalesce("n", F.lit(0)).alias("n"))).alias("own"))
     chosen = own.mapInPandas(choose, "cls string, pos int, key bigint")
     pairs = salted_join(found, chosen, "key", "inner", F.col("sid"), hot=hot, hint=None).select("sid", "cls", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    pairs = pairs.groupBy("sid", "cls").agg(F.collect_list("shift").alias("shifts"))  # diagonals of one stretch against one item
+    pairs = pairs.groupBy("sid", "cls").agg(F.sort_array(F.collect_list("shift")).alias("shifts"))  # diagonals of one stretch against one item
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded: dict[tuple[int, str], np.ndarray] = {}
-
-        def code(kind: int, units: str) -> np.ndarray:
-            if len(coded) > 256:
-                coded.clear()
-            if (kind, units) not in coded:
-                coded[kind, units] = codes(units if kind else units.split(" "), RULES[kind])
-            return coded[kind, units]
-
-        for pdf in batches:
-            out = []
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            sizes = batch.column(3).value_lengths().to_numpy()
+            each = batch.column(3).flatten()
+            row = np.repeat(np.arange(len(kinds)), sizes)  # of each candidate
+            items = each.field("item").dictionary_encode()
+            of = items.indices.to_numpy()
+            cls, shifts = each.field("cls"), each.field("shifts").to_pylist()
+            found: tuple[list, list, list, list] = ([], [], [], [])
             for rule in RULES:
-                own = pdf[pdf["kind"] == rule.kind].reset_index(drop=True)
-                jobs = [(len(item), k, group) for k, (item, shifts) in enumerate(zip(own["item"], own["shifts"])) for group in bands(shifts.tolist())]
-                jobs.sort(key=lambda x: x[:2])  # items of like length go together
+                mine = np.flatnonzero(kinds[row] == rule.kind)
+                if not len(mine):
+                    continue
+                code = lambda units, rule=rule: codes(units if rule.kind else units.split(" "), rule)
+                item_codes = {int(k): code(items.dictionary[int(k)].as_py()) for k in np.unique(of[mine])}
+                text_codes = {int(k): code(batch.column(2)[int(k)].as_py()) for k in np.unique(row[mine])}
+                jobs = [(c, group) for c in mine.tolist() for group in bands(shifts[c])]
                 at = 0
                 while at < len(jobs):
-                    part = jobs[at : at + max(1, min(1024, CELLS // jobs[at][0]))]
+                    part = jobs[at : at + 1024]
                     at += len(part)
-                    texts, items = [code(rule.kind, own["text"][k]) for _, k, _ in part], [code(rule.kind, own["item"][k]) for _, k, _ in part]
-                    some = np.flatnonzero(likely(texts, items, [g for _, _, g in part], rule)).tolist()
+                    t, i = [text_codes[row[c]] for c, _ in part], [item_codes[of[c]] for c, _ in part]
+                    some = np.flatnonzero(likely(t, i, [g for _, g in part], rule)).tolist()
                     if some:
-                        done = aligned([texts[j] for j in some], [items[j] for j in some], [part[j][2][0] + SPREAD // 2 for j in some], rule)
-                        out += [(own["doc_id"][part[j][1]], own["cls"][part[j][1]], score, exact) for j, (score, exact) in zip(some, done) if score >= rule.score]
-            yield pd.DataFrame(out, columns=["doc_id", "cls", "score", "exact"])
+                        done = aligned([t[j] for j in some], [i[j] for j in some], [part[j][1][0] + SPREAD // 2 for j in some], rule)
+                        for j, (score, exact) in zip(some, done):
+                            if score >= rule.score:
+                                c = part[j][0]
+                                for column, value in zip(found, (batch.column(0)[int(row[c])].as_py(), cls[c].as_py(), score, exact)):
+                                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found, (pa.int64(), pa.string(), pa.int32(), pa.bool_()))], names=["doc_id", "cls", "score", "exact"])
 
     texts = hits.select("sid", "doc_id", "kind", F.col("units").alias("text")).distinct()
-    whole = _spread_join(pairs, classes.select("cls", F.col("units").alias("item")), "sid").join(texts, "sid")
-    scored = whole.select("doc_id", "cls", "kind", "text", "item", "shifts").mapInPandas(align, "doc_id bigint, cls string, score int, exact boolean")
+    # a stretch goes out once for some items, not once for each
+    groups = max(1, sum(r.classes for r in facts) // TOGETHER)
+    whole = _spread_join(pairs, classes.select("cls", F.col("units").alias("item")), "sid").withColumn("group", F.pmod(F.xxhash64("cls"), F.lit(groups)))
+    whole = whole.groupBy("sid", "group").agg(F.collect_list(F.struct("cls", "item", "shifts")).alias("candidates")).join(texts, "sid")
+    scored = whole.select("doc_id", "kind", "text", "candidates").mapInArrow(align, "doc_id bigint, cls string, score int, exact boolean")
     scored = scored.groupBy("doc_id", "cls").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))
     return _spread_join(scored, items.select("cls", "item_id").distinct(), "doc_id").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))
 
