@@ -79,4 +79,4 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @REG.query()
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return split_sentences(load(spark, sf, "documents"), "doc_id", "text")
+    return split_sentences(load(spark, sf, "documents"), "doc_id", "text", os.path.join(os.environ.get("STRANDMILL_TOKENIZERS", TOKENIZERS), "byte_bpe_multi_50k.tiktoken"))

@@ -342,6 +342,53 @@ def test_thai_sentences():
     assert got == ["ความเข้มข้นเท่ากับ 11.4 มิลลิโมลาร์ซึ่งสูงกว่าเดิม 2.5 เท่า", "เมื่อไม่มีเชื้อ Kifulla pofutica ระดับสารลดลง", "ดร.สมมุติกล่าวว่าไม่จำเป็น"]
 
 
+# everyday sentences without marks, written for this test; "|" is a boundary and "_" a blank at one
+UNMARKED = {
+    "ja": "今日はとても寒いです|しかし明日は暖かくなるでしょう / 昨日友達と映画を見ました|そのあと一緒に夕食を食べました / 電車が遅れています|だから会議に間に合いません / この本は面白いですか|_私はまだ読んでいません / 駅まで歩きました|_それから電車に乗りました / 雨が降っています|_でも出かけます / 彼は学生です|_彼女は先生です / 資料を確認してください|_次に署名をお願いします / 薬を飲んだ|_それで熱が下がった / 会議は終わりました|_明日また連絡します",
+    "zh": "你吃饭了吗|我还没有吃呢 / 今天天气很好啊|我们去公园吧 / 你知道他在哪里吗|_我找了很久 / 我们走吧|_他已经到了 / 这个问题很难吗|_请再说一遍 / 他来了|_我们开始吧 / 他们昨天到了|_今天休息 / 这样可以吗|那我先走了 / 你别担心嘛|他会回来的",
+    "th": "สวัสดีครับ|ผมชื่อสมชาย / วันนี้อากาศดีนะคะ|เราไปเที่ยวกัน / ขอบคุณค่ะ|ถ้ามีปัญหาโทรมา / กินข้าวหรือยังครับ|ผมหิวแล้ว / เขามาแล้วค่ะ|แต่เธอยังไม่มา",
+}
+WHOLE = ["東京 大阪 京都", "りんご バナナ みかん", "苹果 香蕉 橘子", "我们 的 家", "これは\nです", "他离开了\n我们的实验室", "对吧台很满意", "我们觉得\n这个问题很大"]
+
+
+def unmarked_recall(lang, lattice):
+    right = total = 0
+    for case in UNMARKED[lang].split(" / "):
+        parts = [p.lstrip("_") for p in case.split("|")]
+        text = case.replace("|_", " ").replace("|", "")
+        right += len({text[a:b] for a, b in S.sentence_spans(text, lattice)} & set(parts)) == len(parts)
+        total += 1
+    return right / total
+
+
+def test_word_lattice_finds_unmarked_boundaries():
+    full = S.Lattice.read(os.path.join(os.environ.get("STRANDMILL_TOKENIZERS", E.TOKENIZERS), "byte_bpe_multi_50k.tiktoken"))
+    off = S.Lattice()
+    off.cost, off.longest = {}, 1  # every letter a word of its own
+    for lang, least in (("ja", 0.9), ("zh", 0.8), ("th", 1.0)):
+        assert unmarked_recall(lang, full) >= least
+    assert unmarked_recall("ja", off) <= 0.3 and unmarked_recall("th", off) <= 0.6
+    for text in WHOLE:
+        assert len(S.sentence_spans(text, full)) == 1, text
+
+
+def test_lattice_takes_the_cheapest_words():
+    lattice = S.Lattice({"研究": 10, "研究生": 500, "生命": 20, "命": 5000, "起源": 30, "的": 1, "生": 4000})
+    text = "研究生命的起源"
+    ends = lattice.ends(text)
+    assert [text[a:b] for a, b in zip([0, *ends], ends)] == ["研究", "生命", "的", "起源"]
+    assert S.Lattice().ends("") == [] and S.Lattice.read("/no/such/file").cost == S.Lattice().cost
+
+
+def test_cost_depends_on_the_boundary_before():
+    # the second mark follows no letter, so that only one of the two can end a sentence
+    assert len(S.sentence_spans("It rose. . It fell.")) == 2
+    # the same quotation begins a sentence or not
+    parts = ["“Does it matter?” asked the reader.", "It said: “Does it matter?”", "“Yes?” said he."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in S.sentence_spans(text)] == parts
+
+
 def test_blank_lines_lists_and_run_together():
     text = "  Results\r\n\r\nIt rose\nslowly. It fell.Then it stopped.\n \n1. Did it act?\n2. Yes.\n\n\n"
     assert [text[a:b] for a, b in S.sentence_spans(text)] == ["Results", "It rose\nslowly.", "It fell.", "Then it stopped.", "1. Did it act?", "2. Yes."]
