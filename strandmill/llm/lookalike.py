@@ -8,6 +8,7 @@ every ordinary character, so blanks are neither merged nor cut off.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from strandmill.operators.skew import salted_join
+from strandmill.session import settle
 
 # Letters that look like a letter of another script or block, each pair as look-alike and prototype.
 _LETTERS = """
@@ -29,11 +31,39 @@ _LETTERS = """
 ıi ȷj ɡg ꜱs ᴏo ᴄc ᴠv ᴡw ᴢz ꞮI ƖI ǀl
 օo ոn սu հh ցg զq յj լl ՕO ՍU ՏS
 ⲟo ⲞO ⲣp ⲢP ⲥc ⲤC ⲭx
+ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU
+ⲀA ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲦT ⲨY ⲬX ⲁα ⲅг ⲕκ
+ᑭP ᗅA ᖇR ᗞD ᒍJ ᒪL ᑌU ᐯV ᕼH ᗷB ᙭X ᑯd
+ƄЬ ℮e
 ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ
 """
 # Marks that look like a mark of ASCII.
-_MARKS = "‘' ’' ʼ' ʹ' ′' ‛' “\" ”\" ‟\" ″\" ∶: ։: ׃: ⁄/ ∕/ −- ⁃- ‚, ∗* ∣| ‐- ‑- ‒- –- ˗- 〜~ ∼~"
-PROTOTYPES = {pair[0]: pair[1] for pair in (_LETTERS + _MARKS).split()}
+_MARKS = "‘' ’' ʼ' ʹ' ′' ‛' “\" ”\" ‟\" ″\" ∶: ։: ׃: ⁄/ ∕/ −- ⁃- ‚, ∗* ∣| ‐- ‑- ‒- –- ˗- 〜~ ∼~ ‧· ∙· ⋅· ・· ᛫·"
+PROTOTYPES: dict[str, str] = {pair[0]: pair[1] for pair in (_LETTERS + _MARKS).split()}
+#: Small letters of Cherokee are drawn as small capitals, so those whose Latin twin looks the same in both cases look like its small letter.
+PROTOTYPES |= {c.lower(): p.lower() for c, p in PROTOTYPES.items() if "Ꭰ" <= c <= "Ᏼ" and p in "CSVWZ"}
+#: Scripts whose digit zero is a plain ring.
+_RINGS = ("DEVANAGARI", "GUJARATI", "GURMUKHI", "TELUGU", "KANNADA", "MALAYALAM", "THAI", "LAO", "MYANMAR", "TAMIL", "KHMER")
+
+
+def read_confusables(path: str) -> dict[str, str]:
+    """Look-alikes of a file in the form of the public Unicode table (``source ; target ; type # comment``, code points in hex).
+
+    Sources of several characters and pairs within ASCII are left out: letters and digits of ASCII stay different here.
+    """
+    out: dict[str, str] = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [p.strip() for p in line.split("#")[0].split(";")]
+            if len(parts) >= 2 and parts[0] and " " not in parts[0]:
+                a, b = chr(int(parts[0], 16)), "".join(chr(int(x, 16)) for x in parts[1].split())
+                if not (a.isascii() and a.isprintable()):
+                    out[a] = b
+    return out
+
+
+if os.environ.get("STRANDMILL_CONFUSABLES"):
+    PROTOTYPES = read_confusables(os.environ["STRANDMILL_CONFUSABLES"]) | PROTOTYPES
 #: Compatibility decompositions that keep the look; super- and subscripts, fractions and circles change it.
 _SAME_LOOK = ("<wide>", "<narrow>", "<small>", "<font>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
 _INVISIBLE = frozenset("͏ᅟᅠ឴឵ㅤﾠ")
@@ -47,7 +77,10 @@ def _fold(ch: str, depth: int = 0) -> str:
     if cat in ("Zs", "Zl", "Zp") or cat == "Cc":
         return " "
     if ch in PROTOTYPES:
-        return PROTOTYPES[ch]
+        target = PROTOTYPES[ch]
+        return target if len(target) == 1 and target not in PROTOTYPES or depth > 8 else "".join(_fold(c, depth + 1) for c in target)
+    if cat == "Nd" and unicodedata.decimal(ch) == 0 and unicodedata.name(ch, "").startswith(_RINGS):
+        return "o"
     parts = unicodedata.decomposition(ch).split()
     if not parts or depth > 8 or (parts[0][0] == "<" and parts[0] not in _SAME_LOOK):
         return ch
@@ -87,19 +120,39 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def twin_classes(names: DataFrame) -> DataFrame:
+    """``id, form, class_id, n_spellings, n_ids``: each id of ``names(id, name)`` whose name has a twin, with its class.
+
+    A class are all ids whose names look the same, of at least two spellings; ``class_id`` is its smallest id. An id
+    with several names of different looks is in several classes. One row per id and class, whatever the size of a class:
+    pairs are never made, and sums and minima are partial before they are shuffled.
+    """
+    rows = names.select(_text("id").alias("id"), _text("name").alias("name")).where("id is not null and name is not null").distinct()
+    formed = with_skeleton(rows, "name", "form").where("form <> ''")
+    classes = formed.groupBy("form").agg(F.min("id").alias("class_id"), F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("form", "class_id")
+    kept = salted_join(formed, classes, "form", "inner", F.col("id"))
+    spellings = kept.select("form", "name").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n_spellings"))
+    ids = kept.select("form", "id").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n_ids"))
+    sizes = spellings.join(ids, "form")
+    return salted_join(kept.select("id", "form", "class_id").distinct(), sizes, "form", "inner", F.col("id")).select("id", "form", "class_id", "n_spellings", "n_ids")
+
+
 def twins_within(names: DataFrame) -> DataFrame:
     """``row_key, node_id``: pairs of different ids of ``names(id, name)`` whose names look the same and differ; the smaller id first.
 
-    Spellings are grouped by skeleton first, and only skeletons with several spellings go on, so that any number of
-    exact copies of a name costs nothing; ids are then joined to the pairs of spellings. Null names and names without
-    a visible character have no twins; repeated rows count once.
+    The pairs are the result asked for; ``twin_classes`` gives the same links as classes. Spellings are grouped by
+    skeleton first, and only skeletons with several spellings go on, so that any number of exact copies of a name costs
+    nothing; ids are then joined to the pairs of spellings. Skeletons, and spellings of many ids, that hold a great
+    share are spread over tasks. Null names and names without a visible character have no twins; repeated rows count once.
     """
     rows = names.select(_text("id").alias("id"), _text("name").alias("name")).where("id is not null and name is not null").distinct()
     spellings = with_skeleton(rows.select("name").distinct(), "name").where("skeleton <> ''")
     several = spellings.groupBy("skeleton").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("skeleton")
-    kept = spellings.join(several, "skeleton", "left_semi")
-    pairs = kept.alias("x").join(kept.alias("y"), "skeleton").where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    found = pairs.join(rows.select(F.col("name").alias("a"), F.col("id").alias("ia")), "a").join(rows.select(F.col("name").alias("b"), F.col("id").alias("ib")), "b").where("ia <> ib")
+    kept = settle(spellings.join(several, "skeleton", "left_semi"), "spellings")
+    pairs = salted_join(kept.select("skeleton", F.col("name").alias("a")), kept.select("skeleton", F.col("name").alias("b")), "skeleton", "inner", F.col("a")).where("a < b").select("a", "b")
+    some = settle(salted_join(rows, kept.select("name"), "name", "left_semi", F.col("id")), "twin-ids")
+    first = salted_join(some.select(F.col("name").alias("a"), F.col("id").alias("ia")), pairs, "a", "inner", F.col("ia"))
+    found = salted_join(first, some.select(F.col("name").alias("b"), F.col("id").alias("ib")), "b", "inner", F.col("ia")).where("ia <> ib")
     return found.select(F.least("ia", "ib").alias("row_key"), F.greatest("ia", "ib").alias("node_id")).distinct()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.encoding import TOKENIZERS, encode_texts
 from strandmill.llm.leakage import leaks
-from strandmill.llm.lookalike import twins_by_id, twins_by_name, twins_within, with_skeleton
+from strandmill.llm.lookalike import twin_classes, twins_by_id, twins_by_name, twins_within, with_skeleton
 from strandmill.llm.matching import Columns, match
 from strandmill.llm.sentences import split_sentences
 from strandmill.plans.registry import Registry, load
@@ -56,6 +56,12 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_skeleton(names.where("name is not null").groupBy("tbl", "name").agg(F.count(F.lit(1)).alias("n_rows")), "name", "form")
 
 
+@REG.query()
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node whose name has a twin, with its class and the size of the class."""
+    return twin_classes(load(spark, sf, "merged_nodes").select("id", "name"))
+
+
 @REG.query()
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(load(spark, sf, "documents"), "doc_id", "text", os.path.join(os.environ.get("STRANDMILL_TOKENIZERS", TOKENIZERS), "byte_bpe_50k.tiktoken"))

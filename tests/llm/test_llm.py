@@ -28,6 +28,16 @@ def test_looks_the_same(a, b):
     assert K.skeleton(a) == K.skeleton(b) and K.skeleton(K.skeleton(a)) == K.skeleton(a)
 
 
+@pytest.mark.parametrize("a, b", [("ꓐꓳꓔ", "BOT"), ("Ꮯꮯ", "Cc"), ("ᑭᗅᖇ", "PAR"), ("m๐n၀", "mono"), ("Ƅ", "Ь"), ("a‧b", "a·b"), ("ⲀⲎⲞ", "AHO"), ("℮x", "ex")])
+def test_more_scripts_look_the_same(a, b):
+    assert K.skeleton(a) == K.skeleton(b) and K.skeleton(K.skeleton(a)) == K.skeleton(a)
+
+
+def test_public_table_may_be_read(tmp_path):
+    (tmp_path / "c.txt").write_text("\ufeff# header\n0430 ;\t0061 ;\tMA\t# x\n0031 ;\t006C ;\tMA\n1D6A ;\t0071 0075 ;\tMA\n0061 0062 ; 0063 ; MA\n")
+    assert K.read_confusables(str(tmp_path / "c.txt")) == {"а": "a", "ᵪ": "qu"}
+
+
 @pytest.mark.parametrize("a, b", [("x2", "x²"), ("x2", "x₂"), ("Abc", "abc"), ("bibitica", "bíbitica"), ("alpha-x", "α-x"), ("a b", "a  b"), ("ab", "a b"), ("l1", "ll"), ("O0", "00")])
 def test_looks_different(a, b):
     assert K.skeleton(a) != K.skeleton(b)
@@ -37,6 +47,9 @@ def test_twins(spark):
     nodes = spark.createDataFrame([("N2", "Name x"), ("N1", "Nаme x"), ("N3", "Name x"), ("N4", "Name x"), ("N4", "Name x"), ("N5", None), ("N6", "​"), ("N7", "‌"), ("N8", "other")], "id string, name string").withColumn("skeleton", F.lit(1))
     got = rows(K.twins_within(nodes))
     assert got == [("N1", "N2"), ("N1", "N3"), ("N1", "N4"), ("N2", "N3"), ("N3", "N4")]
+    classes = K.twin_classes(nodes).collect()
+    assert sorted(r.id for r in classes) == ["N1", "N2", "N3", "N4"] and {(r.class_id, r.n_spellings, r.n_ids) for r in classes} == {("N1", 3, 4)}
+    assert K.twin_classes(nodes.limit(0)).count() == 0
     r = spark.createDataFrame([(1, "Name x"), (2, "Ｎame x"), (2, "Ｎame x"), (3, None), (4, "name x")], "row_key int, name string")
     assert rows(K.twins_by_name(r, nodes.where("id in ('N2', 'N8')"))) == [("2", "N2")]
     c = spark.createDataFrame([("c1", "N2", "Name x"), ("c2", "N2", "Nаme x"), ("c3", "N8", "Name x"), ("c4", None, "x"), ("c5", "zz", "x")], "row_key string, id string, name string")
