@@ -123,6 +123,8 @@ def test_matching_recovers_planted_truth(spark):
     right = sum(got.get(i) == truth[i] for i in telling if truth[i])
     wrong = sum(i in got and got[i] != truth[i] for i in truth)
     assert right / sum(truth[i] is not None for i in telling) > 0.95 and wrong <= 0.04 * len(got)
+    sure = sum(x.confidence for x in out) / len(out)
+    assert abs(sure - (1 - wrong / len(got))) < 0.05  # the confidence is what it says
     assert M.match(r.limit(0), c, rc, ec).count() == 0
     assert M.match(r, c.limit(0), rc, ec).count() == 0
 
@@ -134,6 +136,60 @@ def test_at_most_one_match_per_record():
     assert post[:3].sum() < 1 and abs(post[0] - post[1]) < 1e-12 and post[3] > 0.99
 
 
+def test_transitivity_in_the_shared_belief():
+    import numpy as np
+
+    odds, group = np.array([2.0, 1.0, -3.0]), np.array([0, 0, 1])
+    free = M._share_out(odds, group)
+    bound = M._share_out(odds, group, bound=np.array([0.0, 0.9, 0.0]))
+    assert bound[1] == 0.9 and 0 < bound[0] < free[0] and bound[:2].sum() < 1 and bound[2] == free[2]
+    assert np.allclose(M._share_out(odds, group, bound=np.zeros(3)), free)
+    assert np.isclose(M._share_out(np.array([1.0]), np.array([0]), np.array([3.0]))[0], M._share_out(np.ones(3), np.zeros(3, dtype=int))[0])
+
+
+def test_fit_overturns_the_first_guess(spark):
+    import numpy as np
+
+    one = lambda *keys: [(k, 0, 1) for k in keys]
+    true, decoy = "9,20,20,20,0", "20,20,0,-,20"  # both numbers agree and the names little; the names agree and a number contradicts
+    data = [(one("20,20,20,20,20", "8,0,0,-,0"), 300), (one("20,20,0,0,0"), 200), (one("10,20,20,20,20"), 100), (one(true, decoy), 40)]
+    patterns = spark.createDataFrame(data, "vectors array<struct<key:string,bound:int,times:long>>, n long")
+    rate = lambda k: np.nanmean(M.vector(k)) - 0.6
+    assert rate(decoy) > rate(true)  # what the first round takes for the match
+    model = M.fit(patterns)
+    a, b = model.log_odds(np.array([M.vector(true), M.vector(decoy)]))
+    assert a > 0 > b
+    with pytest.raises(M.NotConverged):
+        M.fit(patterns, most=1)
+
+
+def test_records_of_one_name_are_matched_alike(spark):
+    rc, ec = M.Columns("row_index", "metabolite", "chebi", "kegg", "gene_id", "gene"), M.Columns("metabolite_id", "metabolite_name", "chebi", "kegg", "gene", "symbol")
+    subs = _substances(random.Random(3), 20)
+    chains = [(m, name, a, b, f"NCBIGene:{i}", f"G{i}") for i, (m, name, a, b) in enumerate(subs)]
+    recs = [(i, name, a, b, str(i), None) for i, (_, name, a, b) in enumerate(subs)]
+    recs += [(100 + i, "trivialname", subs[5][2], subs[5][3], "5", None) for i in range(3)] + [(110, "trivialname", subs[5][2], None, "5", "X")]
+    recs += [(200, "Trivialname", None, None, "77", None), (201, "unknownname", None, None, "5", None)]  # nothing in common with the entity but the class
+    c = spark.createDataFrame(chains, "metabolite_id string, metabolite_name string, chebi string, kegg string, gene string, symbol string")
+    r = spark.createDataFrame(recs, "row_index int, metabolite string, chebi string, kegg string, gene_id string, gene string")
+    got = {x.key: x.entity for x in M.match(r, c, rc, ec).collect()}
+    assert got[200] == subs[5][0] and 201 not in got and all(got[i] == m for i, (m, *_) in enumerate(subs))
+
+
+def test_crowded_keys_need_a_partner(spark, monkeypatch):
+    monkeypatch.setattr(M, "CROWD", 5)
+    rc, ec = M.Columns("row_index", "metabolite", "chebi", "kegg", "gene_id", "gene"), M.Columns("metabolite_id", "metabolite_name", "chebi", "kegg", "gene", "symbol")
+    subs = _substances(random.Random(3), 20)
+    chains = [(m, name if i > 12 else "placeholdername", a if i < 60 else "CHEBI:99999", b, f"NCBIGene:{i}", f"G{i}") for i, (m, name, a, b) in enumerate(subs)]
+    recs = [(i, name, a, b, str(i), None) for i, (_, name, a, b) in enumerate(subs)] + [(500, None, "CHEBI:99999", None, "70", None), (501, "placeholdername", None, None, "3", None)]
+    c = spark.createDataFrame(chains, "metabolite_id string, metabolite_name string, chebi string, kegg string, gene string, symbol string")
+    r = spark.createDataFrame(recs, "row_index int, metabolite string, chebi string, kegg string, gene_id string, gene string")
+    rows_ = r.select(F.col("row_index").cast("string").alias("profile"), F.col("metabolite").alias("name"), F.array_compact(F.array(F.regexp_extract("chebi", "([0-9]+)", 1))).alias("a"), F.array_compact(F.array(F.regexp_extract("kegg", "([0-9]+)", 1))).alias("b"), F.array(F.concat(F.lit("i"), "gene_id")).alias("partners"))
+    pairs = {(x.profile, x.entity) for x in M._Evidence(rows_, c, ec).candidates().collect()}
+    assert {e for p, e in pairs if p == "500"} == {subs[70][0]} and {e for p, e in pairs if p == "501"} == {subs[3][0]}
+    assert M.match(r, c, rc, ec).count() >= 60
+
+
 # encoding
 
 VOCABULARY = os.path.join(os.environ.get("STRANDMILL_TOKENIZERS", E.TOKENIZERS), "byte_bpe_50k.tiktoken")
