@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.ids import hash_number
+from strandmill.gates import require_empty
 from strandmill.operators.ranking import positions
-from strandmill.session import forget, settle
+from strandmill.session import Levels, forget, settle
 
 MIN_BIN = 5
 
@@ -29,60 +31,132 @@ def degrees(nodes: DataFrame, adj: DataFrame) -> DataFrame:
 def degree_bins(degree_table: DataFrame, by: str | None = None, least: int = MIN_BIN) -> DataFrame:
     """``[by,] degree, bin``: exact degrees taken in ascending order until a bin has ``least`` members; a rest joins the last bin.
 
-    The fold with its reset runs over the histogram of degrees, which has one entry per different degree.
+    The fold with its reset runs over the histogram of degrees: two numbers for each different degree of a category,
+    which are at most as many as the square root of twice its edges. It emits one entry per bin, so nothing is copied
+    at each step, and degrees meet their bin by range.
     """
     keys = [by] if by else []
     h = degree_table.groupBy(*keys, "degree").agg(F.count(F.lit(1)).alias("n"))
-    folded = h.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("degree", "n"))).alias("h"))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("count"), F.array().cast("array<struct<degree:bigint,bin:int>>").alias("out"))
-
-    def step(acc, x):
-        count = acc["count"] + x["n"]
-        full = count >= least
-        entry = F.struct(x["degree"].cast("long").alias("degree"), acc["bin"].alias("bin"))
-        return F.struct((acc["bin"] + full.cast("int")).alias("bin"), F.when(full, F.lit(0).cast("long")).otherwise(count).alias("count"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    done = folded.withColumn("f", F.aggregate("h", start, step))
-    rows = done.select(*keys, F.col("f.bin").alias("sealed"), F.explode("f.out").alias("o"))
-    return rows.select(*keys, F.col("o.degree").alias("degree"), F.least(F.col("o.bin"), F.greatest(F.col("sealed") - 1, F.lit(0))).alias("bin"))
-
-
-def distances(adj: DataFrame, sources: DataFrame, max_hops: int = 64) -> DataFrame:
+    folded = h.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("degree").cast("long").alias("degree"), "n"))).alias("h"))
+
+    @F.pandas_udf("array<int>")
+    def bins_of(histograms: pd.Series) -> pd.Series:
+        out = []
+        for rows in histograms:
+            number, held, own = 0, 0, []
+            for r in rows:
+                own.append(number)
+                held += r["n"]
+                if held >= least:
+                    number, held = number + 1, 0
+            out.append([min(b, max(number - 1, 0)) for b in own])
+        return pd.Series(out)
+
+    rows = folded.select(*keys, F.explode(F.arrays_zip("h", bins_of("h").alias("b"))).alias("o"))
+    return rows.select(*keys, F.col("o.h.degree").alias("degree"), F.col("o.b").alias("bin"))
+
+
+def distances(adj: DataFrame, sources: DataFrame) -> DataFrame:
     """``src, node, dist``: steps from each source to each node it reaches; unreached nodes have no row.
 
-    All sources advance together, one level per round; a round joins only the last level, and its result is written, so
-    the plan doesn't grow. Ends when a level is empty.
+    All sources advance together, one level per round, until a level is empty. A neighbour of a node at distance k is at
+    k - 1, k or k + 1, so that a round only looks at the last two levels.
     """
-    known = settle(sources.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist")).distinct(), "bfs")
-    for hop in range(1, max_hops + 1):
-        last = known.where(F.col("dist") == hop - 1)
-        new = settle(last.join(adj, last["node"] == adj["a"]).select("src", F.col("b").alias("node")).distinct().join(known.select("src", "node"), ["src", "node"], "left_anti").withColumn("dist", F.lit(hop)), "bfs")
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    return known
-
-
-def nearest(adj: DataFrame, targets: DataFrame, max_hops: int = 64) -> DataFrame:
-    """``node, dist``: steps to the nearest target, by one search from all targets at once."""
-    known = settle(targets.select(F.col("id").alias("node"), F.lit(0).alias("dist")).distinct(), "near")
-    for hop in range(1, max_hops + 1):
-        last = known.where(F.col("dist") == hop - 1)
-        new = settle(last.join(adj, last["node"] == adj["a"]).select(F.col("b").alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("dist", F.lit(hop)), "near")
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    return known
-
-
-def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 60) -> DataFrame:
+    levels = Levels(adj.sparkSession, "bfs")
+    last = levels.write(0, sources.select(F.col("id").alias("src"), F.col("id").alias("node")).distinct())
+    before, hop = last.limit(0), 0
+    while not last.isEmpty():
+        hop += 1
+        new = last.join(adj, last["node"] == adj["a"]).select("src", F.col("b").alias("node")).distinct()
+        new = new.join(before.unionByName(last), ["src", "node"], "left_anti")
+        before, last = last, levels.write(hop, new)
+    return levels.all()
+
+
+def nearest(adj: DataFrame, targets: DataFrame) -> DataFrame:
+    """``node, dist``: steps to the nearest target, by one search from all targets at once, until a level is empty."""
+    levels = Levels(adj.sparkSession, "near")
+    last = levels.write(0, targets.select(F.col("id").alias("node")).distinct())
+    before, hop = last.limit(0), 0
+    while not last.isEmpty():
+        hop += 1
+        new = last.join(adj, last["node"] == adj["a"]).select(F.col("b").alias("node")).distinct()
+        before, last = last, levels.write(hop, new.join(before.unionByName(last), "node", "left_anti"))
+    return levels.all()
+
+
+def nearest_other(adj: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, dist``: steps from each member to the nearest other member; no row where it reaches none.
+
+    One search from all members, in which each node remembers the two members that came first (of equally near ones the
+    smaller ids): at most two rows for each node, however many members there are.
+    """
+    levels = Levels(adj.sparkSession, "other")
+    last = levels.write(0, members.select(F.col("id").alias("node"), F.col("id").alias("src")).distinct())
+    hop = 0
+    while not last.isEmpty():
+        hop += 1
+        known = levels.all()
+        new = last.join(adj, last["node"] == adj["a"]).select(F.col("b").alias("node"), "src").distinct().join(known.select("node", "src"), ["node", "src"], "left_anti")
+        full = known.groupBy("node").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("node")
+        new = new.join(full, "node", "left_anti")
+        one = new.groupBy("node").agg(F.min("src").alias("first"))
+        two = new.join(one, "node").groupBy("node", "first").agg(F.min(F.when(F.col("src") > F.col("first"), F.col("src"))).alias("second"))
+        held = known.select("node").distinct().withColumn("some", F.lit(1))
+        kept = two.join(held, "node", "left").select("node", F.explode(F.when(F.col("some").isNull() & F.col("second").isNotNull(), F.array("first", "second")).otherwise(F.array("first"))).alias("src"))
+        last = levels.write(hop, kept)
+    return levels.all().where("node <> src").groupBy(F.col("node").alias("id")).agg(F.min("dist").alias("dist")).join(members.select("id").distinct(), "id", "left_semi")
+
+
+#: Sources of a wave are kept as bits of so many 64-bit words.
+WORDS = 16
+BLOCK = 64 * WORDS
+
+
+def waves(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """``block, node, bits ARRAY<BIGINT>, dist``: which slots reach a node first at which distance.
+
+    ``sources`` has ``id, slot``: a slot is a source or a set of sources, numbered from 0; ``BLOCK`` slots share a row as
+    bits. A level joins the last one to the edges and unites the bits by node, so that it has one row for each node and
+    block and not one for each pair; slot s is bit s % BLOCK of block s / BLOCK.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    word = F.expr(f"cast(slot % {BLOCK} div 64 as int)")
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    levels = Levels(adj.sparkSession, "waves")
+    start = sources.groupBy(F.expr(f"slot div {BLOCK}").alias("block"), F.col("id").alias("node")).agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(n) for i, n in enumerate(names)])
+    last = levels.write(0, start)
+    before, hop = last.limit(0), 0
+    while not last.isEmpty():
+        hop += 1
+        met = last.join(adj, last["node"] == adj["a"]).groupBy("block", F.col("b").alias("node")).agg(*[F.bit_or(n).alias(n) for n in names])
+        old = before.unionByName(last).groupBy("block", "node").agg(*[F.bit_or(n).alias(f"o{n}") for n in names])
+        new = met.join(old, ["block", "node"], "left").select("block", "node", *[F.col(n).bitwiseAND(F.bitwise_not(F.coalesce(f"o{n}", F.lit(0).cast("long")))).alias(n) for n in names])
+        some = F.lit(False)
+        for n in names:
+            some = some | (F.col(n) != 0)
+        before, last = last, levels.write(hop, new.where(some))
+    return levels.all().select("block", "node", F.array(*names).alias("bits"), "dist")
+
+
+def reached_by(slot: Column) -> Column:
+    """Whether the slot's bit is among ``bits`` of its block."""
+    return F.getbit(F.get("bits", (F.pmod(slot, F.lit(BLOCK)) / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+
+def slots_of(ids: DataFrame) -> DataFrame:
+    """``id, slot``: the different ids, numbered from 0 in their order, by many tasks."""
+    return positions(ids.select("id").where("id is not null").distinct(), [], [F.col("id").asc()], "slot").withColumn("slot", F.col("slot") - 1)
+
+
+def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """``id, component``: the smallest id of each connected component.
 
-    Each round takes the least label among neighbours, then the label of that label (pointer jumping), so that a path of
-    n nodes needs about log n rounds; labels are written after each round and the loop ends when none changes.
+    Each round takes the least label among neighbours, then the label of that label (pointer jumping); labels are
+    written after each round, the older ones deleted, and the loop ends when none changes, however long that takes.
     """
     held = labels = settle(nodes.select("id", F.col("id").alias("component")).distinct(), "cc")
-    for _ in range(max_rounds):
+    while True:
         nb = adj.join(labels, adj["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         lower = labels.join(nb, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", F.col("component"))).alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
@@ -91,8 +165,8 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 60) -> DataFr
         forget(held)
         held, labels = new, new.select("id", "component")
         if not changed:
-            break
-    return labels
+            labels._settled_at = held._settled_at
+            return labels
 
 
 def lcc_gate(comp: DataFrame, seeds: DataFrame, targets: DataFrame, least_share: float = 0.8, most_missing: float = 0.1) -> DataFrame:
@@ -109,38 +183,41 @@ def lcc_gate(comp: DataFrame, seeds: DataFrame, targets: DataFrame, least_share:
     return j.select("components", "largest", "nodes", share.alias("lcc_share"), "seeds_missing", "targets_missing", ok.alias("passed"))
 
 
-def _between(dist: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The distances that start in A and end in B: reached pairs only, by two semi-joins."""
-    return dist.join(a.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(b.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-
-
 def _size(ids: DataFrame, name: str) -> DataFrame:
     return ids.agg(F.countDistinct("id").alias(name))
 
 
-def distance_metrics(dist: DataFrame, a: DataFrame, b: DataFrame, within_b: DataFrame) -> DataFrame:
+def _tally(adj: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``dist, n``: how many reached pairs of A and B lie how far apart; sources are the smaller set, counted as bits."""
+    a, b = a.select("id").where("id is not null").distinct(), b.select("id").where("id is not null").distinct()
+    small, large = (a, b) if a.count() <= b.count() else (b, a)
+    ones = F.aggregate(F.transform("bits", lambda w: F.bit_count(w)), F.lit(0), lambda x, y: x + y)
+    return waves(adj, slots_of(small)).join(large.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("dist").agg(F.sum(ones).alias("n"))
+
+
+def distance_metrics(adj: DataFrame, a: DataFrame, b: DataFrame, comp: DataFrame) -> DataFrame:
     """One row of distances between node sets A and B: closest (mean over A of the nearest B), its mirror, all pairs, inside A, inside B, separation.
 
-    ``dist`` starts at A, ``within_b`` at B. A statistic is null where it needs a pair that isn't connected, or a set of
-    at least two that is smaller; ``unreachable`` is the share of pairs without a path. Only reached pairs are looked
-    at; whether pairs are missing is told from their number, so that A and B are never multiplied out.
+    ``comp`` has the components. A statistic is null where it needs a pair that isn't connected, or a set of at least
+    two that is smaller; ``unreachable`` is the share of pairs without a path. Nothing has a row for each pair: the
+    nearest ones come from one search each, the mean of all pairs from counted bits, and which pairs have a path from
+    the components.
     """
-    ab = settle(_between(dist, a, b), "ab")
-    nearest_b = ab.groupBy("src").agg(F.min("dist").alias("m")).agg(F.count(F.lit(1)).alias("ra"), F.avg("m").alias("va"))
-    nearest_a = ab.groupBy("node").agg(F.min("dist").alias("m")).agg(F.count(F.lit(1)).alias("rb"), F.avg("m").alias("vb"))
-    whole = ab.agg(F.count(F.lit(1)).alias("rp"), F.avg("dist").alias("vp"))
+    a, b = (settle(x.select("id").where("id is not null").distinct(), "set") for x in (a, b))
+    both = _tally(adj, a, b).agg(F.sum("n").alias("rp"), (F.sum(F.col("n") * F.col("dist")) / F.sum("n")).alias("vp"))
+    near = lambda mine, theirs, tag: mine.join(nearest(adj, theirs), mine["id"] == F.col("node")).agg(F.count(F.lit(1)).alias(f"r{tag}"), F.avg("dist").alias(f"v{tag}"))
 
-    def inside(d: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-        p = _between(d, ids, ids).where("src <> node").groupBy("src").agg(F.min("dist").alias("m"), F.count(F.lit(1)).alias("n"))
-        return p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n{tag}"), F.avg("m").alias(f"v{tag}"))
+    def inside(ids: DataFrame, tag: str) -> DataFrame:
+        parts = ids.join(comp, "id", "left").agg(F.countDistinct(F.coalesce("component", "id")).alias(f"c{tag}"))
+        return nearest_other(adj, ids).agg(F.count(F.lit(1)).alias(f"n{tag}"), F.avg("dist").alias(f"i{tag}")).crossJoin(parts)
 
-    j = _size(a, "na").crossJoin(_size(b, "nb")).crossJoin(nearest_b).crossJoin(nearest_a).crossJoin(whole).crossJoin(inside(dist, a, "_ia")).crossJoin(inside(within_b, b, "_ib"))  # one row each
+    j = _size(a, "na").crossJoin(_size(b, "nb")).crossJoin(near(a, b, "a")).crossJoin(near(b, a, "b")).crossJoin(both).crossJoin(inside(a, "ia")).crossJoin(inside(b, "ib"))  # one row each
     c, pairs = F.col, F.col("na") * F.col("nb")
-    some = pairs > 0
-    closed = lambda n, m, v: F.when((c(n) > 1) & (c(m) == c(n) * (c(n) - 1)), F.round(c(v), 6))
+    some, rp = pairs > 0, F.coalesce("rp", F.lit(0))
+    closed = lambda n, t: F.when((c(n) > 1) & (c(f"c{t}") == 1) & (c(f"n{t}") == c(n)), F.round(c(f"i{t}"), 6))
     out = j.select(
-        F.when(some & (c("ra") == c("na")), F.round("va", 6)).alias("closest"), F.when(some & (c("rb") == c("nb")), F.round("vb", 6)).alias("target_mean"), F.when(some & (c("rp") == pairs), F.round("vp", 6)).alias("all_pairs"),
-        F.when(some, F.round(1 - c("rp") / pairs, 6)).alias("unreachable"), closed("na", "n_ia", "v_ia").alias("inside_a"), closed("nb", "n_ib", "v_ib").alias("inside_b"))
+        F.when(some & (c("ra") == c("na")), F.round("va", 6)).alias("closest"), F.when(some & (c("rb") == c("nb")), F.round("vb", 6)).alias("target_mean"), F.when(some & (rp == pairs), F.round("vp", 6)).alias("all_pairs"),
+        F.when(some, F.round(1 - rp / pairs, 6)).alias("unreachable"), closed("na", "ia").alias("inside_a"), closed("nb", "ib").alias("inside_b"))
     return out.withColumn("separation", F.round(F.col("closest") - (F.col("inside_a") + F.col("inside_b")) / 2, 6))
 
 
@@ -171,18 +248,10 @@ def read_modes(adj: DataFrame, cards: DataFrame, modes: dict[str, DataFrame], a:
     return out
 
 
-def uniform_null(a: DataFrame, near: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """One row like ``permutation_null``, with members of A replaced by any node of their category, whatever its degree."""
-    one = pool.select("id", "category")
-    flat = positions(one, ["category"], [F.col("id").asc()]).withColumn("bin", F.lit(0))
-    sizes = flat.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
-    return permutation_null(a, near, flat.join(sizes, "category"), n_perm, seed)
-
-
 def pools(degree_table: DataFrame, bins: DataFrame, by_category_bins: bool) -> DataFrame:
     """``id, category, bin, pos, size``: every node with its place among the nodes of its category and degree bin."""
     keys = ["category", "degree"] if by_category_bins else ["degree"]
-    binned = degree_table.select("id", "category", "degree").join(F.broadcast(bins), keys)  # one row per different degree
+    binned = degree_table.select("id", "category", "degree").join(bins, keys)
     placed = positions(binned.select("id", "category", "bin"), ["category", "bin"], [F.col("id").asc()])
     sizes = placed.groupBy("category", "bin").agg(F.count(F.lit(1)).alias("size"))
     return placed.join(sizes, ["category", "bin"])
@@ -201,34 +270,128 @@ def drawn(slots: DataFrame, pool: DataFrame, seed: int, by: tuple[str, ...]) ->
     return s.join(members, ["category", "bin", "at"], "left").select(*slots.columns, "category", "bin", "draw")
 
 
-def permutation_null(a: DataFrame, near: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """One row: observed closest distance of A, mean and population deviation of the null, z, one-sided p, permutations that could not be reached.
+def _null_row(per: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row from ``per(perm, v)`` and ``observed(observed)``: mean and population deviation of the null, z, one-sided p, how many permutations had no value."""
+    s = per.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.sum((F.col("v") <= F.col("observed") + 1e-12).cast("long")).alias("below"), F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("unreachable"))
+    return s.select(F.round("observed", 6).alias("observed"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.when((F.col("n") > 1) & (F.col("sd") > 1e-12), F.round((F.col("observed") - F.col("mean")) / F.col("sd"), 6)).alias("z"), F.round((F.coalesce("below", F.lit(0)) + 1) / (F.col("n") + 1), 6).alias("p"), "n", "unreachable")
+
+
+def permutation_null(adj: DataFrame, a: DataFrame, b: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """One row: observed closest distance from A to B, mean and population deviation of the null, z, one-sided p, permutations that could not be reached.
 
-    Each permutation replaces every member of A by a degree-matched one; the distances to the nearest target are looked
-    up, not searched again. Unreachable permutations are counted, not redrawn.
+    Each permutation replaces every member of A and of B by a degree-matched one of its category. All permutations are
+    searched together, each as a bit of a wave from its own targets. Unreachable permutations are counted, not redrawn.
+    A member without another one in its pool is refused.
     """
-    A = a.select("id").distinct()
-    obs = A.join(near.select(F.col("node").alias("id"), "dist"), "id", "left").agg(F.when(F.count("dist") == F.count(F.lit(1)), F.avg("dist")).alias("observed"))
-    slots = A.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    d = drawn(slots, pool, seed, ("perm", "id")).join(near.select(F.col("node").alias("draw"), "dist"), "draw", "left")
-    per = d.groupBy("perm").agg(F.when(F.count("dist") == F.count(F.lit(1)), F.avg("dist")).alias("v"))
-    s = per.crossJoin(F.broadcast(obs)).agg(F.first("observed").alias("observed"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.sum((F.col("v") <= F.col("observed") + 1e-12).cast("long")).alias("below"), F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("unreachable"))
-    return s.select(F.round("observed", 6).alias("observed"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.when(F.col("sd") > 1e-12, F.round((F.col("observed") - F.col("mean")) / F.col("sd"), 6)).alias("z"), F.round((F.coalesce("below", F.lit(0)) + 1) / (F.col("n") + 1), 6).alias("p"), "n", "unreachable")
-
-
-def structure_scores(cards: DataFrame, degree_table: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
-    """``chain_id`` with centrality of the microbe, distance of the metabolite to the targets, and whether both ends share a component."""
-    d = degree_table.select(F.col("id").alias("microbe_id"), "centrality")
-    c = comp.select(F.col("id").alias("microbe_id"), F.col("component").alias("cm"))
-    b = comp.select(F.col("id").alias("metabolite_id"), F.col("component").alias("cb"))
-    n = near.select(F.col("node").alias("metabolite_id"), F.col("dist").alias("target_distance"))
-    j = cards.select("chain_id", "microbe_id", "metabolite_id").join(d, "microbe_id", "left").join(c, "microbe_id", "left").join(b, "metabolite_id", "left").join(n, "metabolite_id", "left")
-    return j.select("chain_id", "centrality", "target_distance", F.coalesce(F.col("cm") == F.col("cb"), F.lit(False)).cast("int").alias("same_component"))
-
-
-def distance_tally(dist: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    A, B = (settle(x.select("id").distinct(), "set") for x in (a, b))
+    alone = A.union(B).join(pool.where("size > 1").select("id"), "id", "left_anti")
+    require_empty(alone, "members without another node of their category and degree bin")
+    near = nearest(adj, B).select(F.col("node").alias("id"), "dist")
+    obs = A.join(near, "id", "left").agg(F.when(F.count("dist") == F.count(F.lit(1)), F.avg("dist")).alias("observed"))
+    slots = lambda ids: ids.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    targets = drawn(slots(B), pool, seed, ("perm", "id")).select(F.col("draw").alias("id"), (F.col("perm") - 1).cast("long").alias("slot"))
+    wave = waves(adj, targets)
+    asked = drawn(slots(A), pool, seed, ("perm", "id")).select("perm", F.col("draw").alias("node"), F.expr(f"(perm - 1L) div {BLOCK}").alias("block"))
+    d = asked.join(wave, ["node", "block"]).where(reached_by(F.col("perm") - 1)).select("perm", "dist")
+    size = A.agg(F.count(F.lit(1)).alias("size"))
+    perms = adj.sparkSession.range(1, n_perm + 1).select(F.col("id").alias("perm"))
+    per = perms.join(d.groupBy("perm").agg(F.count(F.lit(1)).alias("k"), F.avg("dist").alias("avg")), "perm", "left").crossJoin(F.broadcast(size)).select("perm", F.when(F.col("k") == F.col("size"), F.col("avg")).alias("v"))
+    return _null_row(per, obs)
+
+
+def uniform_null(adj: DataFrame, nodes: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """One row ``mean, sd, n, tries``: distances of ``n_perm`` pairs of any two nodes, the null of a single seed and target.
+
+    A pair without a path is rejected and drawn again, up to ten times ``n_perm`` draws in all; the first ``n_perm`` with
+    a path count. Draws are searched block by block, only as many blocks as are needed. Fewer than two leave no deviation.
+    """
+    placed = settle(slots_of(nodes), "places")
+    size = placed.count()
+    held, done, tries = [], 0, 10 * n_perm
+    for start in range(0, tries, BLOCK):
+        if done >= n_perm or not size:
+            break
+        k = adj.sparkSession.range(start, min(start + BLOCK, tries)).select(F.col("id").alias("k"))
+        at = lambda side: hash_number(seed, F.lit(side), F.col("k")) % size
+        k = k.withColumn("s", at("seed")).withColumn("t", at("target"))
+        ends = k.join(placed.select(F.col("slot").alias("s"), F.col("id").alias("source")), "s").join(placed.select(F.col("slot").alias("t"), F.col("id").alias("target")), "t")
+        ends = settle(ends.select("k", "source", "target"), "draws")
+        wave = waves(adj, ends.select(F.col("source").alias("id"), (F.col("k") - start).alias("slot")))
+        found = settle(ends.join(wave, ends["target"] == wave["node"]).where(reached_by(F.col("k") - start)).select("k", "dist"), "found")
+        done += found.count()
+        held.append(found)
+    out = held[0] if held else adj.sparkSession.createDataFrame([], "k long, dist int")
+    for h in held[1:]:
+        out = out.unionByName(h)
+    first = out.orderBy("k").limit(n_perm)
+    sd = F.when((F.count("dist") > 1) & (F.stddev_pop("dist") > 1e-12), F.round(F.stddev_pop("dist"), 6))
+    return first.agg(F.round(F.avg("dist"), 6).alias("mean"), sd.alias("sd"), F.count("dist").alias("n"), (F.coalesce(F.max("k"), F.lit(-1)) + 1).alias("tries"))
+
+
+def pair_distances(adj: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, dist`` of the different pairs ``(a_id, b_id)`` that have a path; the b side is searched from, as bits."""
+    p = pairs.select("a_id", "b_id").where("a_id is not null and b_id is not null").distinct()
+    slot = settle(slots_of(p.select(F.col("b_id").alias("id"))), "slots")
+    asked = p.join(slot.withColumnRenamed("id", "b_id"), "b_id").withColumn("block", F.expr(f"slot div {BLOCK}"))
+    return _looked_up(asked, waves(adj, slot))
+
+
+def _looked_up(asked: DataFrame, wave: DataFrame) -> DataFrame:
+    return asked.join(wave.withColumnRenamed("node", "a_id"), ["a_id", "block"]).where(reached_by(F.col("slot"))).select("a_id", "b_id", "dist")
+
+
+def chain_null(adj: DataFrame, pairs: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """``a_id, b_id, d_obs, null_mean, null_sd, z, p, n_used, n_unreachable`` for each different pair: its distance against that of degree-matched pairs.
+
+    Both ends are drawn anew ``n_perm`` times from their category and degree bin; the distances of all nodes of the ends'
+    pools are searched once, so that a permutation is a look-up. Chains with the same ends share a row. A pair that isn't
+    connected has no z; draws without a path are counted and left out.
+    """
+    p = settle(pairs.select("a_id", "b_id").where("a_id is not null and b_id is not null").distinct(), "pairs")
+    ends = pool.select("id", "category", "bin", "pos", "size")
+    side = lambda c, t: ends.select(F.col("id").alias(c), F.col("category").alias(f"c{t}"), F.col("bin").alias(f"b{t}"), F.col("pos").alias(f"p{t}"), F.col("size").alias(f"s{t}"))
+    j = p.join(side("a_id", "a"), "a_id").join(side("b_id", "b"), "b_id")
+    require_empty(p.join(j.where("sa > 1 and sb > 1"), ["a_id", "b_id"], "left_anti"), "pairs whose ends have no other node of their category and degree bin")
+    j = j.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+
+    def draw(t: str) -> Column:
+        at = hash_number(seed, F.lit(t), F.col("perm"), F.col("a_id"), F.col("b_id")) % (F.col(f"s{t}") - 1) + 1
+        return at + (at >= F.col(f"p{t}")).cast("long")
+
+    j = j.withColumn("da", draw("a")).withColumn("db", draw("b"))
+    members = pool.select("category", "bin", F.col("pos"), "id")
+    pick = lambda t: members.select(F.col("category").alias(f"c{t}"), F.col("bin").alias(f"b{t}"), F.col("pos").alias(f"d{t}"), F.col("id").alias(f"n{t}"))
+    used = p.join(side("b_id", "b"), "b_id").select(F.col("cb").alias("category"), F.col("bb").alias("bin")).distinct()
+    slot = settle(slots_of(pool.join(used, ["category", "bin"], "left_semi").select("id")), "slots")
+    wave = settle(waves(adj, slot), "wave")
+    at = slot.select(F.col("id").alias("nb"), "slot")
+    drawn_ = j.join(pick("a"), ["ca", "ba", "da"]).join(pick("b"), ["cb", "bb", "db"]).join(at, "nb").select("a_id", "b_id", "perm", "na", "slot", F.expr(f"slot div {BLOCK}").alias("block"))
+    d = drawn_.join(wave.withColumnRenamed("node", "na"), ["na", "block"]).where(reached_by(F.col("slot")))
+    own = p.join(slot.withColumnRenamed("id", "b_id"), "b_id").withColumn("block", F.expr(f"slot div {BLOCK}"))
+    obs = _looked_up(own, wave).withColumnRenamed("dist", "d_obs")
+    j = d.join(obs, ["a_id", "b_id"], "left").groupBy("a_id", "b_id").agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("sd"), F.count(F.lit(1)).alias("n_used"), F.sum((F.col("dist") <= F.col("d_obs")).cast("long")).alias("below"))
+    out = p.join(obs, ["a_id", "b_id"], "left").join(j, ["a_id", "b_id"], "left")
+    n, there = F.coalesce("n_used", F.lit(0)), F.col("d_obs").isNotNull()
+    z = F.when(there & (n > 1) & (F.col("sd") > 1e-12), F.round((F.col("d_obs") - F.col("mean")) / F.col("sd"), 6))
+    return out.select("a_id", "b_id", "d_obs", F.when(there & (n > 1), F.round("mean", 6)).alias("null_mean"), F.when(there & (n > 1), F.round("sd", 6)).alias("null_sd"), z.alias("z"), F.when(there & (n > 0), F.round((F.col("below") + 1) / (n + 1), 6)).alias("p"), n.alias("n_used"), (n_perm - n).alias("n_unreachable"))
+
+
+def side_car(cards: DataFrame, a: str, b: str, z: DataFrame, degree_table: DataFrame, comp: DataFrame, gate: DataFrame) -> DataFrame:
+    """The ten columns of the structure scores: the chain and its ends, z, centrality of the far end, whether both ends share a component, and the gate's figures.
+
+    ``z`` has ``a_id, b_id, z``; it is left out (null) where the gate failed. Centrality and community are null for
+    nodes that the graph lacks.
+    """
+    d = degree_table.select(F.col("id").alias("b_id"), "centrality")
+    c = cards.select("chain_id", F.col(a).alias("a_id"), F.col(b).alias("b_id"))
+    j = c.join(z.select("a_id", "b_id", "z"), ["a_id", "b_id"], "left").join(d, "b_id", "left").join(comp.select(F.col("id").alias("a_id"), F.col("component").alias("ca")), "a_id", "left").join(comp.select(F.col("id").alias("b_id"), F.col("component").alias("cb")), "b_id", "left").crossJoin(F.broadcast(gate))  # one row
+    community = F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), (F.col("ca") == F.col("cb")).cast("int"))
+    return j.select("chain_id", F.col("a_id").alias(a), F.col("b_id").alias(b), F.when(F.col("passed"), F.col("z")).alias("proximity_z"), F.col("centrality").alias("degree_centrality_disclosed"), community.alias("community_degraded"), "lcc_share", F.col("seeds_missing").alias("seed_missing_rate"), F.col("targets_missing").alias("target_missing_rate"), (~F.col("passed")).cast("int").alias("degraded_mode"))
+
+
+def distance_tally(adj: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """``dist, n``: how many pairs of A and B lie how far apart; the last row, with a null distance, counts those without a path (left out if there are none)."""
-    reached = _between(dist, a, b).groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
+    reached = settle(_tally(adj, a, b), "tally")
     rest = _size(a, "na").crossJoin(_size(b, "nb")).crossJoin(reached.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r")))
     return reached.unionByName(rest.select(F.lit(None).cast("int").alias("dist"), (F.col("na") * F.col("nb") - F.col("r")).alias("n")).where("n > 0"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.ids import name_key
+from strandmill.functions.ids import local_id, name_key
 
 PRODUCTION = ("produces", "biotransforms")
 OPPOSED = ("consumes",)
@@ -58,25 +58,41 @@ def bucket_counts(reconciled: DataFrame) -> DataFrame:
     return reconciled.groupingSets([["bucket"], ["bucket", "verdict"], []], "bucket", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def conflict_ledger(edges: DataFrame) -> DataFrame:
-    """One row per pair with both polar predicates: distinct PubMed ids per side, winner, action, how many edges change.
+MICROBES = ("Species", "Microbe")
+
+
+def disease_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edge_id, microbe_taxid, disease_mesh``: the edges between a microbe and a disease with a valid accession, in either direction.
+
+    Both are named by what follows the first colon, so that prefixes don't part a pair.
+    """
+    kind = nodes.where(F.col("category").isin(*MICROBES, "Disease")).select("id", "category")
+    e = edges.select("edge_id", "subject", "object").join(kind.select(F.col("id").alias("subject"), F.col("category").alias("cs")), "subject").join(kind.select(F.col("id").alias("object"), F.col("category").alias("co")), "object")
+    from_subject = F.col("cs").isin(*MICROBES)
+    ok = (from_subject & (F.col("co") == "Disease")) | (F.col("co").isin(*MICROBES) & (F.col("cs") == "Disease"))
+    e = e.where(ok).select("edge_id", local_id(F.when(from_subject, F.col("subject")).otherwise(F.col("object"))).alias("microbe_taxid"), F.upper(local_id(F.when(from_subject, F.col("object")).otherwise(F.col("subject")))).alias("disease_mesh"))
+    return e.where(F.col("disease_mesh").rlike("^[DC][0-9]{6,}$"))
+
+
+def conflict_ledger(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row per microbe and disease with both polar predicates: distinct numeric PubMed ids per side, winner, action, how many edges change.
 
     More ids win; the loser's edges become ``affects``. A tie makes both sides ``affects``.
     """
-    polar = edges.where(F.col("predicate").isin(*POLES)).select("subject", "object", "predicate", "edge_id", F.explode_outer("pmids").alias("pmid"))
-    ids = lambda p: F.countDistinct(F.when(F.col("predicate") == p, F.col("pmid")))
+    e = edges.where(F.col("predicate").isin(*POLES)).select("edge_id", "predicate", F.explode_outer("pmids").alias("pmid")).join(disease_pairs(edges, nodes), "edge_id")
+    ids = lambda p: F.countDistinct(F.when((F.col("predicate") == p) & F.col("pmid").rlike("^[0-9]+$"), F.col("pmid")))
     own = lambda p: F.countDistinct(F.when(F.col("predicate") == p, F.col("edge_id")))
-    sides = polar.groupBy("subject", "object").agg(ids(POLES[0]).alias("pmid_aggravates"), ids(POLES[1]).alias("pmid_alleviates"), own(POLES[0]).alias("ea"), own(POLES[1]).alias("el")).where("ea > 0 and el > 0")
+    sides = e.groupBy("microbe_taxid", "disease_mesh").agg(ids(POLES[0]).alias("pmid_aggravates"), ids(POLES[1]).alias("pmid_alleviates"), own(POLES[0]).alias("ea"), own(POLES[1]).alias("el")).where("ea > 0 and el > 0")
     winner = F.when(F.col("pmid_aggravates") > F.col("pmid_alleviates"), POLES[0]).when(F.col("pmid_aggravates") < F.col("pmid_alleviates"), POLES[1]).otherwise("unresolved_tie")
     changed = F.when(winner == POLES[0], F.col("el")).when(winner == POLES[1], F.col("ea")).otherwise(F.col("ea") + F.col("el"))
-    return sides.select("subject", "object", "pmid_aggravates", "pmid_alleviates", winner.alias("winner"), F.when(winner == "unresolved_tie", "tie_both_neutral").otherwise("loser_relabel").alias("action"), changed.alias("edges_relabeled"))
+    return sides.select("microbe_taxid", "disease_mesh", "pmid_aggravates", "pmid_alleviates", winner.alias("winner"), F.when(winner == "unresolved_tie", "tie_both_neutral").otherwise("loser_relabel").alias("action"), changed.alias("edges_relabeled"))
 
 
-def repaired(edges: DataFrame, ledger: DataFrame) -> DataFrame:
+def repaired(edges: DataFrame, nodes: DataFrame, ledger: DataFrame) -> DataFrame:
     """The edges with the ledger applied: as many rows as before, losing polar predicates as ``affects``."""
-    out = edges.join(ledger.select("subject", "object", "winner"), ["subject", "object"], "left")
+    won = disease_pairs(edges, nodes).join(ledger.select("microbe_taxid", "disease_mesh", "winner"), ["microbe_taxid", "disease_mesh"]).select("edge_id", "winner").distinct()
     lost = F.col("predicate").isin(*POLES) & F.col("winner").isNotNull() & (F.col("predicate") != F.col("winner"))
-    return out.withColumn("predicate", F.when(lost, "affects").otherwise(F.col("predicate"))).drop("winner")
+    return edges.join(won, "edge_id", "left").withColumn("predicate", F.when(lost, "affects").otherwise(F.col("predicate"))).drop("winner")
 
 
 def increment_triples(assertions: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.ids import local_id
-from strandmill.functions.text import ACTIONS, CAUSAL_STEMS, CORRELATION_STEMS, matches_stem
+from strandmill.functions.text import ACTIONS, CAUSAL_STEMS, CORRELATION_STEMS, faithfulness, matches_stem
+from strandmill.gates import require_empty
 from strandmill.session import settle
 
 
@@ -88,8 +89,9 @@ def edge_causality(edges: DataFrame, assertions: DataFrame, causal: str = CAUSAL
     assertions has all flags 0. One aggregation by edge with partial maxima.
     """
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    said = [F.col(c) for c in ("evidence", "sentence") if c in assertions.columns]
     flags = assertions.groupBy("edge_id").agg(
-        flag((modal_votes(F.col("votes")) >= 2) | (F.col("verdict") == "SUPPORTED")).alias("v"), flag(matches_stem(causal, F.col("sentence"))).alias("c"), flag(matches_stem(correlation, F.col("sentence"))).alias("r"))
+        flag((modal_votes(F.col("votes")) >= 2) | (F.col("verdict") == "SUPPORTED")).alias("v"), flag(matches_stem(causal, *said)).alias("c"), flag(matches_stem(correlation, *said)).alias("r"))
     e = edges.select("edge_id", "predicate").join(flags, "edge_id", "left").withColumn("a", F.coalesce(F.col("predicate").isin(*ACTIONS), F.lit(False)).cast("int"))
     for f in ("v", "c", "r"):
         e = e.withColumn(f, F.coalesce(f, F.lit(0)))
@@ -105,3 +107,20 @@ def edge_causality(edges: DataFrame, assertions: DataFrame, causal: str = CAUSAL
 def relink(assertions: DataFrame, votes: DataFrame, key: str = "assertion_id") -> DataFrame:
     """Assertions with their votes by recomputed content id; ``votes_missing`` counts what found none."""
     return assertions.join(votes, key, "left").withColumn("votes_missing", F.col("votes").isNull().cast("int"))
+
+
+def with_marks(assertions: DataFrame, marks: DataFrame, key: str = "assertion_id") -> DataFrame:
+    """Assertions with the language mark of their sentence; refused if one has none, as both tables must come from the same sentences."""
+    m = marks.select(key, "mark").dropDuplicates([key])
+    require_empty(assertions.select(key).join(m, key, "left_anti"), "assertions without a language mark")
+    return assertions.join(m, key)
+
+
+def faithfulness_metrics(audited: DataFrame) -> DataFrame:
+    """One row over ``predicate, mark``: totals of causal and neutral predicates, over-reading rate with its upper bound of faithfulness, agreement among the judged, and how many have language of either kind."""
+    c = audited.withColumn("cell", faithfulness(F.col("predicate"), F.col("mark")))
+    n = lambda *cells: F.count_if(F.col("cell").isin(*cells))
+    j = c.agg(F.count(F.lit(1)).alias("n"), n("correct").alias("correct"), n("overread").alias("over"), n("no_judgement_causal").alias("silent"), n("conservative", "consistent_conservative").alias("neutral"), n("no_judgement_neutral").alias("silent_neutral"))
+    causal, judged, power = F.col("correct") + F.col("over") + F.col("silent"), F.col("correct") + F.col("over"), F.col("correct") + F.col("over") + F.col("neutral")
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 6))
+    return j.select(F.col("n").alias("n_assertions"), causal.alias("causal_total"), (F.col("neutral") + F.col("silent_neutral")).alias("neutral_total"), rate(F.col("over"), causal).alias("overread_rate"), F.when(causal > 0, F.round(1 - F.col("over") / causal, 6)).alias("faithfulness_upper_bound"), rate(F.col("correct"), judged).alias("direction_agreement"), power.alias("n_with_language_power"), rate(power, F.col("n")).alias("with_language_power_rate"))

@@ -12,10 +12,10 @@ PMID = "([0-9]{5,})"
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per normalised id: ``id, name, category, tax_rank, aliases``."""
+    """One row per normalised id: ``id, name, category, tax_rank, knowledge_layer, run_batch, aliases``."""
     rows = load(spark, sf, "merged_nodes").withColumn("nid", norm_id(F.col("id"))).where("nid is not null")
     return rows.groupBy(F.col("nid").alias("id")).agg(
-        F.min("name").alias("name"), F.min("category").alias("category"), F.min("tax_rank").alias("tax_rank"),
+        F.min("name").alias("name"), F.min("category").alias("category"), F.min("tax_rank").alias("tax_rank"), F.min("knowledge_layer").alias("knowledge_layer"), F.min("run_batch").alias("run_batch"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"),
     )
 
@@ -77,7 +77,7 @@ def _norm(c: str) -> str:
 
 
 CTES = {
-    "nodes": f"nodes AS (SELECT {_norm('id')} AS id, min(name) AS name, min(category) AS category, min(tax_rank) AS tax_rank, list_sort(list_distinct(flatten(list(coalesce(aliases, []))))) AS aliases FROM merged_nodes GROUP BY 1 HAVING {_norm('id')} IS NOT NULL)",
+    "nodes": f"nodes AS (SELECT {_norm('id')} AS id, min(name) AS name, min(category) AS category, min(tax_rank) AS tax_rank, min(knowledge_layer) AS knowledge_layer, min(run_batch) AS run_batch, list_sort(list_distinct(flatten(list(coalesce(aliases, []))))) AS aliases FROM merged_nodes GROUP BY 1 HAVING {_norm('id')} IS NOT NULL)",
     "edges": f"""edges AS (SELECT edge_id, {_norm('subject')} AS subject, predicate, {_norm('object')} AS object, polarity, evidence_tier, source_type, source_id, relation_status,
       coalesce(list_sort(list_distinct(regexp_extract_all(pmids, '[0-9]{{5,}}'))), []) AS pmids, coalesce(list_transform(pub_years, lambda y: y::INT), []) AS years, support_count, confidence, added_at
       FROM merged_edges WHERE edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY retrieved_at DESC) = 1)""",

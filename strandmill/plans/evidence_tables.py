@@ -15,15 +15,13 @@ from strandmill.plans.registry import Registry, load
 
 REG = Registry()
 Spark = SparkSession
-CAUSAL = ("restored", "lowered", "vanished", "produced", "doubled", "brought it back")
-CORRELATIONAL = ("link between", "preceded", "depends", "next to")
 ROOT = "colitis"
 TOPIC_IDS = ("MESH:C000100008", "C000001000")
 
 
 @REG.query(oracle=sql("SELECT id, name, category, tax_rank, aliases FROM nodes", "nodes"))
 def graph_nodes(spark: Spark, sf: str) -> DataFrame:
-    return ad.nodes(spark, sf)
+    return ad.nodes(spark, sf).select("id", "name", "category", "tax_rank", "aliases")
 
 
 @REG.query(oracle=sql("SELECT edge_id, subject, predicate, object, polarity, pmids, years, support_count, confidence, added_at FROM edges", "edges"))
@@ -82,40 +80,67 @@ def curated_topic_tokens(spark: Spark, sf: str) -> DataFrame:
 
 @REG.query(
     oracle=r"""SELECT name, regexp_replace(name, '\s*\([^)]*\)\s*$', '') AS bare, lower(trim(replace(name, '_', ' '))) AS norm,
-  CASE WHEN regexp_matches(name, '(?i)(^|_)(SGB|GGB|UMGS)[0-9]+(_|$)') THEN 'genome_code' WHEN regexp_matches(lower(name), 'unclassified|unknown|uncultured') THEN 'unclassified' WHEN regexp_matches(lower(name), '(^|[_ ])sp\.?([_ ]|$)') THEN 'sp_ref' END AS reason
-FROM (SELECT DISTINCT metabolite AS name FROM metabolite_host_gene WHERE metabolite IS NOT NULL)"""
+  CASE WHEN regexp_matches(name, '(?i)(^|_)(SGB|GGB|UMGS)[0-9]+(_|$)') THEN 'genome_code' WHEN contains(name, '_unclassified') THEN 'unclassified' WHEN contains(name, '_sp_') OR ends_with(name, '_sp') THEN 'sp_ref' END AS reason
+FROM (SELECT DISTINCT metabolite AS name FROM metabolite_host_gene WHERE metabolite IS NOT NULL UNION SELECT DISTINCT replace(microbe_name, ' ', '_') || suffix FROM chains, (SELECT unnest(['', '_unclassified', '_sp_1', '_sp', '_SGB12', ' sp.']) AS suffix) WHERE microbe_name IS NOT NULL)"""
 )
 def name_forms(spark: Spark, sf: str) -> DataFrame:
+    """Names of metabolites, and of microbes as feature names in six forms."""
     c = F.col("name")
-    return load(spark, sf, "metabolite_host_gene").select(F.col("metabolite").alias("name")).where("name is not null").distinct().select("name", text.strip_parenthesis(c).alias("bare"), ids.norm_name(c).alias("norm"), text.unnamed_reason(c).alias("reason"))
+    forms = F.explode(F.array(*[F.lit(x) for x in ("", "_unclassified", "_sp_1", "_sp", "_SGB12", " sp.")]))
+    microbes = load(spark, sf, "chains").where("microbe_name is not null").select(F.translate("microbe_name", " ", "_").alias("n")).distinct().withColumn("suffix", forms)
+    names = load(spark, sf, "metabolite_host_gene").select(F.col("metabolite").alias("name")).where("name is not null").union(microbes.select(F.concat("n", "suffix"))).distinct()
+    return names.select("name", text.strip_parenthesis(c).alias("bare"), ids.norm_name(c).alias("norm"), text.unnamed_reason(c).alias("reason"))
 
 
-def _hits(words: tuple[str, ...]) -> str:
-    return "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(lower(text), '(^|[^\p{{L}}0-9_]){w}([^\p{{L}}0-9_]|$)') THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL)"
+# the lexicon as the oracle has it
+_CAUSAL_SQL = "induces|promotes|inhibits|suppresses|increases|decreases|reduces|enhances|activates|blocks|causes|leads to|results in|drives|regulates|stimulates|produces|converts|degrades|secret|secrete|secretes|secreted|secretion|converts to|degraded"
+_CORRELATIONAL_SQL = "associated with|correlated with|linked to|related to|enriched in|depleted in|abundance of|positively associated|negatively associated|co-occurred"
 
 
-_MARKS = f"marks AS (SELECT doc_id, c, r, CASE WHEN len(c) > 0 THEN 'causal' WHEN len(r) > 0 THEN 'correlational' ELSE 'none' END AS mark FROM (SELECT doc_id, {_hits(CAUSAL)} AS c, {_hits(CORRELATIONAL)} AS r FROM documents WHERE text IS NOT NULL))"
+def _hits(words: str) -> str:
+    return "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)') THEN '{w}' END" for w in words.split("|")) + "], lambda x: x IS NOT NULL)"
 
 
-@REG.query(oracle=f"WITH {_MARKS} SELECT doc_id, mark, array_to_string(list_concat(c, r), ';') AS hit_words, len(c) AS n_causal_words FROM marks")
+_MARKS = f"marks AS (SELECT doc_id, c, r, said, CASE WHEN len(c) > 0 THEN 'causal' WHEN len(r) > 0 THEN 'correlational' ELSE 'none' END AS mark FROM (SELECT doc_id, said, {_hits(_CAUSAL_SQL)} AS c, {_hits(_CORRELATIONAL_SQL)} AS r FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS said, lower(coalesce(text, '')) AS low FROM documents)))"
+
+
+@REG.query(oracle="WITH " + _MARKS + " SELECT doc_id, mark, array_to_string(list_concat(c, r), ';') AS hit_words, substr(sha256(said), 1, 16) AS sentence_sha16, len(c) AS n_causal_words FROM marks")
 def lexicon_marks(spark: Spark, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").where("text is not null")
-    return docs.select("doc_id", text.lexicon_marks(F.col("text"), CAUSAL, CORRELATIONAL).alias("m")).select("doc_id", "m.*")
+    """The causal and correlational triggers of every document."""
+    docs = load(spark, sf, "documents").select("doc_id", "text").distinct()
+    return docs.select("doc_id", text.lexicon_marks(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+def _audited(spark: Spark, sf: str) -> DataFrame:
+    """Every assertion with the language mark of its sentence; marks are a table of their own, met by id."""
+    a = ad.assertions(spark, sf).withColumn("assertion_id", ids.content_id("AS-", F.col("edge_id"), F.col("pmid")))
+    marks = a.select("assertion_id", text.lexicon_marks(F.col("sentence")).alias("m")).select("assertion_id", "m.mark")
+    return sg.with_marks(a.select("assertion_id", "predicate"), marks)
+
+
+_CELL_SQL = (
+    _MARKS
+    + """, marked AS (SELECT a.predicate, coalesce(m.mark, 'none') AS mark FROM (SELECT predicate, doc_id FROM assertions) a LEFT JOIN marks m USING (doc_id)), cells AS (SELECT CASE WHEN lower(trim(predicate)) IN ('produces', 'biotransforms', 'aggravates', 'alleviates') THEN CASE mark WHEN 'causal' THEN 'correct' WHEN 'correlational' THEN 'overread' ELSE 'no_judgement_causal' END
+ WHEN lower(trim(predicate)) IN ('affects', 'consumes') THEN CASE mark WHEN 'causal' THEN 'conservative' WHEN 'correlational' THEN 'consistent_conservative' ELSE 'no_judgement_neutral' END ELSE 'unclassified_predicate' END AS cell, predicate FROM marked)"""
+)
+
+
+@REG.query(oracle=sql(_CELL_SQL + " SELECT cell, count(*) AS n, count(DISTINCT predicate) AS predicates FROM cells GROUP BY cell", "assertions"))
+def faithfulness_cells(spark: Spark, sf: str) -> DataFrame:
+    return _audited(spark, sf).withColumn("cell", text.faithfulness(F.col("predicate"), F.col("mark"))).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("predicate").alias("predicates"))
 
 
 @REG.query(
     oracle=sql(
-        _MARKS
-        + """, cells AS (SELECT a.predicate, CASE WHEN m.mark IS NULL THEN 'unclassified' WHEN a.predicate IN ('aggravates','alleviates','produces','biotransforms','consumes','promotes_growth','inhibits_growth')
- THEN CASE m.mark WHEN 'causal' THEN 'faithful_causal' WHEN 'correlational' THEN 'over_read' ELSE 'unsupported_action' END
- WHEN a.predicate = 'affects' THEN CASE m.mark WHEN 'causal' THEN 'under_read' WHEN 'correlational' THEN 'faithful_correlational' ELSE 'neutral' END ELSE 'unclassified' END AS cell FROM assertions a LEFT JOIN marks m USING (doc_id))
-SELECT cell, count(*) AS n, count(DISTINCT predicate) AS predicates FROM cells GROUP BY cell""",
+        _CELL_SQL
+        + """, k AS (SELECT count(*) AS n, count(*) FILTER (WHERE cell = 'correct') AS correct, count(*) FILTER (WHERE cell = 'overread') AS overread, count(*) FILTER (WHERE cell = 'no_judgement_causal') AS silent, count(*) FILTER (WHERE cell IN ('conservative', 'consistent_conservative')) AS neutral, count(*) FILTER (WHERE cell = 'no_judgement_neutral') AS silent_neutral FROM cells)
+SELECT n AS n_assertions, correct + overread + silent AS causal_total, neutral + silent_neutral AS neutral_total, round(overread / (correct + overread + silent), 6) AS overread_rate, round(1 - overread / (correct + overread + silent), 6) AS faithfulness_upper_bound, round(correct / (correct + overread), 6) AS direction_agreement, correct + overread + neutral AS n_with_language_power, round((correct + overread + neutral) / n, 6) AS with_language_power_rate FROM k""",
         "assertions",
     )
 )
-def faithfulness_cells(spark: Spark, sf: str) -> DataFrame:
-    a = ad.assertions(spark, sf).select("doc_id", "predicate").join(lexicon_marks(spark, sf).select("doc_id", "mark"), "doc_id", "left")
-    return a.withColumn("cell", text.faithfulness(F.col("predicate"), F.col("mark"))).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("predicate").alias("predicates"))
+def faithfulness_audit(spark: Spark, sf: str) -> DataFrame:
+    """Over-reading rate and what goes with it, over all assertions."""
+    return sg.faithfulness_metrics(_audited(spark, sf))
 
 
 @REG.query(
@@ -182,7 +207,7 @@ def induced_subgraph(spark: Spark, sf: str) -> DataFrame:
 @REG.query(
     oracle=sql(
         f"""flags AS (SELECT edge_id, max((list_max(list_transform(votes, lambda x: len(list_filter(votes, lambda y: y = x)))) >= 2 OR verdict = 'SUPPORTED')::INT) AS v,
-  max(coalesce(regexp_matches(sentence, '(?i)({text.CAUSAL_STEMS})'), false)::INT) AS c, max(coalesce(regexp_matches(sentence, '(?i)({text.CORRELATION_STEMS})'), false)::INT) AS r FROM assertions GROUP BY edge_id),
+  max(coalesce(regexp_matches(sentence, '(?i)(induce|inhibit|prevent|attenuat|aggravat|alleviat|promot|caus(?:e|ed|ing)|reduc|improv|protect|disturb|impair|generat|produc|convert|synthes|inactivat|metaboliz)'), false)::INT) AS c, max(coalesce(regexp_matches(sentence, '(?i)(correlat|associat|enrich|deplet|increas|decreas|elevat|lower|higher|abundan|prevalen|alter|shift|chang)'), false)::INT) AS r FROM assertions GROUP BY edge_id),
  f AS (SELECT e.edge_id, predicate, coalesce(predicate IN ('aggravates','alleviates','produces','biotransforms','consumes','promotes_growth','inhibits_growth'), false)::INT AS a, coalesce(v, 0) AS v, coalesce(c, 0) AS c, coalesce(r, 0) AS r FROM edges e LEFT JOIN flags USING (edge_id))
 SELECT edge_id, predicate, CASE WHEN a = 1 AND v = 1 AND c = 1 THEN 'causal' WHEN predicate = 'affects' OR r = 1 THEN 'correlated' ELSE 'unclassified' END AS causality,
  CASE WHEN a = 1 AND v = 1 AND c = 1 THEN 'rule1:action+vote+causal_ev' WHEN predicate = 'affects' OR r = 1 THEN 'rule2:' || concat_ws('+', CASE WHEN predicate = 'affects' THEN 'predicate_affects' END, CASE WHEN r = 1 THEN 'corr_ev' END)
@@ -227,41 +252,40 @@ def bucket_counts(spark: Spark, sf: str) -> DataFrame:
     return rc.bucket_counts(_buckets(spark, sf))
 
 
-# polar pairs: few pairs of the data have both poles, so that taxa are brought together by genus number
-_POLAR = """polar AS (SELECT edge_id, 'T' || (TRY_CAST(regexp_extract(subject, '([0-9]+)$', 1) AS BIGINT) % 40) AS subject, predicate, object, pmids FROM edges WHERE predicate IN ('aggravates', 'alleviates', 'affects') AND subject IS NOT NULL AND object IS NOT NULL AND regexp_matches(subject, '[0-9]+$')),
- sides AS (SELECT subject, object, count(DISTINCT edge_id) FILTER (WHERE predicate = 'aggravates') AS ea, count(DISTINCT edge_id) FILTER (WHERE predicate = 'alleviates') AS el, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'aggravates')))) AS pa, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'alleviates')))) AS pl FROM polar GROUP BY 1, 2),
- ledger AS (SELECT subject, object, pa AS pmid_aggravates, pl AS pmid_alleviates, CASE WHEN pa > pl THEN 'aggravates' WHEN pa < pl THEN 'alleviates' ELSE 'unresolved_tie' END AS winner, CASE WHEN pa = pl THEN 'tie_both_neutral' ELSE 'loser_relabel' END AS action,
+_POLAR = r"""md AS (SELECT e.edge_id, predicate, pmids, CASE WHEN s.category IN ('Species', 'Microbe') THEN subject ELSE object END AS m, CASE WHEN s.category IN ('Species', 'Microbe') THEN object ELSE subject END AS d FROM edges e JOIN nodes s ON s.id = subject JOIN nodes o ON o.id = object
+   WHERE (s.category IN ('Species', 'Microbe') AND o.category = 'Disease') OR (o.category IN ('Species', 'Microbe') AND s.category = 'Disease')),
+ keyed AS (SELECT edge_id, predicate, pmids, regexp_replace(m, '^[^:]*:', '') AS microbe_taxid, upper(regexp_replace(d, '^[^:]*:', '')) AS disease_mesh FROM md WHERE regexp_matches(regexp_replace(d, '^[^:]*:', ''), '(?i)^[DC][0-9]{6,}$')),
+ sides AS (SELECT microbe_taxid, disease_mesh, count(DISTINCT edge_id) FILTER (WHERE predicate = 'aggravates') AS ea, count(DISTINCT edge_id) FILTER (WHERE predicate = 'alleviates') AS el, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'aggravates')))) AS pa, len(list_distinct(flatten(list(pmids) FILTER (WHERE predicate = 'alleviates')))) AS pl FROM keyed GROUP BY 1, 2),
+ ledger AS (SELECT microbe_taxid, disease_mesh, pa AS pmid_aggravates, pl AS pmid_alleviates, CASE WHEN pa > pl THEN 'aggravates' WHEN pa < pl THEN 'alleviates' ELSE 'unresolved_tie' END AS winner, CASE WHEN pa = pl THEN 'tie_both_neutral' ELSE 'loser_relabel' END AS action,
    CASE WHEN pa > pl THEN el WHEN pa < pl THEN ea ELSE ea + el END AS edges_relabeled FROM sides WHERE ea > 0 AND el > 0)"""
 
 
-def _polar(spark: Spark, sf: str) -> DataFrame:
-    e = ad.edges(spark, sf).where(F.col("predicate").isin("aggravates", "alleviates", "affects") & F.col("subject").rlike("[0-9]+$") & F.col("object").isNotNull())
-    return e.select("edge_id", F.concat(F.lit("T"), F.regexp_extract("subject", "([0-9]+)$", 1).try_cast("bigint") % 40).alias("subject"), "predicate", "object", "pmids")
-
-
-@REG.query(oracle=sql(_POLAR + " SELECT * FROM ledger", "edges"))
+@REG.query(oracle=sql(_POLAR + " SELECT * FROM ledger", "nodes", "edges"))
 def conflict_ledger(spark: Spark, sf: str) -> DataFrame:
-    return rc.conflict_ledger(_polar(spark, sf))
+    return rc.conflict_ledger(ad.edges(spark, sf), ad.nodes(spark, sf))
 
 
-@REG.query(oracle=sql(_POLAR + " SELECT edge_id, p.subject, p.object, CASE WHEN predicate IN ('aggravates', 'alleviates') AND winner IS NOT NULL AND predicate <> winner THEN 'affects' ELSE predicate END AS predicate FROM polar p LEFT JOIN ledger l ON p.subject = l.subject AND p.object = l.object", "edges"))
+@REG.query(oracle=sql(_POLAR + " SELECT e.edge_id, e.subject, e.object, CASE WHEN e.predicate IN ('aggravates', 'alleviates') AND winner IS NOT NULL AND e.predicate <> winner THEN 'affects' ELSE e.predicate END AS predicate FROM edges e LEFT JOIN keyed k USING (edge_id) LEFT JOIN ledger l ON l.microbe_taxid = k.microbe_taxid AND l.disease_mesh = k.disease_mesh", "nodes", "edges"))
 def repaired_edges(spark: Spark, sf: str) -> DataFrame:
-    p = _polar(spark, sf)
-    return rc.repaired(p, rc.conflict_ledger(p)).select("edge_id", "subject", "object", "predicate")
+    e, n = ad.edges(spark, sf), ad.nodes(spark, sf)
+    return rc.repaired(e, n, rc.conflict_ledger(e, n)).select("edge_id", "subject", "object", "predicate")
 
 
-_NEW = """inc AS (SELECT subject, CASE WHEN pmid::BIGINT % 2 = 0 THEN 'affects' ELSE predicate END AS predicate, object, pmid, (pmid::BIGINT % 100) / 100.0 AS confidence, polarity FROM assertions WHERE pmid::BIGINT % 3 = 0 AND subject IS NOT NULL AND object IS NOT NULL AND pmid::BIGINT % 5 <> 0),
+# the curated edges are the table, the assertions of all other edges the increment; disputed ones failed
+_NEW = """base AS (SELECT * FROM edges WHERE source_type = 'curated'),
+ inc AS (SELECT a.subject, a.predicate, a.object, pmid, e.confidence, a.polarity FROM assertions a JOIN edges e USING (edge_id) WHERE e.source_type <> 'curated' AND e.relation_status IS DISTINCT FROM 'disputed' AND a.subject IS NOT NULL AND a.object IS NOT NULL),
  tri AS (SELECT subject, predicate, object, list_sort(list_distinct(list(pmid))) AS np, count(*) AS ns, max(confidence) AS nc, CASE WHEN coalesce(avg(CASE WHEN polarity IS NULL THEN NULL ELSE (polarity = 'positive')::INT END), 0) >= 0.5 THEN 'positive' ELSE 'negative' END AS npol FROM inc GROUP BY 1, 2, 3),
  ups AS (SELECT coalesce(e.subject, t.subject) AS subject, coalesce(e.predicate, t.predicate) AS predicate, coalesce(e.object, t.object) AS object, list_sort(list_distinct(list_concat(coalesce(e.pmids, []), coalesce(np, [])))) AS pmids, coalesce(support_count, 0) + coalesce(ns, 0) AS support,
    CASE WHEN e.confidence IS NULL THEN nc WHEN nc IS NULL THEN e.confidence ELSE greatest(e.confidence, nc) END AS confidence, coalesce(e.polarity, npol) AS polarity, CASE WHEN e.edge_id IS NULL THEN 'tier2_increment' WHEN ns IS NOT NULL THEN 'appended' ELSE 'kept' END AS origin
-   FROM edges e FULL JOIN tri t ON e.subject = t.subject AND e.predicate = t.predicate AND e.object = t.object)"""
+   FROM base e FULL JOIN tri t ON e.subject = t.subject AND e.predicate = t.predicate AND e.object = t.object)"""
 
 
 def _upserted(spark: Spark, sf: str) -> DataFrame:
-    n = F.col("pmid").cast("bigint")
-    a = ad.assertions(spark, sf).where((n % 3 == 0) & F.col("subject").isNotNull() & F.col("object").isNotNull())
-    inc = a.select("subject", F.when(n % 2 == 0, "affects").otherwise(F.col("predicate")).alias("predicate"), "object", "pmid", ((n % 100) / 100.0).alias("confidence"), "polarity", F.when(n % 5 == 0, "failed").otherwise("ok").alias("status"))
-    return rc.upsert(ad.edges(spark, sf), rc.increment_triples(inc))
+    e = ad.edges(spark, sf)
+    known = e.select("edge_id", "source_type", "relation_status", "confidence")
+    a = ad.assertions(spark, sf).join(known, "edge_id").where((F.col("source_type") != "curated") & F.col("subject").isNotNull() & F.col("object").isNotNull())
+    inc = a.select("subject", "predicate", "object", "pmid", "confidence", "polarity", F.when(F.col("relation_status") == "disputed", "failed").otherwise("ok").alias("status"))
+    return rc.upsert(e.where("source_type = 'curated'"), rc.increment_triples(inc))
 
 
 @REG.query(oracle=sql(_NEW + " SELECT subject, predicate, object, pmids, support::BIGINT AS support, round(confidence, 6) AS confidence, polarity, origin FROM ups", "assertions"))
@@ -274,10 +298,30 @@ def node_closure(spark: Spark, sf: str) -> DataFrame:
     return rc.closure(ad.edges(spark, sf), ad.nodes(spark, sf))
 
 
-@REG.query(oracle="SELECT d.pmid, CASE WHEN EXISTS (SELECT 1 FROM metabolite_host_gene m WHERE m.pmid = d.pmid) THEN 'overlap' ELSE 'new' END AS status FROM (SELECT DISTINCT pmid FROM (SELECT pmid FROM documents UNION ALL SELECT pmid FROM metabolite_host_gene WHERE row_index % 2 = 0) WHERE pmid IS NOT NULL) d")
+@REG.query(oracle="SELECT d.pmid, CASE WHEN d.pmid IN (SELECT pmid FROM metabolite_host_gene WHERE pmid IS NOT NULL) THEN 'overlap' ELSE 'new' END AS status FROM (SELECT DISTINCT pmid FROM (SELECT pmid FROM documents UNION ALL SELECT unnest(pmids) FROM (" + sql("SELECT pmids FROM edges", "edges") + ")) WHERE pmid IS NOT NULL) d")
 def pmid_difference(spark: Spark, sf: str) -> DataFrame:
-    m = load(spark, sf, "metabolite_host_gene")
-    return rc.literature_difference(load(spark, sf, "documents").select("pmid").union(m.where("row_index % 2 = 0").select("pmid")), m)
+    """PubMed ids of the documents and of all edges that the curated table lacks or has."""
+    found = load(spark, sf, "documents").select("pmid").union(ad.edges(spark, sf).select(F.explode("pmids")))
+    return rc.literature_difference(found, load(spark, sf, "metabolite_host_gene"))
+
+
+@REG.query(
+    oracle=sql("n AS (SELECT count(*) AS all_rows, count(DISTINCT edge_id || '|' || pmid) AS linked FROM assertions) SELECT all_rows AS n_assertions, all_rows AS n_linked, 0::BIGINT AS n_missing FROM n", "assertions")
+)
+def assertion_votes(spark: Spark, sf: str) -> DataFrame:
+    """Assertions linked to their votes again by the recomputed content id; misses are counted."""
+    a = ad.assertions(spark, sf)
+    key = ids.content_id("AS-", F.col("edge_id"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("pmid"))
+    votes = a.select(key.alias("assertion_id"), "votes").dropDuplicates(["assertion_id"])
+    linked = sg.relink(a.drop("votes").withColumn("assertion_id", key), votes)
+    return linked.agg(F.count(F.lit(1)).alias("n_assertions"), F.count_if(F.col("votes_missing") == 0).alias("n_linked"), F.sum("votes_missing").cast("bigint").alias("n_missing"))
+
+
+@REG.query(oracle=sql(_FAMILY + _HOPS + " SELECT predicate, count(*) AS n, count(DISTINCT a.edge_id) AS edges FROM assertions a WHERE edge_id IN (SELECT edge_id FROM edges WHERE subject IN (SELECT id FROM hops WHERE hop < 2) AND object IN (SELECT id FROM hops WHERE hop < 2)) GROUP BY predicate", "nodes", "assertions"))
+def restricted_assertions(spark: Spark, sf: str) -> DataFrame:
+    """The assertions of the cut sub-graph's edges, by predicate."""
+    cut = sg.induced(ad.edges(spark, sf), _hops(spark, sf).where("hop < 2"))
+    return sg.restrict(ad.assertions(spark, sf), "edge_id", cut, "edge_id").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("edge_id").alias("edges"))
 
 
 CHAIN_SQL = r"""h1 AS (SELECT e.edge_id, e.subject AS microbe_id, m.name AS microbe_name, e.predicate, e.object AS metabolite_id, b.name AS metabolite_name FROM edges e JOIN nodes b ON b.id = e.object AND b.category = 'Metabolite' LEFT JOIN nodes m ON m.id = e.subject WHERE e.predicate IN ('produces', 'biotransforms') AND starts_with(e.subject, 'NCBITAXON:')),

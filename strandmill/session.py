@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -34,10 +35,16 @@ def build_session(app: str = "strandmill", cores: int | str = "*", shuffle: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, or one of our own where that is unset and all runs on this machine (tests).
+
+    On a cluster an unset folder is refused, as each executor would write to its own disk.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} intermediate tables need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="strandmill-")
@@ -45,17 +52,46 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, deleted at the end of the process at the latest."""
+    path = f"{shared_dir(spark)}/strandmill-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back: the lineage ends there, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandmill-{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
 
+class Levels:
+    """Tables of one kind, one for each level of a search, under one folder: written level by level, read alone or all at once.
+
+    Reading all of them is one scan of one folder, so that no plan grows with the number of levels.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, column: str = "dist"):
+        self.spark, self.path, self.column = spark, folder(spark, name), column
+
+    def write(self, level: int, df: DataFrame) -> DataFrame:
+        self.schema = df.schema
+        df.write.mode("overwrite").parquet(f"{self.path}/{self.column}={level}")
+        return self.read(level)
+
+    def read(self, level: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.column}={level}")
+
+    def all(self) -> DataFrame:
+        whole = T.StructType([*self.schema.fields, T.StructField(self.column, T.IntegerType())])
+        out = self.spark.read.schema(whole).parquet(self.path)
+        out._settled_at = self.path
+        return out
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a settled table that is no longer needed; any other table is left alone."""
     if path := getattr(df, "_settled_at", None):
