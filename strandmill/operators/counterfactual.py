@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators.votes import RANK, borda, top_cards
+from strandmill.operators.votes import RANK, looked_up, top_cards, vote_histogram
 
 VOTES = ("vote1", "vote2", "vote3", "vote4")
 
@@ -13,22 +13,43 @@ VOTES = ("vote1", "vote2", "vote3", "vote4")
 def remove_edges(cards: DataFrame, top: int = 10, edge: str = "hop1_edge_id") -> DataFrame:
     """``removed_edge, chain_id, rank_before, rank_after, shift``: for each edge of a top card, every top card's rank without it.
 
-    A removal drops all chains that use the edge; rank sums are made anew for each scenario. ``rank_after`` is null (OUT)
-    for a chain that was dropped. A rank is one plus the number of better cards, added up by partial sums against the
-    few top cards, so that no window orders a whole scenario.
+    A removal drops all chains that use the edge. It changes the rank sum of a card by the removed chains with lower
+    votes only, so that one small histogram per edge is enough and the cards are neither multiplied nor joined: one
+    aggregation counts, for each removal and top card, the cards that are better in that scenario. ``rank_after`` is null
+    (OUT) for a chain that was dropped. At most ``top`` squared counts are kept.
     """
-    best = top_cards(cards, top).select("rank", "chain_id", edge)
-    removals = best.select(F.col(edge).alias("removed_edge")).where("removed_edge is not null").distinct()
-    keep = ["chain_id", edge, *VOTES, "votes_total", "evidence_score", "verified_rate", "penalty"]
-    scenarios = cards.select(*keep).crossJoin(F.broadcast(removals)).where(F.col(edge).isNull() | (F.col(edge) != F.col("removed_edge")))
-    again = borda(scenarios, VOTES, ("removed_edge",))
-    key = F.struct(*[(-F.col(k) if how == "desc" else F.col(k)).alias(k) for k, how in RANK.items()])
-    keyed = again.select("removed_edge", "chain_id", key.alias("k"))
-    mine = keyed.join(F.broadcast(best.select("chain_id", F.col("rank").alias("rank_before"))), "chain_id").select("removed_edge", F.col("chain_id").alias("card"), F.col("k").alias("card_k"))
-    better = keyed.join(F.broadcast(mine), "removed_edge").groupBy("removed_edge", "card").agg((F.sum((F.col("k") < F.col("card_k")).cast("long")) + 1).alias("rank_after"))
-    grid = best.select("chain_id", F.col("rank").alias("rank_before")).crossJoin(F.broadcast(removals))
-    out = grid.join(better.withColumnRenamed("card", "chain_id"), ["removed_edge", "chain_id"], "left")
-    return out.select("removed_edge", "chain_id", "rank_before", "rank_after", (F.col("rank_after") - F.col("rank_before")).alias("shift"))
+    spark = cards.sparkSession
+    empty = "removed_edge string, chain_id string, rank_before int, rank_after long, shift long"
+    best = top_cards(cards, top).select("rank", "chain_id", edge, *VOTES, *[k for k in RANK if k != "chain_id"]).collect()
+    edges = sorted({r[edge] for r in best if r[edge] is not None})
+    if not edges:
+        return spark.createDataFrame([], empty)
+    gone = vote_histogram(cards.where(F.col(edge).isin(edges)), VOTES, edge)
+
+    def shrunk(e: str, v: str, value: int) -> int:
+        """How many removed cards have a lower vote."""
+        return sum(n for (f, w, x), n in gone.items() if f == e and w == v and x < value)
+
+    def key(get) -> Column:
+        return F.struct(*[(-get(k) if how == "desc" else get(k)).alias(k) for k, how in RANK.items()])
+
+    counts = []
+    seen = vote_histogram(cards, VOTES)
+    for i, e in enumerate(edges):
+        less = F.lit(0).cast("long")
+        for v in VOTES:
+            less = less + looked_up({x: shrunk(e, v, x) for (w, x) in seen if w == v}, v)
+        mine = key(lambda k, less=less: F.col("borda") - less if k == "borda" else F.col(k))
+        kept = F.col(edge).isNull() | (F.col(edge) != e)
+        for t in best:
+            if t[edge] != e:
+                after = t.borda - sum(shrunk(e, v, t[v]) for v in VOTES)
+                theirs = key(lambda k, t=t, after=after: F.lit(after if k == "borda" else t[k]))
+                counts.append((i, t.chain_id, kept, mine, theirs))
+    better = cards.agg(*[F.count_if(kept & (mine < theirs)).alias(f"n{j}") for j, (_, _, kept, mine, theirs) in enumerate(counts)]).first() if counts else ()
+    out = {(i, c): better[j] + 1 for j, (i, c, *_) in enumerate(counts)}
+    table = [(e, t.chain_id, t.rank, out.get((i, t.chain_id)), out[i, t.chain_id] - t.rank if (i, t.chain_id) in out else None) for i, e in enumerate(edges) for t in best]
+    return spark.createDataFrame(table, empty)
 
 
 def shift_summary(shifts: DataFrame) -> DataFrame:

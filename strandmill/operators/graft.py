@@ -20,6 +20,13 @@ def gene_edges(curated: DataFrame, metabolites: DataFrame) -> tuple[DataFrame, D
     return edges, r.join(m, "k", "left_anti").select("row_index", "metabolite", "gene")
 
 
+def gene_layer(curated: DataFrame, metabolites: DataFrame) -> DataFrame:
+    """``subject, object``: the edges between metabolites and the gene nodes that curated rows name by number, by exact lower-case name."""
+    m = metabolites.select(F.col("id").alias("subject"), name_key(F.col("name")).alias("k")).where("k is not null").groupBy("k").agg(F.min("subject").alias("subject"))
+    r = curated.where("gene_id is not null").select(name_key(F.col("metabolite")).alias("k"), F.concat(F.lit("NCBIGENE:"), "gene_id").alias("object"))
+    return r.join(m, "k").select("subject", "object").distinct()
+
+
 def graft(base: DataFrame, new: DataFrame) -> DataFrame:
     """The base edges as they are, then the new ones, with ``origin``; refused if a new edge id is already there."""
     require_empty(new.select("edge_id").join(base.select("edge_id"), "edge_id", "left_semi"), "edge ids of the graft collide with the base")

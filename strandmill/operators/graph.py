@@ -376,6 +376,11 @@ def chain_null(adj: DataFrame, pairs: DataFrame, pool: DataFrame, n_perm: int, s
     return out.select("a_id", "b_id", "d_obs", F.when(there & (n > 1), F.round("mean", 6)).alias("null_mean"), F.when(there & (n > 1), F.round("sd", 6)).alias("null_sd"), z.alias("z"), F.when(there & (n > 0), F.round((F.col("below") + 1) / (n + 1), 6)).alias("p"), n.alias("n_used"), (n_perm - n).alias("n_unreachable"))
 
 
+def first_rows(df: DataFrame, n: int, ordinal: list[str]) -> DataFrame:
+    """The first ``n`` rows in a stated order: the cap on a file's rows, for tables that have no order of their own."""
+    return df.orderBy(*ordinal).limit(n)
+
+
 def side_car(cards: DataFrame, a: str, b: str, z: DataFrame, degree_table: DataFrame, comp: DataFrame, gate: DataFrame) -> DataFrame:
     """The ten columns of the structure scores: the chain and its ends, z, centrality of the far end, whether both ends share a component, and the gate's figures.
 

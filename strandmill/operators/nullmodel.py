@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions import stats
 from strandmill.functions.ids import hash_number
 from strandmill.gates import require_same_rows
 from strandmill.operators.graph import drawn
 from strandmill.operators.ranking import positions
+from strandmill.session import settle
 
 
 def permute(df: DataFrame, key: str, columns: Sequence[str], seed: int) -> DataFrame:
@@ -58,3 +60,16 @@ def paired_votes(real: DataFrame, null: DataFrame, votes: Sequence[str]) -> Data
     rows = F.array(*[F.struct(F.lit(v).alias("vote"), F.col(v).cast("double").alias("x"), F.col(f"null_{v}").cast("double").alias("y")) for v in votes])
     each = both.select("made", F.explode(rows).alias("r")).select("made", "r.*")
     return each.groupBy("vote").agg(F.round(F.avg("x"), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("made") == 1, F.col("x"))), 6).alias("mean_kept"), F.round(F.avg("y"), 6).alias("mean_null"), F.round(F.count("made") / F.count(F.lit(1)), 6).alias("made_share"))
+
+
+def arm_row(arm: str, real: DataFrame, null: DataFrame) -> DataFrame:
+    """One row for an arm of ``real`` and ``null`` votes: paired statistics of the totals with computable shares, signed-rank test, overlap, how skipped chains differ from kept ones, and the discriminator."""
+    n = null.select("chain_id", F.col("votes_total").alias("y"), F.col("computable").alias("cy"))
+    j = settle(real.select("chain_id", F.col("votes_total").alias("x"), F.col("computable").alias("cx")).join(n, "chain_id", "left"), "arm")
+    kept = j.where("y is not null").withColumn("d", F.col("x") - F.col("y"))
+    skipped = j.agg(F.count_if(F.col("y").isNull()).alias("n_skipped"), F.round(F.avg(F.when(F.col("y").isNotNull(), F.col("x"))), 6).alias("kept_mean"), F.round(F.avg(F.when(F.col("y").isNull(), F.col("x"))), 6).alias("skipped_mean"))
+    shared = stats.overlap_coefficient(kept.select(F.col("x").alias("v")), kept.select(F.col("y").alias("v")), "v")
+    test = stats.wilcoxon(kept).select("z", "p", "r")
+    row = stats.paired_stats(kept, "x", "y", ("cx", "cy")).crossJoin(test).crossJoin(shared).crossJoin(skipped)  # one row each
+    verdict = stats.discriminator(F.col("mean_diff"), F.col("p"), F.col("computable_ratio"), F.col("variance_ratio"))
+    return row.select(F.lit(arm).alias("arm"), *row.columns, (F.col("skipped_mean") - F.col("kept_mean")).alias("selection_delta"), verdict.alias("verdict"))

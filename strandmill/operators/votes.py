@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.ids import name_key
 from strandmill.functions.stats import harmonic_score
+from strandmill.gates import GateError
 from strandmill.operators.skew import hot_fields, salted_join
 from strandmill.session import settle
 
@@ -34,15 +37,25 @@ def external_vote(chains: DataFrame, taxa: DataFrame, names: DataFrame, genera:
     words match as well. A genus node takes no species finding. The lists meet the different microbes, not the chains.
     """
     hot = hot if hot is not None else hot_of(chains)
-    m = chains.select("microbe_id", "microbe_name", "taxid").distinct()
+    hit = _external_hits(chains.select("microbe_id", "microbe_name", "taxid").distinct(), taxa, names, genera).withColumn("v", F.lit(1))
+    return salted_join(chains.select("chain_id", "microbe_id"), hit, "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"]).select("chain_id", F.coalesce("v", F.lit(0)).alias("vote1"))
+
+
+def _external_hits(m: DataFrame, taxa: DataFrame, names: DataFrame, genera: DataFrame) -> DataFrame:
+    """``microbe_id`` of the microbes that a list knows by taxon or name, or whose name begins with a listed genus and a blank."""
     low = name_key(F.col("microbe_name"))
     words = F.split(low, " ")
     prefixes = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, 1, i), " "))).otherwise(F.array().cast("array<string>"))
-    by_genus = m.select("microbe_id", "microbe_name", F.explode(prefixes).alias("g")).join(genera.select(name_key(F.col("name")).alias("g")).distinct(), "g", "left_semi").select("microbe_id", "microbe_name")
-    by_taxon = m.join(taxa.select("taxid").distinct(), "taxid", "left_semi").select("microbe_id", "microbe_name")
-    by_name = m.withColumn("k", low).join(names.select(name_key(F.col("name")).alias("k")).distinct(), "k", "left_semi").select("microbe_id", "microbe_name")
-    hit = by_genus.union(by_taxon).union(by_name).select("microbe_id").distinct().withColumn("v", F.lit(1))
-    return salted_join(chains.select("chain_id", "microbe_id"), hit, "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"]).select("chain_id", F.coalesce("v", F.lit(0)).alias("vote1"))
+    by_genus = m.select("microbe_id", F.explode(prefixes).alias("g")).join(genera.select(name_key(F.col("name")).alias("g")).distinct(), "g", "left_semi").select("microbe_id")
+    by_taxon = m.join(taxa.select("taxid").distinct(), "taxid", "left_semi").select("microbe_id")
+    by_name = m.withColumn("k", low).join(names.select(name_key(F.col("name")).alias("k")).distinct(), "k", "left_semi").select("microbe_id")
+    return by_genus.union(by_taxon).union(by_name).distinct()
+
+
+def _strain_hits(m: DataFrame, taxa: DataFrame, names: DataFrame) -> DataFrame:
+    """``microbe_id`` of the microbes of which a strain is listed by taxon or name."""
+    by_name = m.withColumn("k", name_key(F.col("microbe_name"))).join(names.select(name_key(F.col("name")).alias("k")).distinct(), "k", "left_semi")
+    return m.join(taxa.select("taxid").distinct(), "taxid", "left_semi").select("microbe_id").union(by_name.select("microbe_id")).distinct()
 
 
 def record_counts(reconciled: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -76,13 +89,12 @@ def evidence_vote(chains: DataFrame, by_node: DataFrame, by_name: DataFrame, sec
 def strain_available(chains: DataFrame, taxa: DataFrame, names: DataFrame, hot: Hot | None = None) -> DataFrame:
     """``chain_id, strain``: 1 if a strain is listed by the microbe's taxon or name."""
     hot = hot if hot is not None else hot_of(chains)
-    m = chains.select("microbe_id", "microbe_name", "taxid").distinct()
-    hit = m.join(taxa.select("taxid").distinct(), "taxid", "left_semi").select("microbe_id").union(m.withColumn("k", name_key(F.col("microbe_name"))).join(names.select(name_key(F.col("name")).alias("k")).distinct(), "k", "left_semi").select("microbe_id"))
-    return salted_join(chains.select("chain_id", "microbe_id"), hit.distinct().withColumn("v", F.lit(1)), "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"]).select("chain_id", F.coalesce("v", F.lit(0)).alias("strain"))
+    hit = _strain_hits(chains.select("microbe_id", "microbe_name", "taxid").distinct(), taxa, names).withColumn("v", F.lit(1))
+    return salted_join(chains.select("chain_id", "microbe_id"), hit, "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"]).select("chain_id", F.coalesce("v", F.lit(0)).alias("strain"))
 
 
-def verify_steps(chains: DataFrame, edges: DataFrame, pairs: DataFrame, snapshot: DataFrame, hot: Hot | None = None) -> DataFrame:
-    """``chain_id, step1..3, verified, total, verified_rate, step2_support``: each hop looked up again.
+def verify_steps(chains: DataFrame, edges: DataFrame, pairs: DataFrame, snapshot: DataFrame, hot: Hot | None = None, keep: Sequence[str] = ("chain_id",)) -> DataFrame:
+    """``keep``, then ``step1..3, verified, total, verified_rate, step2_support``: each hop looked up again.
 
     Step 1: the edge exists and has the chain's ends. Step 2: some edge links metabolite and gene in either direction,
     supported by the smallest edge id; else the curated rows alone (0). Step 3: the (gene, pathway) is in the snapshot.
@@ -99,22 +111,50 @@ def verify_steps(chains: DataFrame, edges: DataFrame, pairs: DataFrame, snapshot
     three = F.coalesce("snap", F.lit(0))
     verified = one + two + three
     support = F.when(F.col("gene_id").isNull(), "").when(F.col("support").isNotNull(), F.concat(F.lit("subgraph_edge:"), "support")).otherwise(F.concat(F.lit("curated_only:"), F.col("refs")))
-    return c.select("chain_id", one.alias("step1"), two.alias("step2"), three.alias("step3"), verified.alias("verified"), F.col("depth").alias("total"), F.round(verified / F.col("depth"), 6).alias("verified_rate"), support.alias("step2_support"))
+    return c.select(*keep, one.alias("step1"), two.alias("step2"), three.alias("step3"), verified.alias("verified"), F.col("depth").alias("total"), F.round(verified / F.col("depth"), 6).alias("verified_rate"), support.alias("step2_support"))
+
+
+#: Different values of one vote at most; votes are small integers, and their histogram goes through the driver.
+VALUES = 10_000
+
+
+def vote_histogram(cards: DataFrame, votes: Sequence[str], by: str | None = None) -> dict[tuple, int]:
+    """``(vote, value)`` or ``(by, vote, value)`` -> number of cards, in one aggregation; refused if a vote takes more than ``VALUES`` values."""
+    keys = [by] if by else []
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("vote"), F.col(v).cast("long").alias("value")) for v in votes])).alias("x")
+    rows = cards.select(*keys, each).groupBy(*keys, "x.vote", "x.value").agg(F.count(F.lit(1)).alias("n")).limit(VALUES * len(votes) + 1).collect()
+    if len(rows) > VALUES * len(votes):
+        raise GateError(f"votes {list(votes)} take more than {VALUES} values")
+    return {tuple(r)[:-1]: r.n for r in rows}
+
 
+def lower_counts(histogram: dict[tuple, int], vote: str) -> dict[int, int]:
+    """For each value of a vote, how many cards have a lower one."""
+    own = sorted((value, n) for (v, value), n in histogram.items() if v == vote)
+    out, below = {}, 0
+    for value, n in own:
+        out[value], below = below, below + n
+    return out
+
+
+def looked_up(table: dict[int, int], column: str) -> Column:
+    """The entry of a small table of the driver for a column's value; 0 for a value it lacks."""
+    if not table:
+        return F.lit(0).cast("long")
+    pairs = [x for k, v in sorted(table.items()) for x in (F.lit(int(k)).cast("long"), F.lit(int(v)).cast("long"))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.col(column).cast("long")), F.lit(0).cast("long"))
 
-def borda(cards: DataFrame, votes: tuple[str, ...], scenario: tuple[str, ...] = ()) -> DataFrame:
-    """The cards with ``borda``: over all votes, how many cards (of the scenario) have a strictly lower value.
 
-    From histograms: each vote has few values, so a running sum over those gives the count, and the cards only meet a
-    lookup of that size; no window over all cards.
+def borda(cards: DataFrame, votes: Sequence[str]) -> DataFrame:
+    """The cards with ``borda``: over all votes, how many cards have a strictly lower value.
+
+    One histogram of all votes gives a small table, which is applied in place: no join and no order of the cards.
     """
-    out = cards.withColumn("borda", F.lit(0).cast("long"))
+    h = vote_histogram(cards, votes)
+    total = F.lit(0).cast("long")
     for v in votes:
-        h = cards.groupBy(*scenario, F.col(v).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.partitionBy(*scenario).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-        below = h.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-        out = out.join(F.broadcast(below) if not scenario else below, [out[v] == below["__v"], *[out[s] == below[s] for s in scenario]]).select(*[out[c] for c in out.columns if c != "borda"], (out["borda"] + below["__below"]).alias("borda"))
-    return out
+        total = total + looked_up(lower_counts(h, v), v)
+    return cards.withColumn("borda", total)
 
 
 def rank_order(order: dict[str, str] | None = None) -> list[Column]:
@@ -128,18 +168,36 @@ def top_cards(cards: DataFrame, n: int = 10, order: dict[str, str] | None = None
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order(order))))
 
 
-def assemble_cards(chains: DataFrame, vote1: DataFrame, vote3: DataFrame, measurable: DataFrame, strain: DataFrame, steps: DataFrame) -> DataFrame:
-    """One card per chain: four votes, their total, evidence score, verification, and the rank sum.
+def microbe_facts(microbes: DataFrame, taxa: DataFrame, names: DataFrame, genera: DataFrame, strain_taxa: DataFrame, strain_names: DataFrame, by_node: DataFrame, second: DataFrame) -> DataFrame:
+    """``microbe_id, v1, strain, nm, ns`` of ``microbes(microbe_id, microbe_name, taxid)``: one row for each microbe with all that its chains take from it."""
+    m = microbes.select("microbe_id", "microbe_name", "taxid").where("microbe_id is not null").distinct()
+    v1 = _external_hits(m, taxa, names, genera).withColumn("v1", F.lit(1))
+    st = _strain_hits(m, strain_taxa, strain_names).withColumn("strain", F.lit(1))
+    ids = m.select("microbe_id").distinct()
+    counts = by_node.select(F.col("node").alias("microbe_id"), F.col("n").alias("nm")).join(second.select("microbe_id", F.col("n").alias("ns")), "microbe_id", "full")
+    return ids.join(v1, "microbe_id", "left").join(st, "microbe_id", "left").join(counts, "microbe_id", "left")
+
 
-    Vote 2 is the depth; vote 4 is measurable plus strain available. All parts have one row per chain id, so that the
-    joins are on one key and share their partitioning.
+def score(chains: DataFrame, microbes: DataFrame, metabolites: DataFrame, genes: DataFrame, hot: Hot | None = None) -> DataFrame:
+    """The chains with their four votes, total and evidence score, in one pass of look-ups by entity.
+
+    ``microbes`` has ``microbe_id, v1, strain, nm, ns``, ``metabolites`` has ``metabolite_id, nb, measurable, computable``,
+    ``genes`` has ``gene_key, ng``: one row per entity, so that a hot entity's rows are spread and nothing is joined by
+    chain. Vote 2 is the depth; vote 4 is measurable plus strain available; ``computable`` counts votes 2 and 4.
     """
-    parts = [vote1, vote3, measurable, strain, steps.select("chain_id", "step1", "step2", "step3", "verified", "total", "verified_rate")]
-    out = chains.select("chain_id", "microbe_id", "metabolite_id", "gene_id", "pathway", "hop1_edge_id", F.col("depth").alias("vote2"), "penalty")
-    for p in parts:
-        out = out.join(p, "chain_id", "left")
-    for c in ("vote1", "vote3", "measurable", "strain", "n_first", "n_second"):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    out = out.withColumn("evidence_score", F.coalesce("evidence_score", F.lit(0.0))).withColumn("vote4", F.col("measurable") + F.col("strain"))
-    out = out.withColumn("votes_total", F.col("vote1") + F.col("vote2") + F.col("vote3") + F.col("vote4"))
-    return borda(settle(out, "cards"), ("vote1", "vote2", "vote3", "vote4"))
+    hot = hot if hot is not None else hot_of(chains)
+    c = chains.withColumn("gene_key", name_key(F.col("gene_name")))
+    c = salted_join(c, microbes, "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"], hint=None)
+    c = salted_join(c, metabolites, "metabolite_id", "left", F.col("chain_id"), hot=hot["metabolite_id"], hint=None)
+    c = salted_join(c, genes, "gene_key", "left", F.col("chain_id"), hot=hot["gene_key"], hint=None)
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    n1, n2 = zero("nm") + zero("nb") + zero("ng"), zero("ns")
+    c = c.withColumn("n_first", n1).withColumn("n_second", n2).withColumn("vote1", zero("v1")).withColumn("vote2", F.col("depth")).withColumn("vote3", ((n1 > 0) | (n2 > 0)).cast("int")).withColumn("evidence_score", harmonic_score(n1, n2))
+    c = c.withColumn("measurable", zero("measurable")).withColumn("strain", zero("strain")).withColumn("vote4", F.col("measurable") + F.col("strain")).withColumn("computable", zero("computable") + 1)
+    return c.withColumn("votes_total", F.col("vote1") + F.col("vote2") + F.col("vote3") + F.col("vote4")).drop("gene_key", "nm", "nb", "ng", "ns", "v1")
+
+
+def assemble_cards(scored: DataFrame) -> DataFrame:
+    """One card per scored and verified chain, with the rank sum over the four votes."""
+    keep = ["chain_id", "microbe_id", "microbe_name", "taxid", "metabolite_id", "gene_id", "gene_name", "pathway", "hop1_edge_id", "depth", "penalty", "vote1", "vote2", "vote3", "vote4", "n_first", "n_second", "measurable", "strain", "computable", "evidence_score", "votes_total"]
+    return borda(settle(scored.select(*keep, "step1", "step2", "step3", "verified", "total", "verified_rate"), "cards"), ("vote1", "vote2", "vote3", "vote4"))

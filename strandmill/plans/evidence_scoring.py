@@ -113,13 +113,14 @@ def entities(spark: Spark, sf: str) -> DataFrame:
 def _potential(spark: Spark, sf: str) -> DataFrame:
     e = entities(spark, sf)
     n = F.col("chebi").try_cast("bigint")
-    mapping = e.select(F.explode("chebi").alias("chebi")).distinct().where(n % 3 != 0).select("chebi", F.concat(F.lit("K"), n % 23).alias("ko"))
+    known = load(spark, sf, "metabolite_host_gene").select(F.explode(F.regexp_extract_all("metabolite_chebi", F.lit("([0-9]{4,})"))).alias("chebi")).distinct()
+    mapping = e.select(F.explode("chebi").alias("chebi")).distinct().join(known, "chebi", "left_semi").select("chebi", F.concat(F.lit("K"), n % 23).alias("ko"))
     return co.potential(e, mapping, ko_matrix(spark, sf), COHORTS)
 
 
 _POTENTIAL = (
     """ent AS (SELECT metabolite_id AS entity, coalesce(list_sort(list_distinct(flatten(list(regexp_extract_all(metabolite_chebi, '[0-9]{4,}'))))), []) AS chebi FROM sc WHERE metabolite_id IS NOT NULL GROUP BY 1),
- ek AS (SELECT DISTINCT entity, 'K' || (c::BIGINT % 23) AS ko FROM (SELECT entity, unnest(chebi) AS c FROM ent) WHERE c::BIGINT % 3 <> 0),
+ ek AS (SELECT DISTINCT entity, 'K' || (c::BIGINT % 23) AS ko FROM (SELECT entity, unnest(chebi) AS c FROM ent) WHERE c IN (SELECT unnest(regexp_extract_all(metabolite_chebi, '[0-9]{4,}')) FROM metabolite_host_gene)),
  ekm AS (SELECT cohort, entity, sample, v FROM ek JOIN km USING (ko)), """
     + _stats_sql("kstat", "ekm", "entity")
     + """, pot AS (SELECT e.entity, co.cohort, coalesce(n, 0) AS n_mapped, CASE WHEN len(chebi) = 0 THEN 'no_chebi' WHEN n IS NULL THEN 'unmapped_chebi' WHEN s.detections > 0 THEN 'measurable' ELSE 'ko_absent' END AS label, s.median, s.detection_rate
@@ -147,17 +148,25 @@ def _number(c: str) -> F.Column:
     return F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint")
 
 
-def _vote1(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) -> DataFrame:
-    b = b or base(spark, sf)
-    c = b.chains
-    n = ad.nodes(spark, sf).where("category = 'Species'")
-    none = F.lit(not empty)
-    return vo.external_vote(c, c.select("taxid").where((F.col("taxid").try_cast("bigint") % 50 == 0) & none), n.select("name").where((_number("id") % 61 == 0) & none), n.select(F.substring_index("name", " ", 1).alias("name")).where((_number("id") % 97 == 0) & none), b.hot)
+def _lists(spark: Spark, sf: str, empty: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(taxa, names, genera, strains by taxon, strains by name): external lists, of the species that three batches loaded and of the strains by layer."""
+    n = ad.nodes(spark, sf).where((F.col("category") == "Species") & F.lit(not empty))
+    strain = n.where("tax_rank = 'strain'")
+    return (
+        n.where("run_batch = 'b01'").select(local_id(F.col("id")).alias("taxid")), n.where("run_batch = 'b02'").select("name"), n.where("run_batch = 'b03'").select(F.substring_index("name", " ", 1).alias("name")),
+        strain.where("knowledge_layer = 'curated'").select(local_id(F.col("id")).alias("taxid")), strain.where("knowledge_layer is null or knowledge_layer <> 'curated'").select("name"),
+    )
 
 
-_V1 = _SCORED + r""", sp AS (SELECT name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM nodes WHERE category = 'Species'),
- v1 AS (SELECT chain_id, max((TRY_CAST(taxid AS BIGINT) % 50 = 0 OR lower(microbe_name) IN (SELECT lower(name) FROM sp WHERE n % 61 = 0) OR (contains(microbe_name, ' ') AND EXISTS (SELECT 1 FROM sp WHERE n % 97 = 0 AND starts_with(lower(microbe_name), lower(split_part(name, ' ', 1)) || ' '))))::INT) AS vote1 FROM
-   (SELECT s.chain_id, m.microbe_name, s.taxid FROM sc s LEFT JOIN (SELECT DISTINCT microbe_id, microbe_name FROM sc) m USING (microbe_id)) GROUP BY chain_id)"""
+def _vote1(spark: Spark, sf: str) -> DataFrame:
+    b = base(spark, sf)
+    return vo.external_vote(b.chains, *_lists(spark, sf)[:3], b.hot)
+
+
+_LISTS = r"""sp AS (SELECT name, regexp_replace(id, '^[^:]*:', '') AS tax, run_batch, tax_rank, knowledge_layer FROM nodes WHERE category = 'Species')"""
+_HIT1 = lambda m: f"SELECT microbe_id FROM {m} WHERE taxid IN (SELECT tax FROM sp WHERE run_batch = 'b01') OR lower(trim(microbe_name)) IN (SELECT lower(trim(name)) FROM sp WHERE run_batch = 'b02') OR (contains(trim(microbe_name), ' ') AND split_part(lower(trim(microbe_name)), ' ', 1) IN (SELECT lower(split_part(name, ' ', 1)) FROM sp WHERE run_batch = 'b03'))"
+_HIT4 = lambda m: f"SELECT microbe_id FROM {m} WHERE taxid IN (SELECT tax FROM sp WHERE tax_rank = 'strain' AND knowledge_layer = 'curated') OR lower(trim(microbe_name)) IN (SELECT lower(trim(name)) FROM sp WHERE tax_rank = 'strain' AND knowledge_layer IS DISTINCT FROM 'curated')"
+_V1 = _SCORED + ", " + _LISTS + ", h1 AS (" + _HIT1("sc") + "), v1 AS (SELECT chain_id, coalesce(microbe_id IN (SELECT microbe_id FROM h1 WHERE microbe_id IS NOT NULL), false)::INT AS vote1 FROM sc)"
 
 
 @REG.query(oracle=sql(_V1 + " SELECT chain_id, coalesce(vote1, 0) AS vote1 FROM v1", "chs", "nodes"))
@@ -165,11 +174,16 @@ def vote1(spark: Spark, sf: str) -> DataFrame:
     return _vote1(spark, sf)
 
 
-def _vote3(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) -> DataFrame:
-    b = b or base(spark, sf)
+def _records(spark: Spark, sf: str, empty: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts by node, counts by name, second source by microbe) of vote 3."""
     by_node, by_name = vo.record_counts(settle(et._buckets(spark, sf).where(F.lit(not empty)), "buckets"), "metabolite", "gene")
     second = ad.edges(spark, sf).where((F.col("predicate") == "increases_abundance_in") & F.col("subject").isNotNull() & F.lit(not empty)).groupBy(F.col("subject").alias("microbe_id")).agg(F.count(F.lit(1)).alias("n"))
-    return vo.evidence_vote(b.chains, by_node, by_name, second, b.hot)
+    return by_node, by_name, second
+
+
+def _vote3(spark: Spark, sf: str) -> DataFrame:
+    b = base(spark, sf)
+    return vo.evidence_vote(b.chains, *_records(spark, sf), b.hot)
 
 
 _V3 = """sides AS (SELECT node_a AS node, metabolite AS name FROM buckets WHERE bucket IN ('confirm', 'extend') UNION ALL SELECT node_b, gene FROM buckets WHERE bucket IN ('confirm', 'extend')),
@@ -184,51 +198,67 @@ def vote3(spark: Spark, sf: str) -> DataFrame:
     return _vote3(spark, sf)
 
 
-def _strain(spark: Spark, sf: str, empty: bool = False, b: Base | None = None) -> DataFrame:
-    b = b or base(spark, sf)
-    n = ad.nodes(spark, sf).where((F.col("tax_rank") == "strain") & F.lit(not empty))
-    half = _number("id") % 2 == 0
-    return vo.strain_available(b.chains, n.where(half).select(local_id(F.col("id")).alias("taxid")), n.where(~half).select("name"), b.hot)
+def _strain(spark: Spark, sf: str) -> DataFrame:
+    b = base(spark, sf)
+    return vo.strain_available(b.chains, *_lists(spark, sf)[3:], b.hot)
 
 
-_V4 = r"""stn AS (SELECT id, name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM nodes WHERE tax_rank = 'strain'),
- st AS (SELECT chain_id, max((m.taxid IN (SELECT regexp_extract(id, '^[^:]*:(.*)$', 1) FROM stn WHERE n % 2 = 0) OR coalesce(lower(m.microbe_name) IN (SELECT lower(name) FROM stn WHERE n % 2 = 1), false))::INT) AS strain FROM sc s LEFT JOIN (SELECT DISTINCT microbe_id, microbe_name, taxid FROM sc) m USING (microbe_id) GROUP BY chain_id)"""
+_V4 = "h4 AS (" + _HIT4("sc") + "), st AS (SELECT chain_id, coalesce(microbe_id IN (SELECT microbe_id FROM h4 WHERE microbe_id IS NOT NULL), false)::INT AS strain FROM sc)"
 
 
-@REG.query(oracle=sql(_SCORED + ", " + _V4 + " SELECT chain_id, coalesce(strain, 0) AS strain FROM st", "chs", "nodes"))
+@REG.query(oracle=sql(_SCORED + ", " + _LISTS + ", " + _V4 + " SELECT chain_id, coalesce(strain, 0) AS strain FROM st", "chs", "nodes"))
 def strain_available(spark: Spark, sf: str) -> DataFrame:
     return _strain(spark, sf)
 
 
-def _steps(spark: Spark, sf: str, b: Base | None = None) -> DataFrame:
-    b = b or base(spark, sf)
-    c = b.chains
+def _steps(spark: Spark, sf: str, c: DataFrame, hot: vo.Hot, keep: tuple[str, ...] = ("chain_id",)) -> DataFrame:
     pairs = c.where("depth = 3").select(F.col("metabolite_id").alias("subject"), F.col("gene_id").alias("object"), F.col("chain_id").alias("edge_id"))
-    snapshot = ad.gene_pathways(spark, sf).where(~F.col("pathway").endswith("3"))
-    return vo.verify_steps(c, ad.edges(spark, sf), pairs, snapshot, b.hot)
+    curated = ad.nodes(spark, sf).where("category = 'Pathway' and knowledge_layer = 'curated'").select(F.col("id").alias("pathway"))
+    return vo.verify_steps(c, ad.edges(spark, sf), pairs, ad.gene_pathways(spark, sf).join(curated, "pathway", "left_semi"), hot, keep)
 
 
 _STEPS = """pr AS (SELECT least(metabolite_id, gene_id) AS p, greatest(metabolite_id, gene_id) AS q, min(chain_id) AS support FROM sc WHERE depth = 3 AND metabolite_id IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
  stp AS (SELECT chain_id, coalesce(e.subject = sc.microbe_id AND e.object = sc.metabolite_id, false)::INT AS step1, (pr.support IS NOT NULL)::INT AS step2, (g.gene IS NOT NULL)::INT AS step3, depth AS total,
    CASE WHEN gene_id IS NULL THEN '' WHEN pr.support IS NOT NULL THEN 'subgraph_edge:' || pr.support ELSE 'curated_only:' || refs END AS step2_support
-  FROM sc LEFT JOIN edges e ON e.edge_id = sc.hop1_edge_id LEFT JOIN pr ON pr.p = least(metabolite_id, gene_id) AND pr.q = greatest(metabolite_id, gene_id) AND gene_id IS NOT NULL AND metabolite_id IS NOT NULL LEFT JOIN (SELECT * FROM gene_pathways WHERE NOT ends_with(pathway, '3')) g ON g.gene = sc.gene_id AND g.pathway = sc.pathway),
+  FROM sc LEFT JOIN edges e ON e.edge_id = sc.hop1_edge_id LEFT JOIN pr ON pr.p = least(metabolite_id, gene_id) AND pr.q = greatest(metabolite_id, gene_id) AND gene_id IS NOT NULL AND metabolite_id IS NOT NULL LEFT JOIN (SELECT * FROM gene_pathways WHERE pathway IN (SELECT id FROM nodes WHERE category = 'Pathway' AND knowledge_layer = 'curated')) g ON g.gene = sc.gene_id AND g.pathway = sc.pathway),
  steps AS (SELECT *, step1 + step2 + step3 AS verified, round((step1 + step2 + step3) / total, 6) AS verified_rate FROM stp)"""
 
 
-@REG.query(oracle=sql(_SCORED + ", " + _STEPS + " SELECT * FROM steps", "gene_pathways", "edges"))
+@REG.query(oracle=sql(_SCORED + ", " + _STEPS + " SELECT * FROM steps", "nodes", "gene_pathways", "edges"))
 def stepwise_verification(spark: Spark, sf: str) -> DataFrame:
-    return _steps(spark, sf)
+    b = base(spark, sf)
+    return _steps(spark, sf, b.chains, b.hot)
 
 
-def _measurable(spark: Spark, sf: str, empty: bool, b: Base) -> DataFrame:
-    c = b.chains.select("chain_id", "metabolite_id")
-    by = co.measurable_in_any(_potential(spark, sf).select(F.col("entity").alias("metabolite_id"), F.col("label").alias("ko_label")).where(F.lit(not empty)), "metabolite_id")
-    return salted_join(c, by, "metabolite_id", "left", F.col("chain_id"), hot=b.hot["metabolite_id"]).select("chain_id", F.coalesce("measurable", F.lit(0)).alias("measurable"))
+def _metabolites(spark: Spark, sf: str, by_node: DataFrame, empty: bool = False) -> DataFrame:
+    """``metabolite_id, nb, measurable, computable``: counted records, whether the potential is measurable in some cohort, and whether anything is mapped at all."""
+    p = _potential(spark, sf).where(F.lit(not empty)).groupBy(F.col("entity").alias("metabolite_id")).agg(F.max((F.col("label") == "measurable").cast("int")).alias("measurable"), F.max((F.col("n_mapped") > 0).cast("int")).alias("computable"))
+    return p.join(by_node.select(F.col("node").alias("metabolite_id"), F.col("n").alias("nb")), "metabolite_id", "full")
+
+
+@dataclass
+class Lookups:
+    """What chains take from their microbes, metabolites and genes; each written once."""
+
+    microbes: DataFrame
+    metabolites: DataFrame
+    genes: DataFrame
+
+    def votes(self, chains: DataFrame, hot: vo.Hot | None = None) -> DataFrame:
+        return vo.score(chains, self.microbes, self.metabolites, self.genes, hot)
+
+
+def lookups(spark: Spark, sf: str, microbes: DataFrame, empty: bool = False) -> Lookups:
+    by_node, by_name, second = _records(spark, sf, empty)
+    by_node = settle(by_node, "by-node")
+    genes = by_name.where("key is not null").select(F.col("key").alias("gene_key"), F.col("n").alias("ng"))
+    return Lookups(settle(vo.microbe_facts(microbes, *_lists(spark, sf, empty), by_node, second), "microbes"), settle(_metabolites(spark, sf, by_node, empty), "metabolites"), settle(genes, "genes"))
 
 
 def _cards(spark: Spark, sf: str, empty: bool = False) -> DataFrame:
     b = base(spark, sf)
-    return vo.assemble_cards(b.chains, _vote1(spark, sf, empty, b), _vote3(spark, sf, empty, b), _measurable(spark, sf, empty, b), _strain(spark, sf, empty, b), _steps(spark, sf, b))
+    scored = lookups(spark, sf, b.chains, empty).votes(b.chains, b.hot)
+    return vo.assemble_cards(_steps(spark, sf, scored, b.hot, tuple(c for c in scored.columns if c != "refs")))
 
 
 _CARDS = (
@@ -266,14 +296,27 @@ def null_control(spark: Spark, sf: str) -> DataFrame:
     return _cards(spark, sf, empty=True).agg(F.count(F.lit(1)).alias("cards"), *[F.sum(v).alias(f"sum_{v}") for v in ("vote1", "vote2", "vote3", "vote4")])
 
 
-@REG.query(oracle=sql("SELECT count(*) AS cards, 0::BIGINT AS wrong_total, 0::BIGINT AS wrong_depth, 0::BIGINT AS out_of_range, count(*) - count(DISTINCT chain_id) AS repeated FROM chs", "chs"))
+@REG.query(oracle=sql("SELECT count(*) AS cards, 0::BIGINT AS wrong_total, 0::BIGINT AS wrong_depth, 0::BIGINT AS out_of_range, count(*) - count(DISTINCT chain_id) AS repeated, 0::BIGINT AS wrong_vote1, 0::BIGINT AS wrong_vote3, 0::BIGINT AS wrong_vote4 FROM chs", "chs"))
 def card_gates(spark: Spark, sf: str) -> DataFrame:
-    """Identities that must hold before any statistic: totals, vote 2 as depth, ranges, one card per chain; all counts but the first are 0."""
-    c = _cards(spark, sf).join(scored_chains(spark, sf).select("chain_id", "depth"), "chain_id")
+    """Identities that must hold before any statistic: totals, vote 2 as depth, ranges, one card per chain, and votes 1, 3 and 4 made again on their own; all counts but the first are 0."""
+    c = _cards(spark, sf)
+    again = _vote1(spark, sf).withColumnRenamed("vote1", "a1").join(_vote3(spark, sf).select("chain_id", F.col("vote3").alias("a3")), "chain_id").join(_strain(spark, sf).withColumnRenamed("strain", "a4"), "chain_id")
+    by = co.measurable_in_any(_potential(spark, sf).select(F.col("entity").alias("metabolite_id"), F.col("label").alias("ko_label")), "metabolite_id").withColumnRenamed("measurable", "am")
+    c = c.join(again, "chain_id", "left").join(by, "metabolite_id", "left").join(scored_chains(spark, sf).select("chain_id", F.col("depth").alias("own_depth")), "chain_id", "left")
     odd = ~F.col("vote1").isin(0, 1) | ~F.col("vote3").isin(0, 1) | ~F.col("vote4").between(0, 2)
+    differs = lambda a, b: F.count_if(~F.col(a).eqNullSafe(b))
     return c.agg(
-        F.count(F.lit(1)).alias("cards"), F.count_if(F.col("votes_total") != F.col("vote1") + F.col("vote2") + F.col("vote3") + F.col("vote4")).alias("wrong_total"), F.count_if(F.col("vote2") != F.col("depth")).alias("wrong_depth"),
-        F.count_if(odd).alias("out_of_range"), (F.count(F.lit(1)) - F.countDistinct("chain_id")).alias("repeated"))
+        F.count(F.lit(1)).alias("cards"), F.count_if(F.col("votes_total") != F.col("vote1") + F.col("vote2") + F.col("vote3") + F.col("vote4")).alias("wrong_total"), differs("vote2", F.col("own_depth")).alias("wrong_depth"),
+        F.count_if(odd).alias("out_of_range"), (F.count(F.lit(1)) - F.countDistinct("chain_id")).alias("repeated"), differs("vote1", F.col("a1")).alias("wrong_vote1"), differs("vote3", F.col("a3")).alias("wrong_vote3"), differs("vote4", F.coalesce("am", F.lit(0)) + F.col("a4")).alias("wrong_vote4"))
+
+
+@REG.query(oracle=sql(_PRESENCE + ", " + _POTENTIAL + " SELECT count(*) AS n_checked, 0::BIGINT AS mismatches FROM ent", "chs"))
+def vote4_crosscheck(spark: Spark, sf: str) -> DataFrame:
+    """The look-up of measurable metabolites, taken from the annotated chains, against the potential made again per metabolite: refused if a metabolite has two flags, mismatches counted."""
+    seen = chain_annotations(spark, sf).join(scored_chains(spark, sf).select("chain_id", "metabolite_id"), "chain_id").groupBy("chain_id", "metabolite_id").agg(F.max((F.col("ko_label") == "measurable").cast("int")).alias("flag"))
+    look = seen.groupBy("metabolite_id").agg(F.min("flag").alias("lo"), F.max("flag").alias("hi"))
+    again = co.measurable_in_any(_potential(spark, sf).select(F.col("entity").alias("metabolite_id"), F.col("label").alias("ko_label")), "metabolite_id")
+    return again.join(look, "metabolite_id", "left").agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("measurable").eqNullSafe(F.col("hi")) | (F.col("lo") != F.col("hi"))).alias("mismatches"))
 
 
 _CF = f""", top AS (SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, chain_id, hop1_edge_id FROM cards ORDER BY {_ORDER} LIMIT 10), rem AS (SELECT DISTINCT hop1_edge_id AS removed_edge FROM top WHERE hop1_edge_id IS NOT NULL),
