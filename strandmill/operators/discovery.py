@@ -72,6 +72,39 @@ def exam(library: DataFrame, first: int) -> DataFrame:
     return library.groupBy("subject", "object").agg(F.min("year").alias("first_year")).where(F.col("first_year") >= first)
 
 
+def exam_sizes(library: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
+    """``cutoff, n_exam``: for each cut-off year the pairs whose first year is later; one pass."""
+    first = library.groupBy("subject", "object").agg(F.min("year").alias("y"))
+    row = first.agg(*[F.count_if(F.col("y") > c).alias(f"n{c}") for c in cutoffs])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"n{c}").alias("n_exam")) for c in cutoffs])).alias("r")).select("r.*")
+
+
+def layer_metrics(own: DataFrame, library: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """One row: pairs of ``own(subject, object, predicates, pmids)`` that ``library(subject, object, alterations, lib_pmids)`` has, direction of those with one polar predicate, pairs that share a PubMed id, and pairs of which the library knows one side with any partner.
+
+    Rates are over all pairs of ``own``. A pair with several polar predicates contradicts itself and is not comparable.
+    """
+    side = lambda c: library.select(c).distinct().withColumn(f"{c}_known", F.lit(1))
+    j = own.join(library.withColumn("hit", F.lit(True)), ["subject", "object"], "left").join(side("subject"), "subject", "left").join(side("object"), "object", "left")
+    want = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v))])
+    j = j.withColumn("hit", F.coalesce("hit", F.lit(False))).withColumn("polar", F.array_intersect("predicates", F.array(*[F.lit(k) for k in expected])))
+    comparable = F.col("hit") & (F.size("polar") == 1)
+    agrees = F.coalesce(F.array_contains("alterations", want[F.get("polar", F.lit(0))]), F.lit(False))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    shared = F.coalesce(F.size(F.array_intersect("pmids", "lib_pmids")) > 0, F.lit(False))
+    return j.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if("hit").alias("matched"), share(F.col("hit")).alias("rate"), F.count_if(comparable).alias("comparable"), F.count_if(comparable & agrees).alias("consistent"), F.count_if(comparable & ~agrees).alias("inconsistent"),
+        F.count_if(F.col("hit") & (F.size("polar") > 1)).alias("self_conflict"), F.count_if(F.col("hit") & shared).alias("shared_pmid"), F.count("subject_known").alias("subject_side"), F.count("object_known").alias("object_side"), share(F.col("subject_known").isNotNull()).alias("subject_rate"), share(F.col("object_known").isNotNull()).alias("object_rate"))
+
+
+def pair_pool(*tables: DataFrame) -> DataFrame:
+    """``subject, object``: the pairs of several tables, each once."""
+    out = tables[0].select("subject", "object")
+    for t in tables[1:]:
+        out = out.union(t.select("subject", "object"))
+    return out.distinct()
+
+
 def time_slice(predicted: DataFrame, exam_pairs: DataFrame, bridged: DataFrame) -> DataFrame:
     """One row: size of the exam, pairs hit as they are, hit through a bridge only, and the verdict.
 
@@ -105,14 +138,20 @@ def nearest_ancestor(own: DataFrame, library: DataFrame, above: DataFrame) -> Da
 
 
 def name_cascade(own: DataFrame, library: DataFrame, parents: DataFrame) -> DataFrame:
-    """``id, target, relation``: by id (exact), by any shared lower-case name (synonym, the smallest id), by direct parent (parent_of), else none. ``library`` has ``id, name``; ``parents`` ``id, parent``."""
+    """``id, target, relation``: by id (exact), by any shared lower-case name (synonym, the smallest id), by direct parent (parent_of), by a direct child (child_of, the smallest id; registered only), else none.
+
+    ``own`` and ``library`` have ``id, name``; ``parents`` has ``id, parent``.
+    """
     ids = own.select("id").distinct()
     lib = library.select(F.col("id").alias("t"), F.lower("name").alias("k")).distinct()
-    exact = ids.join(lib.select(F.col("t").alias("id")).distinct(), "id", "left_semi").withColumn("exact", F.col("id"))
+    known = lib.select("t").distinct()
+    exact = ids.join(known.select(F.col("t").alias("id")), "id", "left_semi").withColumn("exact", F.col("id"))
     synonym = own.select("id", F.lower("name").alias("k")).join(lib.where("k is not null"), "k").groupBy("id").agg(F.min("t").alias("synonym"))
-    parent = parents.join(lib.select(F.col("t").alias("parent")).distinct(), "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
-    j = ids.join(exact, "id", "left").join(synonym, "id", "left").join(parent, "id", "left")
-    return j.select("id", F.coalesce("exact", "synonym", "parent").alias("target"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("synonym").isNotNull(), "synonym").when(F.col("parent").isNotNull(), "parent_of").otherwise("none").alias("relation"))
+    parent = parents.join(known.select(F.col("t").alias("parent")), "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
+    child = parents.where("id <> parent").join(known.select(F.col("t").alias("id")), "id", "left_semi").groupBy(F.col("parent").alias("id")).agg(F.min("id").alias("child"))
+    j = ids.join(exact, "id", "left").join(synonym, "id", "left").join(parent, "id", "left").join(child, "id", "left")
+    relation = F.when(F.col("exact").isNotNull(), "exact").when(F.col("synonym").isNotNull(), "synonym").when(F.col("parent").isNotNull(), "parent_of").when(F.col("child").isNotNull(), "child_of").otherwise("none")
+    return j.select("id", F.coalesce("exact", "synonym", "parent", "child").alias("target"), relation.alias("relation"))
 
 
 def aligned(pairs: DataFrame, library: DataFrame, subject_map: DataFrame, above: DataFrame, caps: Sequence[int] = (0, 1, 2, 3)) -> DataFrame:

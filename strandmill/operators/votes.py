@@ -18,6 +18,9 @@ Hot = dict[str, list[str]]
 COUNTED = ("confirm", "extend")
 RANK = {"votes_total": "desc", "evidence_score": "desc", "borda": "desc", "verified_rate": "desc", "penalty": "asc", "chain_id": "asc"}
 
+#: The order of a delivery pack: the same without the evidence score.
+PACK = {k: v for k, v in RANK.items() if k != "evidence_score"}
+
 
 def pair_key(a: Column, b: Column) -> Column:
     """One text for an undirected pair; null if a side is."""
@@ -185,7 +188,7 @@ def score(chains: DataFrame, microbes: DataFrame, metabolites: DataFrame, genes:
     ``genes`` has ``gene_key, ng``: one row per entity, so that a hot entity's rows are spread and nothing is joined by
     chain. Vote 2 is the depth; vote 4 is measurable plus strain available; ``computable`` counts votes 2 and 4.
     """
-    hot = hot if hot is not None else hot_of(chains)
+    hot = hot if hot is not None else hot_fields(chains, {"microbe_id": F.col("microbe_id"), "metabolite_id": F.col("metabolite_id"), "gene_key": name_key(F.col("gene_name"))})
     c = chains.withColumn("gene_key", name_key(F.col("gene_name")))
     c = salted_join(c, microbes, "microbe_id", "left", F.col("chain_id"), hot=hot["microbe_id"], hint=None)
     c = salted_join(c, metabolites, "metabolite_id", "left", F.col("chain_id"), hot=hot["metabolite_id"], hint=None)

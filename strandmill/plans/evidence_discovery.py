@@ -74,6 +74,13 @@ def exam_pairs(spark: Spark, sf: str) -> DataFrame:
     return _exam(spark, sf)
 
 
+@REG.query(oracle=sql("fy AS (SELECT subject, object, min(y) AS y FROM (SELECT subject, object, unnest(years) AS y FROM edges WHERE source_type = 'curated' AND subject IS NOT NULL AND object IS NOT NULL) GROUP BY 1, 2) SELECT c AS cutoff, count(*) FILTER (WHERE y > c) AS n_exam FROM fy, (SELECT unnest([2012, 2015, 2018]) AS c) GROUP BY c", "edges"))
+def exam_sizes(spark: Spark, sf: str) -> DataFrame:
+    """How large the exam is for each cut-off year: the pairs whose first year is later."""
+    lib = ad.edges(spark, sf).where("source_type = 'curated' and subject is not null and object is not null")
+    return di.exam_sizes(lib.select("subject", "object", F.explode("years").alias("year")), (2012, 2015, 2018))
+
+
 @REG.query(
     oracle=sql(
         _SLICE + """, j AS (SELECT e.*, (e.subject, e.object) IN (SELECT (subject, object) FROM pred WHERE subject IS NOT NULL AND object IS NOT NULL) AS s, EXISTS (SELECT 1 FROM pred p JOIN al USING (subject) WHERE al.alias = e.subject AND p.object = e.object) AS b FROM ex e),
@@ -108,7 +115,8 @@ def tree_ancestors(spark: Spark, sf: str) -> DataFrame:
     return di.ancestors(trees(spark, sf))
 
 
-_OWN = "own AS (SELECT id FROM trees WHERE NOT starts_with(id, 'REG') AND split_part(id, ':', 2)::BIGINT % 3 = 0), lib AS (SELECT id FROM trees WHERE (starts_with(id, 'CUS') AND split_part(id, ':', 2)::BIGINT % 5 = 0) OR (starts_with(id, 'NAT') AND split_part(id, ':', 2)::BIGINT % 2 = 0))"
+# own are all places, the library the customers that ordered and the nations of suppliers
+_OWN = "own AS (SELECT DISTINCT id FROM trees), lib AS (SELECT DISTINCT 'CUS:' || o_custkey AS id FROM orders UNION SELECT DISTINCT 'NAT:' || s_nationkey FROM supplier WHERE s_acctbal < 0)"
 
 
 @REG.query(
@@ -118,32 +126,35 @@ FROM own o LEFT JOIN lib l ON l.id = o.id LEFT JOIN up ON up.id = o.id LEFT JOIN
 )
 def crosswalk_tree(spark: Spark, sf: str) -> DataFrame:
     t = trees(spark, sf)
-    kind, number = F.substring_index("id", ":", 1), F.substring_index("id", ":", -1).cast("bigint")
-    own = t.where((kind != "REG") & (number % 3 == 0))
-    lib = t.where(((kind == "CUS") & (number % 5 == 0)) | ((kind == "NAT") & (number % 2 == 0)))
-    return di.nearest_ancestor(own, lib, di.ancestors(t))
+    ordered = load(spark, sf, "orders").select(F.concat(F.lit("CUS:"), "o_custkey").alias("id"))
+    lib = ordered.union(load(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("NAT:"), "s_nationkey"))).distinct()
+    return di.nearest_ancestor(t, lib, di.ancestors(t))
 
 
-_SPN = "spn AS (SELECT id, name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM nodes WHERE category = 'Species')"
+_SPN = "spn AS (SELECT id, name, TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n, tax_rank, knowledge_layer FROM nodes WHERE category = 'Species')"
 
 
 @REG.query(
     oracle=sql(
-        _SPN + """, own AS (SELECT * FROM spn WHERE n % 2 = 0), lib AS (SELECT * FROM spn WHERE n % 3 = 0), sy AS (SELECT o.id, min(l.id) AS t FROM own o JOIN lib l ON lower(o.name) = lower(l.name) GROUP BY 1), pa AS (SELECT o.id, 'NCBITAXON:' || (n - n % 3) AS t FROM own o WHERE 'NCBITAXON:' || (n - n % 3) IN (SELECT id FROM lib))
-SELECT o.id, coalesce(l.id, sy.t, pa.t) AS target, CASE WHEN l.id IS NOT NULL THEN 'exact' WHEN sy.t IS NOT NULL THEN 'synonym' WHEN pa.t IS NOT NULL THEN 'parent_of' ELSE 'none' END AS relation FROM own o LEFT JOIN lib l ON l.id = o.id LEFT JOIN sy ON sy.id = o.id LEFT JOIN pa ON pa.id = o.id""",
+        _SPN + """, gen AS (SELECT split_part(name, ' ', 1) AS g, min(id) AS t FROM nodes WHERE category = 'Species' AND tax_rank = 'genus' GROUP BY 1), own AS (SELECT id, name FROM nodes WHERE category = 'Species'), lib AS (SELECT id, name FROM nodes WHERE category = 'Species' AND knowledge_layer = 'curated'),
+ sy AS (SELECT o.id, min(l.id) AS t FROM own o JOIN lib l ON lower(o.name) = lower(l.name) GROUP BY 1), pa AS (SELECT o.id, g.t FROM own o JOIN gen g ON g.g = split_part(o.name, ' ', 1) WHERE g.t IN (SELECT id FROM lib)), ch AS (SELECT g.t AS id, min(o.id) AS t FROM own o JOIN gen g ON g.g = split_part(o.name, ' ', 1) WHERE o.id IN (SELECT id FROM lib) AND o.id <> g.t GROUP BY 1)
+SELECT o.id, coalesce(l.id, sy.t, pa.t, ch.t) AS target, CASE WHEN l.id IS NOT NULL THEN 'exact' WHEN sy.t IS NOT NULL THEN 'synonym' WHEN pa.t IS NOT NULL THEN 'parent_of' WHEN ch.t IS NOT NULL THEN 'child_of' ELSE 'none' END AS relation FROM own o LEFT JOIN lib l ON l.id = o.id LEFT JOIN sy ON sy.id = o.id LEFT JOIN pa ON pa.id = o.id LEFT JOIN ch ON ch.id = o.id""",
         "nodes",
     )
 )
 def crosswalk_names(spark: Spark, sf: str) -> DataFrame:
-    s = ad.nodes(spark, sf).where("category = 'Species'").withColumn("n", F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint"))
-    own = s.where("n % 2 = 0")
-    return di.name_cascade(own, s.where("n % 3 = 0"), own.select("id", F.concat(F.lit("NCBITAXON:"), F.col("n") - F.col("n") % 3).alias("parent")))
+    """All species against the curated ones; a genus node is the parent of the species that carry its name."""
+    s = ad.nodes(spark, sf).where("category = 'Species'")
+    genus = F.substring_index("name", " ", 1)
+    genera = s.where("tax_rank = 'genus'").groupBy(genus.alias("g")).agg(F.min("id").alias("parent"))
+    parents = s.select("id", genus.alias("g")).join(genera, "g").select("id", "parent")
+    return di.name_cascade(s, s.where("knowledge_layer = 'curated'"), parents)
 
 
 @REG.query(
-    oracle=f"""WITH {_TREES}, pr AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'CUS:' || o_custkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48),
- lb AS (SELECT DISTINCT 'S' || l_suppkey AS s, CASE WHEN o_custkey % 2 = 0 THEN 'NAT:' || c_nationkey ELSE 'CUS:' || o_custkey END AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity < 6 AND l_suppkey % 3 <> 0),
- mp AS (SELECT DISTINCT s, 'S' || (substr(s, 2)::BIGINT + 1) AS t FROM pr WHERE substr(s, 2)::BIGINT % 3 = 0), up AS (SELECT id, arg_min(ancestor, (dist, ancestor)) AS t, min(dist) AS dist FROM anc WHERE ancestor IN (SELECT o FROM lb) GROUP BY id),
+    oracle=f"""WITH {_TREES}, pr AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'CUS:' || o_custkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'),
+ lb AS (SELECT DISTINCT 'S' || l_suppkey AS s, CASE WHEN l_linestatus = 'F' THEN 'NAT:' || c_nationkey ELSE 'CUS:' || o_custkey END AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)),
+ mp AS (SELECT DISTINCT s, 'S' || (substr(s, 2)::BIGINT + 1) AS t FROM pr), up AS (SELECT id, arg_min(ancestor, (dist, ancestor)) AS t, min(dist) AS dist FROM anc WHERE ancestor IN (SELECT o FROM lb) GROUP BY id),
  e AS (SELECT cap, CASE WHEN pr.s IN (SELECT s FROM lb) THEN pr.s ELSE mp.t END AS t, CASE WHEN pr.o IN (SELECT o FROM lb) THEN pr.o WHEN up.dist <= cap THEN up.t END AS m FROM pr CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS cap) c LEFT JOIN mp ON mp.s = pr.s LEFT JOIN up ON up.id = pr.o),
  g AS (SELECT cap, count(*) AS n, count(lb.s) AS hits FROM e LEFT JOIN lb ON lb.s = e.t AND lb.o = e.m GROUP BY cap)
 SELECT cap, n, hits, round(hits / n, 6) AS rate, round((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS low, round((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS high FROM g"""
@@ -153,11 +164,12 @@ def library_tiers(spark: Spark, sf: str) -> DataFrame:
     line, orders, cust = (load(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     pair = line.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     s = F.concat(F.lit("S"), "l_suppkey").alias("subject")
-    pairs = pair.where("l_quantity >= 48").select(s, F.concat(F.lit("CUS:"), "o_custkey").alias("object")).distinct()
-    low = pair.where("l_quantity < 6 and l_suppkey % 3 <> 0").join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    lib = low.select(s, F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("NAT:"), "c_nationkey")).otherwise(F.concat(F.lit("CUS:"), "o_custkey")).alias("object")).distinct()
+    pairs = pair.where("l_returnflag <> 'R'").select(s, F.concat(F.lit("CUS:"), "o_custkey").alias("object")).distinct()
+    solvent = load(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    low = pair.where("l_returnflag = 'R'").join(solvent, "l_suppkey", "left_semi").join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lib = low.select(s, F.when(F.col("l_linestatus") == "F", F.concat(F.lit("NAT:"), "c_nationkey")).otherwise(F.concat(F.lit("CUS:"), "o_custkey")).alias("object")).distinct()
     n = F.substring("id", 2, 20).cast("bigint")
-    smap = pairs.select(F.col("subject").alias("id")).distinct().where(n % 3 == 0).select("id", F.concat(F.lit("S"), n + 1).alias("target"))
+    smap = pairs.select(F.col("subject").alias("id")).distinct().select("id", F.concat(F.lit("S"), n + 1).alias("target"))
     return di.aligned(settle(pairs, "pairs"), settle(lib, "lib"), smap, di.ancestors(trees(spark, sf)))
 
 
@@ -215,28 +227,29 @@ def retrieval(spark: Spark, sf: str) -> DataFrame:
     return di.retrieval(scores, exam, "k", "confidence")
 
 
-_TAX = _SPN + r""", tn AS (SELECT n::VARCHAR AS taxid, CASE WHEN n % 11 = 0 THEN name || ' (organism)' ELSE name END AS name, CASE WHEN n % 3 = 0 THEN 'synonym' ELSE 'scientific name' END AS name_class FROM spn WHERE n IS NOT NULL UNION SELECT 'g' || split_part(name, ' ', 1), split_part(name, ' ', 1), 'scientific name' FROM spn WHERE n IS NOT NULL),
- tp AS (SELECT n::VARCHAR AS taxid, 'g' || split_part(name, ' ', 1) AS parent, CASE WHEN n % 13 = 0 THEN 'strain' ELSE 'species' END AS rank FROM spn WHERE n IS NOT NULL UNION SELECT 'g' || split_part(name, ' ', 1), CASE WHEN length(name) % 2 = 0 THEN '2' ELSE '33208' END, 'genus' FROM (SELECT min(name) AS name FROM spn GROUP BY split_part(name, ' ', 1))),
- ft AS (SELECT DISTINCT token, name FROM (SELECT 's__' AS token, replace(name, ' ', '_') AS name FROM spn WHERE n % 2 = 0 UNION ALL SELECT 'g__', split_part(name, ' ', 1) FROM spn WHERE n % 7 = 0 UNION ALL SELECT 's__', 'GGB' || n || '_SGB' || n FROM spn WHERE n % 50 = 0 UNION ALL SELECT 's__', split_part(name, ' ', 1) || '_sp_' || n FROM spn WHERE n % 50 = 1)),
+_TAX = _SPN + r""", tn AS (SELECT n::VARCHAR AS taxid, CASE WHEN tax_rank = 'strain' THEN name || ' (organism)' ELSE name END AS name, CASE WHEN knowledge_layer = 'curated' THEN 'synonym' ELSE 'scientific name' END AS name_class FROM spn WHERE n IS NOT NULL UNION SELECT 'g' || split_part(name, ' ', 1), split_part(name, ' ', 1), 'scientific name' FROM spn WHERE n IS NOT NULL),
+ tp AS (SELECT n::VARCHAR AS taxid, 'g' || split_part(name, ' ', 1) AS parent, coalesce(tax_rank, 'species') AS rank FROM spn WHERE n IS NOT NULL UNION SELECT 'g' || split_part(name, ' ', 1), CASE WHEN length(name) % 2 = 0 THEN '2' ELSE '33208' END, 'genus' FROM (SELECT min(name) AS name FROM spn GROUP BY split_part(name, ' ', 1))),
+ ft AS (SELECT DISTINCT token, name FROM (SELECT 's__' AS token, replace(name, ' ', '_') AS name FROM spn UNION ALL SELECT 'g__', split_part(name, ' ', 1) FROM spn UNION ALL SELECT 's__', 'GGB' || n || '_SGB' || n FROM spn WHERE tax_rank = 'strain' UNION ALL SELECT 's__', split_part(name, ' ', 1) || '_sp_' || n FROM spn WHERE tax_rank IS NULL)),
  fk AS (SELECT DISTINCT name, lower(trim(replace(name, '_', ' '))) AS k FROM ft), sci AS (SELECT taxid, lower(trim(replace(name, '_', ' '))) AS f, lower(trim(replace(regexp_replace(name, '\s*\([^)]*\)\s*$', ''), '_', ' '))) AS b FROM tn WHERE name_class = 'scientific name'),
  hits AS (SELECT fk.name, taxid, 1 AS tier FROM fk JOIN sci ON f = k UNION SELECT fk.name, taxid, 2 FROM fk JOIN sci ON b = k WHERE f <> b AND f NOT IN (SELECT k FROM fk) UNION SELECT fk.name, taxid, 3 FROM fk JOIN tn ON lower(trim(replace(tn.name, '_', ' '))) = k WHERE name_class = 'synonym'),
  mt AS (SELECT * FROM hits QUALIFY tier = min(tier) OVER (PARTITION BY name)), scp AS (SELECT taxid, CASE WHEN parent IN ('2', '33208') THEN parent ELSE (SELECT parent FROM tp q WHERE q.taxid = tp.parent) END = '2' AS in_scope FROM tp),
  ad AS (SELECT name, list_distinct(list(CASE WHEN in_scope THEN taxid END) FILTER (WHERE in_scope)) AS scoped FROM mt LEFT JOIN scp USING (taxid) GROUP BY name),
- br AS (SELECT ft.name, ft.token, CASE WHEN regexp_matches(ft.name, '(?i)(^|_)(SGB|GGB|UMGS)[0-9]+(_|$)') THEN 'genome_code' WHEN regexp_matches(lower(ft.name), 'unclassified|unknown|uncultured') THEN 'unclassified' WHEN regexp_matches(lower(ft.name), '(^|[_ ])sp\.?([_ ]|$)') THEN 'sp_ref' WHEN ad.name IS NULL THEN 'name_not_found' WHEN len(coalesce(scoped, [])) = 0 THEN 'kingdom_scope_empty' WHEN len(scoped) > 1 THEN 'duplicate_name'
+ br AS (SELECT ft.name, ft.token, CASE WHEN regexp_matches(ft.name, '(?i)(^|_)(SGB|GGB|UMGS)[0-9]+(_|$)') THEN 'genome_code' WHEN contains(ft.name, '_unclassified') THEN 'unclassified' WHEN contains(ft.name, '_sp_') OR ends_with(ft.name, '_sp') THEN 'sp_ref' WHEN ad.name IS NULL THEN 'name_not_found' WHEN len(coalesce(scoped, [])) = 0 THEN 'kingdom_scope_empty' WHEN len(scoped) > 1 THEN 'duplicate_name'
    WHEN tp.rank IS DISTINCT FROM (CASE WHEN ft.token = 's__' THEN 'species' ELSE 'genus' END) THEN 'rank_mismatch' ELSE 'bridged' END AS status, scoped FROM ft LEFT JOIN ad USING (name) LEFT JOIN tp ON tp.taxid = scoped[1] AND len(scoped) = 1)"""
 
 
 def _taxonomy(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features, names, parents with ranks) made from the species nodes."""
-    s = ad.nodes(spark, sf).where("category = 'Species'").select("name", F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint").alias("n")).where("n is not null")
+    s = ad.nodes(spark, sf).where("category = 'Species'").select("name", F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint").alias("n"), "tax_rank", "knowledge_layer").where("n is not null")
     genus = F.substring_index("name", " ", 1)
-    names = s.select(F.col("n").cast("string").alias("taxid"), F.when(F.col("n") % 11 == 0, F.concat("name", F.lit(" (organism)"))).otherwise(F.col("name")).alias("name"), F.when(F.col("n") % 3 == 0, "synonym").otherwise("scientific name").alias("name_class"))
+    strain, curated = F.coalesce(F.col("tax_rank") == "strain", F.lit(False)), F.coalesce(F.col("knowledge_layer") == "curated", F.lit(False))
+    names = s.select(F.col("n").cast("string").alias("taxid"), F.when(strain, F.concat("name", F.lit(" (organism)"))).otherwise(F.col("name")).alias("name"), F.when(curated, "synonym").otherwise("scientific name").alias("name_class"))
     names = names.union(s.select(F.concat(F.lit("g"), genus), genus, F.lit("scientific name"))).distinct()
     genera = s.groupBy(genus.alias("g")).agg(F.min("name").alias("name"))
-    parents = s.select(F.col("n").cast("string").alias("taxid"), F.concat(F.lit("g"), genus).alias("parent"), F.when(F.col("n") % 13 == 0, "strain").otherwise("species").alias("rank"))
+    parents = s.select(F.col("n").cast("string").alias("taxid"), F.concat(F.lit("g"), genus).alias("parent"), F.coalesce("tax_rank", F.lit("species")).alias("rank"))
     parents = parents.union(genera.select(F.concat(F.lit("g"), "g"), F.when(F.length("name") % 2 == 0, "2").otherwise("33208"), F.lit("genus"))).distinct()
-    lines = s.where("n % 2 = 0").select(F.concat(F.lit("k__x|s__"), F.translate("name", " ", "_")).alias("lineage")).union(s.where("n % 7 = 0").select(F.concat(F.lit("k__x|g__"), genus)))
-    lines = lines.union(s.where("n % 50 = 0").select(F.concat(F.lit("s__GGB"), "n", F.lit("_SGB"), "n"))).union(s.where("n % 50 = 1").select(F.concat(F.lit("s__"), genus, F.lit("_sp_"), "n")))
+    lines = s.select(F.concat(F.lit("k__x|s__"), F.translate("name", " ", "_")).alias("lineage")).union(s.select(F.concat(F.lit("k__x|g__"), genus)))
+    lines = lines.union(s.where("tax_rank = 'strain'").select(F.concat(F.lit("s__GGB"), "n", F.lit("_SGB"), "n"))).union(s.where("tax_rank is null").select(F.concat(F.lit("s__"), genus, F.lit("_sp_"), "n")))
     return na.features_of_lineages(lines).select("token", "name").distinct(), names, parents
 
 
@@ -317,3 +330,32 @@ def graph_arms(spark: Spark, sf: str) -> DataFrame:
     return gf.arms(e.where("source_type = 'curated'"), e.where("source_type = 'llm_extracted'"), ad.nodes(spark, sf))
 
 
+_PAIRS = "ou AS (SELECT subject, object, list_distinct(list(predicate)) AS preds, list_distinct(flatten(list(pmids))) AS pmids FROM edges WHERE source_type = 'llm_extracted' AND subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2), li AS (SELECT subject, object, list_distinct(list(predicate)) AS alts, list_distinct(flatten(list(pmids))) AS lp FROM edges WHERE source_type = 'curated' AND subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2)"
+
+
+def _layers(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = ad.edges(spark, sf).where("subject is not null and object is not null")
+    own = e.where("source_type = 'llm_extracted'").groupBy("subject", "object").agg(F.collect_set("predicate").alias("predicates"), F.array_distinct(F.flatten(F.collect_list("pmids"))).alias("pmids"))
+    lib = e.where("source_type = 'curated'").groupBy("subject", "object").agg(F.collect_set("predicate").alias("alterations"), F.array_distinct(F.flatten(F.collect_list("pmids"))).alias("lib_pmids"))
+    return own, lib
+
+
+@REG.query(
+    oracle=sql(
+        _PAIRS + """, j AS (SELECT ou.*, alts, lp, alts IS NOT NULL AS hit, list_filter(preds, lambda x: x IN ('aggravates', 'alleviates')) AS polar, ou.subject IN (SELECT subject FROM li) AS s_side, ou.object IN (SELECT object FROM li) AS o_side FROM ou LEFT JOIN li ON li.subject = ou.subject AND li.object = ou.object),
+ k AS (SELECT *, hit AND len(polar) = 1 AS cmp, coalesce(list_contains(alts, CASE polar[1] WHEN 'aggravates' THEN 'increases_abundance_in' ELSE 'decreases_abundance_in' END), false) AS ok FROM j)
+SELECT count(*) AS n_pairs, count(*) FILTER (WHERE hit) AS matched, round(avg(hit::INT), 6) AS rate, count(*) FILTER (WHERE cmp) AS comparable, count(*) FILTER (WHERE cmp AND ok) AS consistent, count(*) FILTER (WHERE cmp AND NOT ok) AS inconsistent, count(*) FILTER (WHERE hit AND len(polar) > 1) AS self_conflict,
+ count(*) FILTER (WHERE hit AND len(list_intersect(pmids, lp)) > 0) AS shared_pmid, count(*) FILTER (WHERE s_side) AS subject_side, count(*) FILTER (WHERE o_side) AS object_side, round(avg(s_side::INT), 6) AS subject_rate, round(avg(o_side::INT), 6) AS object_rate FROM k""",
+        "edges",
+    )
+)
+def layer_metrics(spark: Spark, sf: str) -> DataFrame:
+    """Extracted pairs against curated ones: hits, direction, shared PubMed ids, and which side alone is known."""
+    return di.layer_metrics(*_layers(spark, sf), {"aggravates": "increases_abundance_in", "alleviates": "decreases_abundance_in"})
+
+
+@REG.query(oracle=sql(_PAIRS + " SELECT subject, object FROM ou UNION SELECT subject, object FROM li", "edges"))
+def pair_pool(spark: Spark, sf: str) -> DataFrame:
+    """The pairs of both layers together, each once."""
+    own, lib = _layers(spark, sf)
+    return di.pair_pool(own, lib)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -61,17 +62,36 @@ def append_only(df: DataFrame, path: str | Path, columns: Sequence[str], order:
 
 
 def prefix_append(df: DataFrame, path: str | Path, columns: Sequence[str], order: Sequence[str]) -> int:
-    """Keep the bytes of a file and append the sorted rows that it lacks; gives how many were added."""
-    p = Path(path)
-    old = p.read_text(encoding="utf-8").splitlines(keepends=True) if p.exists() else ["\t".join(columns) + "\n"]
-    if old[0].rstrip("\n").split("\t") != list(columns):
-        raise GateError(f"{path}: its columns differ")
-    have = set(old[1:])
-    added = [line for line in list(_lines(df, columns, order))[1:] if line not in have]
-    with open(p, "w", encoding="utf-8", newline="") as f:
-        f.writelines(old)
-        f.writelines(added)
-    return len(added)
+    """Keep the bytes of a file and append the sorted rows that it lacks; gives how many were added.
+
+    The new file is written beside the old one and put in its place at the end, so that a failure leaves the old one.
+    Lines are compared by their hashes; rows come to the driver one partition at a time.
+    """
+    p, tmp = Path(path), Path(f"{path}.part")
+    tmp.parent.mkdir(parents=True, exist_ok=True)
+    have: set[bytes] = set()
+    head = ("\t".join(columns) + "\n").encode("utf-8")
+    digest = lambda line: hashlib.blake2b(line, digest_size=16).digest()
+    added = 0
+    with open(tmp, "wb") as out:
+        if p.exists():
+            with open(p, "rb") as old:
+                if old.readline() != head:
+                    tmp.unlink()
+                    raise GateError(f"{path}: its columns differ")
+                for line in old:
+                    have.add(digest(line))
+            with open(p, "rb") as old:
+                shutil.copyfileobj(old, out)
+        else:
+            out.write(head)
+        for line in _lines(df, columns, order):
+            data = line.encode("utf-8")
+            if data != head and digest(data) not in have:
+                out.write(data)
+                added += 1
+    os.replace(tmp, p)
+    return added
 
 
 def manifest(path: str | Path, **content: Any) -> None:

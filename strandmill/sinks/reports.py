@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.gates import require_same_rows
-from strandmill.operators.votes import rank_order
+from strandmill.operators.votes import PACK, top_cards
 from strandmill.sinks.files import checksums, empty_dir, manifest, write_tsv
 
 DISCLOSURE = ("A ranked hypothesis, not a finding.", "Votes are counts of records; no model was fitted to outcomes.")
@@ -64,14 +64,15 @@ def evidence_sentences(cards: DataFrame, assertions: DataFrame, most: int = 3) -
 def delivery_pack(folder: str | Path, cards: DataFrame, stored_top: DataFrame, assertions: DataFrame, n: int = 100) -> dict[str, str]:
     """A folder with the top table, the details of the ten best, a manifest and checksums.
 
+    The order is that of the pack: by votes, rank sum, verified share, penalty and id, without the evidence score.
     Refused if the ten best of the cards are not those stored before.
     """
     d = empty_dir(folder)
-    best = cards.orderBy(*rank_order()).limit(n)
-    ten = best.orderBy(*rank_order()).limit(10)
+    best = top_cards(cards, n, PACK)
+    ten = best.where("rank <= 10")
     require_same_rows(ten.select("chain_id"), stored_top.select("chain_id"), "the ten best cards differ from the stored list")
-    columns = ["chain_id", "microbe_id", "metabolite_id", "gene_id", "pathway", "votes_total", "evidence_score", "borda", "verified_rate"]
-    write_tsv(best, d / "top.tsv", columns, ["chain_id"])
+    columns = ["rank", "chain_id", "microbe_id", "metabolite_id", "gene_id", "pathway", "votes_total", "evidence_score", "borda", "verified_rate"]
+    write_tsv(best, d / "top.tsv", columns, ["rank"])
     quotes: dict[str, list] = {}
     for r in evidence_sentences(ten, assertions).collect():
         quotes.setdefault(r.edge_id, []).append({"pmid": r.pmid, "sentence": r.sentence})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,24 +31,27 @@ def csv_with_charset(spark: SparkSession, path: str, required: Sequence[str] = (
     taken if they don't decode.
     """
     if fallback:
-        charset = _decodes(path, charset, fallback)
+        charset = _decodes(spark, path, charset, fallback)
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.options(header=True, multiLine=True, encoding=charset, quote='"', escape='"').csv(path)
     return require_columns(df, required, path)
 
 
-def _decodes(path: str, first: str, second: str) -> str:
-    import codecs
+def _decodes(spark: SparkSession, path: str, first: str, second: str) -> str:
+    """``first`` if all bytes of the files decode by it, else ``second``: each file is tried where it is read, on any file system."""
 
-    decoder = codecs.getincrementaldecoder(first)()
-    try:
-        with open(path, "rb") as f:
-            while block := f.read(1 << 20):
-                decoder.decode(block)
-            decoder.decode(b"", True)
-        return first
-    except UnicodeDecodeError:
-        return second
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bad = 0
+            for content in pdf["content"]:
+                try:
+                    bytes(content).decode(first)
+                except UnicodeDecodeError:
+                    bad += 1
+            yield pd.DataFrame({"bad": [bad]})
+
+    bad = spark.read.format("binaryFile").load(path).select("content").mapInPandas(tried, "bad long").agg(F.sum("bad")).first()[0]
+    return second if bad else first
 
 
 ARTICLE = T.StructType(
@@ -128,7 +131,8 @@ def lineages(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 def feature_list(spark: SparkSession, path: str) -> DataFrame:
     """``token, name, family`` of an external finding list; a missing file is an empty list (the empty-evidence arm)."""
-    if "://" not in path and not os.path.exists(path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "token string, name string, family string")
     last = F.element_at(F.split("feature", r"\|"), -1)
     token = F.when(F.substring(last, 1, 3).isin("s__", "g__"), F.substring(last, 1, 3)).otherwise("")

@@ -1,5 +1,5 @@
 """Incremental intake of assertions."""
 
-from strandmill.streaming.intake import intake, merge_batch
+from strandmill.streaming.intake import current, intake, merge_batch
 
-__all__ = ["intake", "merge_batch"]
+__all__ = ["current", "intake", "merge_batch"]
