@@ -25,7 +25,7 @@ def _versions(spark: SparkSession, table: str) -> list[int]:
     if not fs.exists(path):
         return []
     names = [(f.getPath().getName(), fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))) for f in fs.listStatus(path)]
-    return sorted(int(n) for n, whole in names if n.isdigit() and whole)
+    return sorted(int(n.removeprefix("batch=")) for n, whole in names if n.startswith("batch=") and whole)
 
 
 def _bucket(buckets: int) -> Column:
@@ -37,7 +37,7 @@ def current(spark: SparkSession, table: str, before: int | None = None) -> DataF
     done = [v for v in _versions(spark, table) if before is None or v < before]
     if not done:
         return spark.createDataFrame([], f"{EDGE}, bucket int")
-    rows = spark.read.schema(f"{EDGE}, batch bigint, bucket int").option("basePath", table).parquet(*[f"{table}/{v}" for v in done])
+    rows = spark.read.schema(f"{EDGE}, batch bigint, bucket int").parquet(table).where(F.col("batch").isin(done))
     last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
     return rows.join(F.broadcast(last), ["bucket", "batch"], "left_semi").drop("batch")  # one row per bucket
 
@@ -56,7 +56,7 @@ def intake(spark: SparkSession, source: str, table: str, checkpoint: str, latene
         new = batch.withColumn("bucket", _bucket(buckets))
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
         old = current(s, table, number).where(F.col("bucket").isin(touched))
-        merged = merge_batch(old.drop("bucket"), new.drop("bucket")).withColumn("bucket", _bucket(buckets)).withColumn("batch", F.lit(number).cast("bigint"))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/{number}")
+        merged = merge_batch(old.drop("bucket"), new.drop("bucket")).withColumn("bucket", _bucket(buckets))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -44,16 +44,34 @@ def test_ids(spark):
 
 
 def test_text_rules(spark):
-    assert one(spark, ["GGB12_SGB3", "x unclassified", "Bact_sp_1", "Bact good"], text.unnamed_reason) == ["genome_code", "unclassified", "sp_ref", None]
+    names = ["GGB12_SGB3", "x_unclassified", "Bact_sp_1", "Bact_sp", "Bact good", "x unclassified", "Bact_Unclassified", "Bact sp.", "unknown"]
+    assert one(spark, names, text.unnamed_reason) == ["genome_code", "unclassified", "sp_ref", "sp_ref", None, None, None, None, None]
     assert one(spark, ["A b (x) ", "A (b) c"], text.strip_parenthesis) == ["A b", "A (b) c"]
-    marks = lambda c: text.lexicon_marks(c, ["secretes", "induces"], ["linked to"])
-    got = one(spark, ["It induces and is linked to X", "a secret", "LINKED TO y", "induces secretes", None], marks)
-    assert [(g.mark, g.hit_words, g.n_causal_words) for g in got] == [("causal", "induces;linked to", 1), ("none", "", 0), ("correlational", "linked to", 0), ("causal", "secretes;induces", 2), ("none", "", 0)]
-    df = spark.createDataFrame([("produces", "causal"), ("produces", "correlational"), ("affects", "causal"), ("affects", "none"), ("x", "causal")], "p string, m string")
-    assert [r[0] for r in df.select(text.faithfulness(F.col("p"), F.col("m"))).collect()] == ["faithful_causal", "over_read", "under_read", "neutral", "unclassified"]
+    got = one(spark, ["It induces X and is linked to Y", "a secret", "LINKED TO y", "secretes and induces", None, "secretess", "enriched in soil, leads to"], text.lexicon_marks)
+    assert [(g.mark, g.hit_words, g.n_causal_words) for g in got] == [("causal", "induces;linked to", 1), ("causal", "secret", 1), ("correlational", "linked to", 0), ("causal", "induces;secretes", 2), ("none", "", 0), ("none", "", 0), ("causal", "leads to;enriched in", 1)]
+    import hashlib
+
+    assert got[1].sentence_sha16 == hashlib.sha256(b"a secret").hexdigest()[:16]
+    assert len(text.CAUSAL_TRIGGERS) == 26 and len(text.CORRELATIONAL_TRIGGERS) == 10
+    stems = one(spark, ["was increased", "improves", "prevents it", "altered", "nothing", "CAUSING"], lambda c: F.concat_ws(",", F.when(text.matches_stem(text.CAUSAL_STEMS, c), "c"), F.when(text.matches_stem(text.CORRELATION_STEMS, c), "r")))
+    assert stems == ["r", "c", "c", "r", "", "c"]
+    cases = [("produces", "causal", "correct"), ("produces", "correlational", "overread"), ("alleviates", "none", "no_judgement_causal"), ("affects", "causal", "conservative"), (" Consumes ", "correlational", "consistent_conservative"), ("affects", "none", "no_judgement_neutral"), ("promotes_growth", "causal", "unclassified_predicate"), (None, "causal", "unclassified_predicate")]
+    df = spark.createDataFrame(cases, "p string, m string, want string")
+    assert [r[0] for r in df.select(text.faithfulness(F.col("p"), F.col("m"))).collect()] == [c[2] for c in cases]
     assert one(spark, ["subgraph_edge:E1|pmids:1;2", "x"], text.parse_support)[0].pmids == ["1", "2"]
     assert one(spark, ["0", "0.07", None], lambda c: text.p_band(c.cast("double"))) == ["significant", "boundary", None]
     assert one(spark, ["0", None], lambda c: text.shown_p(c.cast("double"))) == ["<1e-300", "na"]
+    z = spark.createDataFrame([(-3.0, 0.01), (3.0, 0.01), (-1.0, 0.07), (0.0, 0.5), (None, 0.5)], "z double, p double")
+    assert [tuple(r) for r in z.select(text.verdict(F.col("z"), F.col("p")), text.direction(F.col("z"))).collect()] == [("closer", "closer"), ("farther", "farther"), ("boundary", "closer"), ("not_significant", "none"), ("na", "na")]
+
+
+def test_faithfulness_audit(spark):
+    a = spark.createDataFrame([("1", "produces"), ("2", "produces"), ("3", "produces"), ("4", "affects")], "assertion_id string, predicate string")
+    m = spark.createDataFrame([("1", "causal"), ("2", "correlational"), ("3", "none"), ("4", "causal")], "assertion_id string, mark string")
+    r = sg.faithfulness_metrics(sg.with_marks(a, m)).first()
+    assert (r.causal_total, r.neutral_total, r.overread_rate, r.direction_agreement, r.with_language_power_rate) == (3, 1, round(1 / 3, 6), 0.5, 0.75)
+    with pytest.raises(GateError):
+        sg.with_marks(a, m.limit(3))
 
 
 def test_gates(spark):
@@ -87,7 +105,7 @@ def test_edge_causality(spark):
     )
     got = {r.edge_id: (r.causality, r.basis) for r in sg.edge_causality(e, a).collect()}
     assert got["E1"] == ("causal", "rule1:action+vote+causal_ev") and got["E2"] == ("correlated", "rule2:corr_ev")
-    assert got["E3"] == ("unclassified", "rule3:missing=vote|causal_ev") and got["E4"] == ("correlated", "rule2:predicate_affects") and got["E5"] == ("unclassified", "rule3:missing=vote|causal_ev")
+    assert got["E3"] == ("unclassified", "rule3:missing=vote") and got["E4"] == ("correlated", "rule2:predicate_affects") and got["E5"] == ("unclassified", "rule3:missing=vote|causal_ev")
 
 
 def test_three_buckets(spark):
@@ -103,14 +121,17 @@ def test_three_buckets(spark):
 
 
 def test_conflict_repair(spark):
+    nodes = spark.createDataFrame([("NCBITAXON:1", "Species"), ("NCBITAXON:2", "Microbe"), ("NCBITAXON:3", "Species"), ("MESH:D003093", "Disease"), ("MESH:X1", "Disease"), ("M:1", "Metabolite")], "id string, category string")
     e = spark.createDataFrame(
-        [("E1", "T1", "aggravates", "D", ["1", "2"]), ("E2", "T1", "aggravates", "D", ["2", "3"]), ("E3", "T1", "alleviates", "D", ["4"]), ("E4", "T2", "aggravates", "D", ["1"]), ("E5", "T2", "alleviates", "D", ["9"]), ("E6", "T3", "aggravates", "D", ["1"]), ("E7", "T1", "affects", "D", ["7"])],
+        [("E1", "NCBITAXON:1", "aggravates", "MESH:D003093", ["1", "2"]), ("E2", "MESH:D003093", "aggravates", "NCBITAXON:1", ["2", "3"]), ("E3", "NCBITAXON:1", "alleviates", "MESH:D003093", ["4"]), ("E4", "NCBITAXON:2", "aggravates", "MESH:D003093", ["1"]), ("E5", "NCBITAXON:2", "alleviates", "MESH:D003093", ["9"]),
+         ("E6", "NCBITAXON:3", "aggravates", "MESH:D003093", ["1"]), ("E7", "NCBITAXON:1", "affects", "MESH:D003093", ["7"]), ("E8", "NCBITAXON:1", "aggravates", "MESH:X1", ["1"]), ("E9", "NCBITAXON:1", "alleviates", "MESH:X1", ["1", "2"]), ("E10", "M:1", "aggravates", "MESH:D003093", ["1"]), ("E11", "M:1", "alleviates", "MESH:D003093", ["1", "2"])],
         "edge_id string, subject string, predicate string, object string, pmids array<string>",
-    )
-    led = {r.subject: (r.pmid_aggravates, r.pmid_alleviates, r.winner, r.action, r.edges_relabeled) for r in rc.conflict_ledger(e).collect()}
-    assert led == {"T1": (3, 1, "aggravates", "loser_relabel", 1), "T2": (1, 1, "unresolved_tie", "tie_both_neutral", 2)}
-    fixed = {r.edge_id: r.predicate for r in rc.repaired(e, rc.conflict_ledger(e)).collect()}
-    assert fixed == {"E1": "aggravates", "E2": "aggravates", "E3": "affects", "E4": "affects", "E5": "affects", "E6": "aggravates", "E7": "affects"}
+    )
+    led = {r.microbe_taxid: (r.disease_mesh, r.pmid_aggravates, r.pmid_alleviates, r.winner, r.action, r.edges_relabeled) for r in rc.conflict_ledger(e, nodes).collect()}
+    assert led == {"1": ("D003093", 3, 1, "aggravates", "loser_relabel", 1), "2": ("D003093", 1, 1, "unresolved_tie", "tie_both_neutral", 2)}
+    fixed = {r.edge_id: r.predicate for r in rc.repaired(e, nodes, rc.conflict_ledger(e, nodes)).collect()}
+    changed = {k: v for k, v in fixed.items() if v != {r.edge_id: r.predicate for r in e.collect()}[k]}
+    assert changed == {"E3": "affects", "E4": "affects", "E5": "affects"} and len(fixed) == 11
 
 
 def test_upsert_and_closure(spark):
@@ -190,18 +211,102 @@ def path_graph(spark):
     return gr.adjacency(spark.createDataFrame(pairs, "subject string, object string"))
 
 
+def of_ids(spark, *x):
+    return spark.createDataFrame([(i,) for i in x], "id string")
+
+
+def comp_of(spark, adj, *more):
+    return gr.components(adj.select(F.col("a").alias("id")).union(of_ids(spark, *more, "nil")).distinct(), adj)
+
+
 def test_distances(spark):
     adj = path_graph(spark)
-    S = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    a, b = S("m1", "m2"), S("t1", "t2")
-    m = gr.distance_metrics(gr.distances(adj, a), a, b, gr.distances(adj, b)).first()
+    a, b = of_ids(spark, "m1", "m2"), of_ids(spark, "t1", "t2")
+    m = gr.distance_metrics(adj, a, b, comp_of(spark, adj)).first()
     assert (m.closest, m.all_pairs, m.inside_a, m.inside_b, m.separation) == (1.5, 3.0, 1.0, 3.0, -0.5)
-    lone = S("m1", "nowhere")
-    m = gr.distance_metrics(gr.distances(adj, lone), lone, b, gr.distances(adj, b)).first()
-    assert m.closest is None and m.unreachable == 0.5
+    lone = of_ids(spark, "m1", "nowhere")
+    m = gr.distance_metrics(adj, lone, b, comp_of(spark, adj, "nowhere")).first()
+    assert m.closest is None and m.unreachable == 0.5 and m.inside_a is None
     assert rows(gr.nearest(adj, b)) == [("m1", 1), ("m2", 2), ("t1", 0), ("t2", 0), ("x", 1), ("x2", 1)]
 
 
+def brute_distances(pairs):
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    out = {}
+    for s in near:
+        seen, level = {s: 0}, [s]
+        while level:
+            level = [v for u in level for v in near[u] if v not in seen and not seen.update({v: seen[u] + 1})]
+        out[s] = seen
+    return out
+
+
+def test_searches_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    pairs = [(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(45)]
+    pairs = [(x, y) for x, y in pairs if x != y]
+    want = brute_distances(pairs)
+    adj = gr.adjacency(spark.createDataFrame(pairs, "subject string, object string"))
+    ids = sorted(want)
+    slots = [(x, k if k < 5 else k + 1100) for k, x in enumerate(ids)]  # two blocks
+    bits = gr.waves(adj, spark.createDataFrame(slots, "id string, slot long"))
+    got = {}
+    for r in bits.collect():
+        for x, k in slots:
+            if k // gr.BLOCK == r.block and r.bits[k % gr.BLOCK // 64] >> (k % 64) & 1:
+                assert (x, r.node) not in got
+                got[x, r.node] = r.dist
+    assert got == {(x, y): d for x in want for y, d in want[x].items()}
+    assert {(r.src, r.node): r.dist for r in gr.distances(adj, of_ids(spark, *ids[:7])).collect()} == {(x, y): d for x in ids[:7] for y, d in want[x].items()}
+    members = ids[::3]
+    other = {x: min((d for y, d in want[x].items() if y in members and y != x), default=None) for x in members}
+    assert {r.id: r.dist for r in gr.nearest_other(adj, of_ids(spark, *members)).collect()} == {x: d for x, d in other.items() if d is not None}
+    tally = {}
+    for x in ids[:9]:
+        for y in members:
+            d = want[x].get(y)
+            tally[d] = tally.get(d, 0) + 1
+    assert {r.dist: r.n for r in gr.distance_tally(adj, of_ids(spark, *ids[:9]), of_ids(spark, *members)).collect()} == tally
+    asked = [(ids[k], ids[-k - 1]) for k in range(10)]
+    found = {(r.a_id, r.b_id): r.dist for r in gr.pair_distances(adj, spark.createDataFrame(asked, "a_id string, b_id string")).collect()}
+    assert found == {(x, y): want[x][y] for x, y in asked if y in want[x]}
+
+
+def test_long_path_is_searched_to_its_end(spark):
+    e = spark.createDataFrame([(f"p{i:03}", f"p{i + 1:03}") for i in range(80)], "subject string, object string")
+    adj = gr.adjacency(e).cache()
+    far = gr.nearest(adj, of_ids(spark, "p000"))
+    assert far.count() == 81 and far.agg(F.max("dist")).first()[0] == 80
+    assert {r.component for r in gr.components(adj.select(F.col("a").alias("id")).distinct(), adj).collect()} == {"p000"}
+
+
+def test_chain_null_and_uniform_null(spark):
+    pairs = [("a0", "b0")] + [(f"a{i}", f"b{(i * 3) % 8}") for i in range(8)] + [(f"b{i}", f"b{(i + 1) % 8}") for i in range(8)]
+    want = brute_distances(pairs)
+    adj = gr.adjacency(spark.createDataFrame(pairs, "subject string, object string"))
+    nodes = spark.createDataFrame([(x, x[0].upper()) for x in sorted(want)], "id string, category string")
+    d = gr.degrees(nodes, adj)
+    pool = gr.pools(d, gr.degree_bins(d, "category"), True)
+    asked = [("a1", "b5"), ("a2", "b2"), ("a1", "b5")]
+    got = {(r.a_id, r.b_id): r for r in gr.chain_null(adj, spark.createDataFrame(asked, "a_id string, b_id string"), pool, 200, 7).collect()}
+    assert len(got) == 2
+    for (x, y), r in got.items():
+        assert r.d_obs == want[x][y] and r.n_used == 200 and r.n_unreachable == 0 and 0 < r.p <= 1 and r.null_mean > 0
+    u = gr.uniform_null(adj, nodes, 150, 3).first()
+    assert u.n == 150 and u.tries >= 150 and u.sd > 0
+    again = gr.uniform_null(adj, nodes.repartition(3), 150, 3).first()
+    assert tuple(u) == tuple(again)
+    p = gr.permutation_null(adj, of_ids(spark, "a1", "a2"), of_ids(spark, "b1", "b6"), pool, 100, 3).first()
+    assert p.n + p.unreachable == 100 and p.observed == (min(want["a1"]["b1"], want["a1"]["b6"]) + min(want["a2"]["b1"], want["a2"]["b6"])) / 2
+    with pytest.raises(GateError):
+        gr.permutation_null(adj, of_ids(spark, "stranger"), of_ids(spark, "b1"), pool, 10, 3)
+
+
 def test_read_modes(spark):
     adj = path_graph(spark)
     cards = spark.createDataFrame([("m1", "t1"), ("m2", "t2"), ("lone", "t2"), (None, "t1")], "m string, t string")
@@ -213,28 +318,26 @@ def test_read_modes_hold_all_chains_first(spark):
     import __spark_entry__ as entry
 
     sf = "/root/testdata/sf0.001"
-    got = entry.queries()["read_modes_cards"](spark, sf).collect()
+    got = entry.queries()["read_modes"](spark, sf).collect()
     chains = spark.read.parquet(f"{sf}/chains.parquet").agg(F.countDistinct("microbe_id"), F.countDistinct("metabolite_id")).first()
     assert [r["mode"] for r in got] == ["all", "top10", "top100"] and tuple(got[0])[1:3] == tuple(chains)
     best = entry.queries()["top_cards_by_votes"](spark, sf).join(spark.read.parquet(f"{sf}/chains.parquet"), "chain_id").agg(F.countDistinct("microbe_id"), F.countDistinct("metabolite_id")).first()
     assert tuple(got[2])[1:3] == tuple(best)
 
 
-def test_distances_start_at_every_disease(spark):
+def test_null_model_uses_a_thousand_permutations(spark):
     import __spark_entry__ as entry
 
-    sf = "/root/testdata/sf0.001"
-    table = spark.read.parquet(f"{sf}/merged_nodes.parquet").where("category = 'Disease'").select("id").distinct()
-    degree = entry.queries()["degree"](spark, sf).where("degree > 0").join(table, "id", "left_semi")
-    assert rows(entry.queries()["bfs_distances_whole"](spark, sf).select("src").distinct()) == rows(degree, "id")
+    r = entry.queries()["perm_null_closest"](spark, "/root/testdata/sf0.001").first()
+    assert r.n + r.unreachable == 1000
 
 
-def test_null_models_use_a_thousand_permutations(spark):
-    import __spark_entry__ as entry
+def test_no_modulus_thins_a_table():
+    import pathlib
 
-    for name in ("perm_null_closest_whole", "uniform_null_closest_whole"):
-        r = entry.queries()[name](spark, "/root/testdata/sf0.001").first()
-        assert r.n + r.unreachable == 1000
+    for p in (pathlib.Path(gr.__file__).parent.parent / "plans").glob("*.py"):
+        for line in p.read_text().splitlines():
+            assert not ("where(" in line and "% " in line and "== 0" in line), (p.name, line)
 
 
 def test_components_and_bins(spark):
@@ -288,7 +391,12 @@ def test_statistics(spark):
     assert (w.w_plus, w.w_minus, w.tie, w.n) == (4.0, 6.0, 24, 4)
     w = f([0, 0])
     assert (w.n, w.z, w.r) == (0, 0.0, 0.0)
-    assert abs(stats.two_sided_p(1.96) - 0.05) < 1e-3
+    import math
+
+    zs = [0.0, 0.3, 1.0, 1.96, 2.575, 3.4, 3.6, 5.0, 8.0, 20.0, -1.96, 37.0]
+    ps = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(stats.two_sided(F.col("z"))).collect()]
+    assert all(math.isclose(p, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-8) for z, p in zip(zs, ps))
+    assert math.isclose(f([1, -2, 3, 4, -5, 6]).p, math.erfc(abs(f([1, -2, 3, 4, -5, 6]).z) / math.sqrt(2)), rel_tol=1e-4)
     a, b = spark.createDataFrame([(0,), (0,), (1,), (1,)], "v int"), spark.createDataFrame([(1,), (1,), (2,), (2,)], "v int")
     assert stats.overlap_coefficient(a, b, "v").first().ovl == 0.5 and stats.overlap_coefficient(a, b.limit(0), "v").first().ovl is None
     r = spark.range(1).select(stats.wilson(F.lit(54), F.lit(534)).alias("w")).first().w
@@ -298,11 +406,14 @@ def test_statistics(spark):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([(0.9, 0.9), (0.6, 0.9), (0.9, 0.4), (None, 1.0)], "m double, v double")
-    assert [r[0] for r in df.select(stats.calibration(F.col("m"), F.col("v"))).collect()] == ["calibrated", "collapsed", "collapsed", "undetermined"]
+    cases = [(0.5, 0.01, 0.9, 0.9), (-0.5, 0.01, 0.5, 0.9), (0.1, 0.2, 0.6, 0.9), (0.1, 0.2, 0.9, 0.4), (0.1, 0.2, 0.7, 0.5), (0.1, None, 0.9, 0.9)]
+    df = spark.createDataFrame(cases, "d double, p double, c double, v double")
+    assert [r[0] for r in df.select(stats.discriminator(F.col("d"), F.col("p"), F.col("c"), F.col("v"))).collect()] == ["not_applicable", "not_applicable_reversed", "weak_ruler", "weak_ruler", "no_path_information", "no_path_information"]
+    c = spark.createDataFrame([("D003093", True, ["C23.1"]), ("D003093", True, ["C01"]), ("D003093", False, None), ("X1", True, None), (None, True, None)], "a string, s boolean, p array<string>")
+    assert [r[0] for r in c.select(text.snapshot_class(F.col("a"), F.col("s"), F.col("p"))).collect()] == ["signs_symptoms_C23", "disease_other", "outside_snapshot", "malformed_id", "malformed_id"]
     z = spark.createDataFrame([(1.0, 2.0), (1.0, -2.0), (None, 1.0), (0.0, 1.0)], "a double, b double")
     assert [r[0] for r in z.select(gr.consistent(F.col("a"), F.col("b"))).collect()] == ["consistent", "opposite", "undetermined", "undetermined"]
-    t = spark.createDataFrame([(["C23.5"],), (["C2", "C231"],), ([],), (None,)], "p array<string>")
+    t = spark.createDataFrame([(["C23.5"],), (["C2", "C01"],), ([],), (None,)], "p array<string>")
     assert [r[0] for r in t.select(text.tree_class(F.col("p"))).collect()] == ["signs_symptoms", "disease_other", "no_tree_number", "no_tree_number"]
     null = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     assert null.agg(stats.empirical_p(F.col("v"), F.lit(1.5))).first()[0] == 0.5
@@ -360,7 +471,7 @@ def test_empty_tables_give_empty_results(spark):
     e = spark.createDataFrame([], "edge_id string, subject string, predicate string, object string, polarity string, pmids array<string>, years array<int>, support_count long, confidence double")
     n = spark.createDataFrame([], "id string, name string, category string")
     assert gr.components(n, gr.adjacency(e)).count() == 0
-    assert rc.conflict_ledger(e).count() == 0 and di.candidates(e, n, ["D"], ["M"], ["S"]).count() == 0
+    assert rc.conflict_ledger(e, n).count() == 0 and di.candidates(e, n, ["D"], ["M"], ["S"]).count() == 0
     assert gr.distances(gr.adjacency(e), n).count() == 0 and sg.khop_nodes(e, n, 2).count() == 0
     assert stats.wilcoxon(spark.createDataFrame([], "d double")).first().n == 0
     assert di.year_coverage(e).first().full == 0
