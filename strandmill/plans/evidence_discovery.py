@@ -175,14 +175,14 @@ def library_tiers(spark: Spark, sf: str) -> DataFrame:
 
 @REG.query(
     oracle=sql(
-        """pp AS (SELECT TRY_CAST(regexp_extract(subject, '([0-9]+)$', 1) AS BIGINT) % 40 AS s, object AS o, list_distinct(list(predicate)) AS preds FROM edges WHERE subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2),
+        """pp AS (SELECT subject AS s, object AS o, list_distinct(list(predicate)) AS preds FROM edges WHERE subject IS NOT NULL AND object IS NOT NULL GROUP BY 1, 2),
  k AS (SELECT list_filter(preds, lambda x: x IN ('aggravates', 'alleviates')) AS polar, list_contains(preds, 'increases_abundance_in') AS inc, list_contains(preds, 'decreases_abundance_in') AS de FROM pp)
 SELECT count(*) AS n, count(*) FILTER (WHERE len(polar) = 1) AS comparable, count(*) FILTER (WHERE len(polar) = 1 AND ((polar[1] = 'aggravates' AND inc) OR (polar[1] = 'alleviates' AND de))) AS consistent, count(*) FILTER (WHERE len(polar) > 1) AS self_conflict FROM k""",
         "edges",
     )
 )
 def direction_agreement(spark: Spark, sf: str) -> DataFrame:
-    e = ad.edges(spark, sf).where("subject is not null and object is not null").groupBy((F.regexp_extract("subject", "([0-9]+)$", 1).try_cast("bigint") % 40).alias("s"), "object").agg(F.collect_set("predicate").alias("predicates"))
+    e = ad.edges(spark, sf).where("subject is not null and object is not null").groupBy("subject", "object").agg(F.collect_set("predicate").alias("predicates"))
     return di.direction_agreement(e.withColumn("alterations", F.col("predicates")), {"aggravates": "increases_abundance_in", "alleviates": "decreases_abundance_in"})
 
 
