@@ -225,28 +225,28 @@ def likely(texts: list[np.ndarray], items: list[np.ndarray], shifts: list[list[i
 
     Every passage has them on its own diagonal. An edited copy has them if each of its parts holds a seed.
     """
+    longest = max(map(len, items))
+    gap = np.zeros(longest, dtype=np.uint64)  # around each text, so that every diagonal stays within; no unit has the code 0 or 1
     of: dict[int, int] = {}
-    parts, offsets, n = [], [], 0
+    parts, offsets, n = [gap], [], longest
     for t in texts:
         if id(t) not in of:
             of[id(t)] = n
-            parts.append(t)
-            n += len(t)
+            parts += (t, gap)
+            n += len(t) + longest
         offsets.append(of[id(t)])
     flat = np.concatenate(parts)
-    longest = max(map(len, items))
-    own = np.zeros((len(items), longest), dtype=np.uint64)
+    own = np.ones((len(items), longest), dtype=np.uint64)
     for k, item in enumerate(items):
         own[k, : len(item)] = item
     counts = np.fromiter(map(len, shifts), dtype=np.int64, count=len(shifts))
     which = np.repeat(np.arange(len(shifts)), counts)
-    at = np.concatenate([np.asarray(s, dtype=np.int64) for s in shifts])[:, None] + np.arange(longest)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))[which, None]
-    sizes = np.fromiter(map(len, items), dtype=np.int64, count=len(items))[which, None]
-    inside = (at >= 0) & (at < lengths) & (np.arange(longest) < sizes)
-    same = inside & (flat[np.where(inside, at + np.asarray(offsets, dtype=np.int64)[which, None], 0)] == own[which])
+    begin = np.fromiter((s + o for o, group in zip(offsets, shifts) for s in group), dtype=np.int64, count=int(counts.sum()))
+    same = flat.take(begin[:, None] + np.arange(longest)) == own.take(which, axis=0)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    sums = np.cumsum(np.pad(np.logical_or.reduceat(same, first, axis=0), ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    united = np.logical_or.reduceat(same, first, axis=0) if len(which) > len(counts) else same
+    sums = np.zeros((len(counts), longest + 1), dtype=np.int32)
+    np.cumsum(united, axis=1, out=sums[:, 1:])
     return (sums[:, rule.least :] - sums[:, : -rule.least]).max(axis=1) >= rule.close
 
 
