@@ -38,25 +38,29 @@ def wilcoxon(differences: DataFrame, d: str = "d") -> DataFrame:
     """One row of the paired signed-rank test by its normal approximation: n, w_plus, w_minus, tie, z, two-sided p, r.
 
     Zeros and nulls are dropped; ties get middle ranks. The ranks come from a histogram of |d| and its running sum,
-    which many tasks make. No difference at all, or no variance, gives z = 0, p = 1 and r = 0.
+    which many tasks make. No difference at all, or no variance, gives z = 0, p = 1 and r = 0. Cubes of ties are summed
+    as decimals, as two million equal differences leave the range of a long integer; ``tie`` is a long and is refused
+    beyond it, where it is asked for.
     """
     h = differences.where(F.col(d).isNotNull() & (F.col(d) != 0)).groupBy(F.abs(d).alias("a")).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(d) > 0).cast("long")).alias("up"))
     ranked = running(h, [], [F.col("a").asc()], F.col("t"), "below").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
+    wide = F.col("t").cast("decimal(19,0)")
+    cubed = (wide * wide * wide).cast("decimal(38,0)")
     s = ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.col("rank") * (F.col("t") - F.col("up"))), F.lit(0.0)).alias("w_minus"),
-        F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).alias("tie"),
+        F.coalesce(F.sum(cubed - F.col("t")), F.lit(0)).alias("tie"),
     )
     n = F.col("n").cast("double")
     total = n * (n + 1) / 2
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie").cast("double") / 48
     dev = F.col("w_plus") - total / 2
     sign = F.when(dev < 0, -1.0).otherwise(1.0)
     z = F.when((n > 0) & (var > 0), (dev - sign * 0.5) / F.sqrt(var)).otherwise(0.0)
     r = F.when((n > 0) & (var > 0), (F.col("w_plus") - F.col("w_minus")) / total).otherwise(0.0)
     s = s.withColumn("z", z).withColumn("r", r)
-    return s.select("n", "w_plus", "w_minus", "tie", F.round("z", 6).alias("z"), F.round(F.when(F.col("n") > 0, two_sided(F.col("z"))).otherwise(1.0), 9).alias("p"), F.round("r", 6).alias("r"))
+    return s.select("n", "w_plus", "w_minus", F.col("tie").cast("bigint").alias("tie"), F.round("z", 6).alias("z"), F.round(F.when(F.col("n") > 0, two_sided(F.col("z"))).otherwise(1.0), 9).alias("p"), F.round("r", 6).alias("r"))
 
 
 def empirical_p(null: Column, observed: Column) -> Column:

@@ -1,7 +1,11 @@
 """What is moved, and what stays right, when tables are large or their keys are shared by many."""
 
+import math
 import uuid
 
+from pyspark.sql import functions as F
+
+from strandmill.functions import stats
 from strandmill.operators import chains as ch
 from strandmill.session import settle
 
@@ -39,3 +43,11 @@ def test_shares_are_counted_without_making_chains(spark):
     assert shuffled_rows(spark, lambda: out.update(s=rows(ch.shares_of_hops(*hops, 3), "metabolite_id", "n", "share"))) < 5_000
     assert out["s"] == rows(ch.metabolite_shares(ch.assemble(*hops), 3), "metabolite_id", "n", "share")
     assert [x[:2] for x in out["s"]] == [("M0", 60000), ("M1", 300), ("M2", 5)]
+
+
+def test_signed_ranks_of_millions_of_ties(spark):
+    n = 3_000_000  # their cube is beyond a long integer
+    d = spark.range(n).select(F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0).alias("d"))
+    got = stats.wilcoxon(d).select("z", "p", "r").first()
+    var, dev = n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48, n * (n + 1) / 6 / 2
+    assert math.isclose(got.z, (dev - 0.5) / math.sqrt(var), rel_tol=1e-6) and got.p == 0 and math.isclose(got.r, 1 / 3, rel_tol=1e-5)
