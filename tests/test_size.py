@@ -37,6 +37,17 @@ def fanned_hops(spark, edges=300, genes=100):
     return hop1, hop2, hop3
 
 
+def test_assembly_shuffles_hops_and_not_chains(spark, monkeypatch):
+    hops = fanned_hops(spark)
+    out = {}
+    moved = shuffled_rows(spark, lambda: out.update(c=settle(ch.assemble(*hops))))
+    assert moved < 10_000 and out["c"].count() == out["c"].select("chain_id").distinct().count() == 300 * 200 + 300 + 5
+    monkeypatch.setattr(ch, "BLOCK_CHAINS", 500)  # 121 blocks of the first metabolite
+    cut = ch.assemble(*hops)
+    assert cut.exceptAll(out["c"]).isEmpty() and out["c"].exceptAll(cut).isEmpty()
+    assert rows(cut.groupBy("hop_terminus").count(), "hop_terminus", "count") == [("gene", 300), ("metabolite", 5), ("pathway", 60000)]
+
+
 def test_shares_are_counted_without_making_chains(spark):
     hops = fanned_hops(spark)
     out = {}
