@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +64,12 @@ def degree_bins(degree_table: DataFrame, by: str | None = None, least: int = MIN
 def distances(adj: DataFrame, sources: DataFrame) -> DataFrame:
     """``src, node, dist``: steps from each source to each node it reaches; unreached nodes have no row.
 
-    All sources advance together, one level per round, until a level is empty. A neighbour of a node at distance k is at
-    k - 1, k or k + 1, so that a round only looks at the last two levels.
+    A graph that a task can hold is searched in memory, and the pairs go out as they are found. Else all sources advance
+    together, one level per round, until a level is empty. A neighbour of a node at distance k is at k - 1, k or k + 1, so
+    that a round only looks at the last two levels.
     """
+    if (graph := held_graph(adj)) is not None:
+        return graph.distances(sources)
     levels = Levels(adj.sparkSession, "bfs")
     last = levels.write(0, sources.select(F.col("id").alias("src"), F.col("id").alias("node")).distinct())
     before, hop = last.limit(0), 0
@@ -328,6 +336,114 @@ def uniform_null(adj: DataFrame, nodes: DataFrame, n_perm: int, seed: int) -> Da
     return first.agg(F.round(F.avg("dist"), 6).alias("mean"), sd.alias("sd"), F.count("dist").alias("n"), (F.coalesce(F.max("k"), F.lit(-1)) + 1).alias("tries"))
 
 
+#: A graph of so many directed edges at most is given to every task (some 12 bytes an edge); a larger one is searched by joins.
+HELD_EDGES = 8_000_000
+
+
+class HeldGraph:
+    """A graph as neighbour lists in arrays, broadcast; 64 sources are searched together, as bits of a word for each node."""
+
+    def __init__(self, adj: DataFrame):
+        self.spark = adj.sparkSession
+        self.nodes = settle(slots_of(adj.select(F.col("a").alias("id"))), "nodes")
+        end = lambda c, n: self.nodes.select(F.col("id").alias(c), F.col("slot").cast("int").alias(n))
+        pairs = adj.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y").toArrow()
+        x, y = pairs["x"].to_numpy(), pairs["y"].to_numpy()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 if not len(x) else 0))[:-1]]).astype(np.int64)
+        self.lists = self.spark.sparkContext.broadcast((starts, y[np.argsort(x, kind="stable")].astype(np.int32)))
+
+    def _tasks(self, groups: int) -> int:
+        return max(1, min(groups, 8 * self.spark.sparkContext.defaultParallelism))
+
+    def distances(self, sources: DataFrame) -> DataFrame:
+        """``src, node, dist``, as ``distances`` says; a source outside the graph reaches itself."""
+        ids = sources.select("id").distinct()
+        own = ids.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist"))
+        names = self.nodes.orderBy("slot").select("id").toArrow()["id"].combine_chunks()
+        lists, names = self.lists, self.spark.sparkContext.broadcast(names)
+        placed = slots_of(ids.join(self.nodes.select("id"), "id", "left_semi")).withColumnRenamed("slot", "k").join(self.nodes, "id")
+
+        def found(key: tuple, rows: pa.Table) -> pa.Table:
+            start, label = rows["slot"].to_numpy(), names.value
+            src, node, dist = [], [], []
+            for level, new in _levels(*lists.value, start):
+                if level:
+                    at = np.flatnonzero(new)
+                    for bit in range(len(start)):
+                        hit = at[(new[at] >> np.uint64(bit)) & np.uint64(1) == 1]
+                        src.append(np.full(len(hit), start[bit], np.int64))
+                        node.append(hit)
+                        dist.append(np.full(len(hit), level, np.int32))
+            for s, n, d in zip(src, node, dist):
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([label.take(pa.array(s)), label.take(pa.array(n)), pa.array(d)], names=["src", "node", "dist"])
+
+        def run(batches):
+            held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+            if held is not None and held.num_rows:
+                groups = held["g"].to_numpy()
+                for g in np.unique(groups):
+                    yield from found(g, held.filter(pa.array(groups == g)))
+
+        groups = math.ceil((placed.count() or 1) / 64)
+        rows = placed.withColumn("g", F.expr("k div 64")).select("g", "slot").repartition(self._tasks(groups), "g")
+        return own.unionByName(rows.mapInArrow(run, "src string, node string, dist int"))
+
+    def asked(self, pairs: DataFrame) -> DataFrame:
+        """``a_id, b_id, dist`` of the different ``pairs`` that have a path; a group of sources ends when all its pairs are found."""
+        p = settle(pairs.select("a_id", "b_id").where("a_id is not null and b_id is not null").distinct(), "asked")
+        n = p.agg(F.countDistinct("a_id").alias("a"), F.countDistinct("b_id").alias("b")).first()
+        source, target = ("a_id", "b_id") if n.a <= n.b else ("b_id", "a_id")
+        far = p.where("a_id <> b_id")
+        k = settle(slots_of(far.select(F.col(source).alias("id")).join(self.nodes.select("id"), "id", "left_semi")), "k")
+        at = lambda c, name: self.nodes.select(F.col("id").alias(c), F.col("slot").alias(name))
+        rows = far.join(k.select(F.col("id").alias(source), F.expr("slot div 64").alias("g")), source).join(at(source, "s"), source).join(at(target, "t"), target).select("a_id", "b_id", "g", "s", "t")
+        lists = self.lists
+
+        def run(batches):
+            held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+            if held is None or not held.num_rows:
+                return
+            groups = held["g"].to_numpy()
+            for g in np.unique(groups):
+                own = held.filter(pa.array(groups == g))
+                start, bit = np.unique(own["s"].to_numpy(), return_inverse=True)
+                t, dist = own["t"].to_numpy(), np.full(own.num_rows, -1, np.int32)
+                for level, new in _levels(*lists.value, start):
+                    dist[(new[t] >> bit.astype(np.uint64)) & np.uint64(1) == 1] = level
+                    if (dist >= 0).all():
+                        break
+                own = own.select(["a_id", "b_id"]).append_column("dist", pa.array(dist)).filter(pa.array(dist >= 0))
+                yield from own.combine_chunks().to_batches()
+
+        groups = math.ceil((k.count() or 1) / 64)
+        out = rows.repartition(self._tasks(groups), "g").mapInArrow(run, "a_id string, b_id string, dist int")
+        return p.where("a_id = b_id").withColumn("dist", F.lit(0)).unionByName(out)
+
+
+def _levels(starts: np.ndarray, ends: np.ndarray, sources: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distance and, for each node, the bits of the up to 64 different ``sources`` that are so far away; from 0 until a level is empty."""
+    new = np.zeros(len(starts), np.uint64)
+    new[sources] = np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+    seen, level = new.copy(), 0
+    while new.any():
+        yield level, new
+        new = np.bitwise_or.reduceat(new[ends], starts) & ~seen  # every node of the graph has a neighbour
+        seen |= new
+        level += 1
+
+
+def held_graph(adj: DataFrame) -> HeldGraph | None:
+    """The graph in arrays, or None if it has more than ``HELD_EDGES`` directed edges."""
+    return HeldGraph(adj) if 0 < adj.count() <= HELD_EDGES else None
+
+
+def asked_distances(adj: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a_id, b_id, dist`` of the different pairs ``(a_id, b_id)`` that have a path, searched from their ends only."""
+    graph = held_graph(adj)
+    return graph.asked(pairs) if graph is not None else pair_distances(adj, pairs)
+
+
 def pair_distances(adj: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a_id, b_id, dist`` of the different pairs ``(a_id, b_id)`` that have a path; the b side is searched from, as bits."""
     p = pairs.select("a_id", "b_id").where("a_id is not null and b_id is not null").distinct()
