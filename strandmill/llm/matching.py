@@ -46,8 +46,9 @@ FEATURES = ("stem", "prefix", "registry_a", "registry_b", "partner")
 BLOCKS = ((0, 1), (2,), (3,), (4,))
 #: Similarities are compared in steps of 1 / STEPS, beliefs of a class in steps of 1 / LEVELS, so that equal evidence is counted once.
 STEPS, LEVELS = 20, 10
-#: A name or number that more entities have identifies none by itself; it counts together with a partner.
-CROWD = 100
+#: None: a name or number leads to every entity that has it, however many those are. A number here is a rule of the
+#: caller's: what more entities have identifies none by itself and counts together with a partner only.
+CROWD: int | None = None
 MOST_ROUNDS = 500
 
 
@@ -314,6 +315,11 @@ def _alike(plain: Column, prefix: Column, stem: Column, e_plain: Column, e_prefi
     return F.when(plain.isNotNull() & e_plain.isNotNull(), F.struct((s + p).alias("sum"), s.alias("stem"), p.alias("prefix")))
 
 
+def _alone() -> Column:
+    """Whether a name or number leads to its entities by itself."""
+    return F.lit(True) if CROWD is None else F.col("holders") <= CROWD
+
+
 class _Evidence:
     """The tables from which candidates and their similarities are made; each is written once."""
 
@@ -332,7 +338,7 @@ class _Evidence:
         numbers = self.facts.where("kind in ('a', 'b')").select("entity", "kind", F.concat_ws("|", "kind", "value").alias("key"))
         self.numbers = settle(numbers.join(crowd(numbers, "key"), "key"), "numbers")
         self.holders = settle(self.spelled.select("e_plain", "entity").join(crowd(self.spelled, "e_plain"), "e_plain"), "holders")
-        has = lambda k: F.max(((F.col("kind") == k) & (F.col("holders") <= CROWD)).cast("int")).alias(f"has_{k}")
+        has = lambda k: F.max(((F.col("kind") == k) & _alone()).cast("int")).alias(f"has_{k}")
         known = self.numbers.groupBy("entity").agg(has("a"), has("b"))
         self.entities = settle(usual.join(known, "entity", "full").select("entity", "u", F.coalesce("has_a", F.lit(0)).alias("has_a"), F.coalesce("has_b", F.lit(0)).alias("has_b")), "entities")
         self.partners = self.facts.where("kind = 'partner'").select(F.concat_ws("|", "entity", "value").alias("pair"), "entity", F.col("value").alias("partner"))
@@ -351,7 +357,7 @@ class _Evidence:
         forms = self.spelled.select("e_plain", "e_prefix", "e_stem").distinct()
         scored = near.join(self.plains, "plain").join(forms, "e_plain")
         scored = settle(scored.select("plain", "e_plain", _alike(*map(F.col, ("plain", "prefix", "stem", "e_plain", "e_prefix", "e_stem"))).alias("near")), "near")
-        alone = F.col("holders") <= CROWD
+        alone = _alone()
         named = scored.join(self.holders.where(alone), "e_plain").groupBy("plain", "entity").agg(F.max("near").alias("near"))
         none = F.lit(0)
         out = salted_join(self.profiles.select("profile", "plain").where("plain is not null"), named, "plain", "inner", F.col("profile"), hot=self.hot).select("profile", "entity", "near", none.alias("hit_a"), none.alias("hit_b"))
@@ -361,13 +367,19 @@ class _Evidence:
         no_name = F.lit(None).cast("struct<sum:double,stem:double,prefix:double>").alias("near")
         by_number = salted_join(mine.select("profile", "key"), self.numbers.where(alone).select("key", "entity", "kind"), "key", "inner", F.col("profile"))
         out = out.unionByName(by_number.select("profile", "entity", no_name, hit("a"), hit("b")))
+        if CROWD is None:
+            return self._best(out)
         if not (crowded := self.numbers.where(~alone)).isEmpty():
             out = out.unionByName(self._beside_partner(mine, crowded.select("key", "entity")).select("profile", "entity", no_name, none.alias("hit_a"), none.alias("hit_b")))
         if not (crowded := self.holders.where(~alone)).isEmpty():
             met = scored.join(crowded.select("e_plain").distinct(), "e_plain", "left_semi")
             left = salted_join(self.profiles.select("profile", "plain", "partners").where("plain is not null"), met, "plain", "inner", F.col("profile"), hot=self.hot).select("profile", "partners", F.col("e_plain").alias("key"), "near")
             out = out.unionByName(self._beside_partner(left, crowded.select(F.col("e_plain").alias("key"), "entity")).select("profile", "entity", "near", none.alias("hit_a"), none.alias("hit_b")))
-        return out.groupBy("profile", "entity").agg(F.max("near").alias("near"), F.max("hit_a").alias("hit_a"), F.max("hit_b").alias("hit_b"))
+        return self._best(out)
+
+    @staticmethod
+    def _best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("profile", "entity").agg(F.max("near").alias("near"), F.max("hit_a").alias("hit_a"), F.max("hit_b").alias("hit_b"))
 
     def similarities(self, pairs: DataFrame) -> DataFrame:
         """``profile, entity, key, n, cls``: the pattern of similarities of each pair of ``candidates``; ``cls`` is the plain name of the record."""
@@ -454,7 +466,7 @@ def match(records: DataFrame, entities: DataFrame, rc: Columns, ec: Columns, thr
     Records with equal attributes get equal answers; of equally likely entities the smaller id is taken. Repeated rows
     of either table change nothing but the counts the mixture is fitted to. Empty tables give no rows. The mixture is
     fitted again each time the bounds of transitivity have moved; a warning tells if they still move after ``most`` fits.
-    A number that over ``CROWD`` entities share counts as missing, and it or such a name makes candidates only with a partner in common.
+    Every entity that has a record's number or name is a candidate, unless ``CROWD`` sets a rule for what many share.
     """
     rows = records.select(
         F.col(f"`{rc.key}`").alias("key"),

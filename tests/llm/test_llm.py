@@ -176,6 +176,17 @@ def test_records_of_one_name_are_matched_alike(spark):
     assert got[200] == subs[5][0] and 201 not in got and all(got[i] == m for i, (m, *_) in enumerate(subs))
 
 
+def test_keys_of_many_entities_lead_to_all_of_them(spark):
+    ec = M.Columns("metabolite_id", "metabolite_name", "chebi", "kegg", "gene", "symbol")
+    chains = [(f"M{i}", "placeholdername" if i < 120 else f"name{i}x", "CHEBI:99999" if i >= 20 else None, None, f"NCBIGene:{i}", None) for i in range(140)]
+    c = spark.createDataFrame(chains, "metabolite_id string, metabolite_name string, chebi string, kegg string, gene string, symbol string")
+    rows_ = spark.createDataFrame([("500", None, ["99999"], [], ["i70"]), ("501", "placeholdername", [], [], [])], "profile string, name string, a array<string>, b array<string>, partners array<string>")
+    found = M._Evidence(rows_, c, ec)
+    pairs = {(x.profile, x.entity): x.hit_a for x in found.candidates().collect()}
+    assert pairs == {("500", f"M{i}"): 1 for i in range(20, 140)} | {("501", f"M{i}"): 0 for i in range(120)}
+    assert found.entities.where("has_a = 1").count() == 120
+
+
 def test_crowded_keys_need_a_partner(spark, monkeypatch):
     monkeypatch.setattr(M, "CROWD", 5)
     rc, ec = M.Columns("row_index", "metabolite", "chebi", "kegg", "gene_id", "gene"), M.Columns("metabolite_id", "metabolite_name", "chebi", "kegg", "gene", "symbol")
