@@ -459,9 +459,10 @@ def _looked_up(asked: DataFrame, wave: DataFrame) -> DataFrame:
 def chain_null(adj: DataFrame, pairs: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
     """``a_id, b_id, d_obs, null_mean, null_sd, z, p, n_used, n_unreachable`` for each different pair: its distance against that of degree-matched pairs.
 
-    Both ends are drawn anew ``n_perm`` times from their category and degree bin; the distances of all nodes of the ends'
-    pools are searched once, so that a permutation is a look-up. Chains with the same ends share a row. A pair that isn't
-    connected has no z; draws without a path are counted and left out.
+    Both ends are drawn anew ``n_perm`` times from their category and degree bin; the distances of the pairs drawn are
+    searched together, from the side with fewer different ends, so that a pool's other nodes are never searched from.
+    Chains with the same ends share a row. A pair that isn't connected has no z; draws without a path are counted and
+    left out.
     """
     p = settle(pairs.select("a_id", "b_id").where("a_id is not null and b_id is not null").distinct(), "pairs")
     ends = pool.select("id", "category", "bin", "pos", "size")
@@ -477,14 +478,10 @@ def chain_null(adj: DataFrame, pairs: DataFrame, pool: DataFrame, n_perm: int, s
     j = j.withColumn("da", draw("a")).withColumn("db", draw("b"))
     members = pool.select("category", "bin", F.col("pos"), "id")
     pick = lambda t: members.select(F.col("category").alias(f"c{t}"), F.col("bin").alias(f"b{t}"), F.col("pos").alias(f"d{t}"), F.col("id").alias(f"n{t}"))
-    used = p.join(side("b_id", "b"), "b_id").select(F.col("cb").alias("category"), F.col("bb").alias("bin")).distinct()
-    slot = settle(slots_of(pool.join(used, ["category", "bin"], "left_semi").select("id")), "slots")
-    wave = settle(waves(adj, slot), "wave")
-    at = slot.select(F.col("id").alias("nb"), "slot")
-    drawn_ = j.join(pick("a"), ["ca", "ba", "da"]).join(pick("b"), ["cb", "bb", "db"]).join(at, "nb").select("a_id", "b_id", "perm", "na", "slot", F.expr(f"slot div {BLOCK}").alias("block"))
-    d = drawn_.join(wave.withColumnRenamed("node", "na"), ["na", "block"]).where(reached_by(F.col("slot")))
-    own = p.join(slot.withColumnRenamed("id", "b_id"), "b_id").withColumn("block", F.expr(f"slot div {BLOCK}"))
-    obs = _looked_up(own, wave).withColumnRenamed("dist", "d_obs")
+    drawn_ = settle(j.join(pick("a"), ["ca", "ba", "da"]).join(pick("b"), ["cb", "bb", "db"]).select("a_id", "b_id", "perm", "na", "nb"), "drawn")
+    found = settle(asked_distances(adj, drawn_.select(F.col("na").alias("a_id"), F.col("nb").alias("b_id")).unionByName(p)), "found")
+    d = drawn_.join(found.select(F.col("a_id").alias("na"), F.col("b_id").alias("nb"), "dist"), ["na", "nb"])
+    obs = p.join(found, ["a_id", "b_id"]).withColumnRenamed("dist", "d_obs")
     j = d.join(obs, ["a_id", "b_id"], "left").groupBy("a_id", "b_id").agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("sd"), F.count(F.lit(1)).alias("n_used"), F.sum((F.col("dist") <= F.col("d_obs")).cast("long")).alias("below"))
     out = p.join(obs, ["a_id", "b_id"], "left").join(j, ["a_id", "b_id"], "left")
     n, there = F.coalesce("n_used", F.lit(0)), F.col("d_obs").isNotNull()

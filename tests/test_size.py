@@ -83,3 +83,18 @@ def test_held_graph_searches_as_joins_do(spark, monkeypatch):
     monkeypatch.setattr(gr, "HELD_EDGES", 0)
     assert held == (rows(gr.distances(adj, sources), "src", "node", "dist"), rows(gr.asked_distances(adj, asked), "a_id", "b_id", "dist"))
     assert len(held[0]) > moved  # pairs are not shuffled
+
+
+def test_chain_null_searches_from_drawn_ends_only(spark, monkeypatch):
+    pairs = [(f"a{i}", f"b{i % 40}") for i in range(200)] + [(f"b{i}", f"b{i + 1}") for i in range(39)]
+    adj = settle(gr.adjacency(spark.createDataFrame(pairs, "subject string, object string")), "adj")
+    nodes = spark.createDataFrame([(x, x[0].upper()) for x in sorted({y for p in pairs for y in p})], "id string, category string")
+    d = gr.degrees(nodes, adj)
+    pool = gr.pools(d, gr.degree_bins(d, "category"), True)
+    asked = spark.createDataFrame([("b5", "a7")], "a_id string, b_id string")
+    held = rows(gr.chain_null(adj, asked, pool, 6, 7), "a_id", "b_id", "d_obs", "null_mean", "null_sd", "z", "p", "n_used")
+    sources = []
+    monkeypatch.setattr(gr, "HELD_EDGES", 0)
+    monkeypatch.setattr(gr, "waves", lambda a, s, f=gr.waves: (sources.append(s.count()), f(a, s))[1])
+    assert rows(gr.chain_null(adj, asked, pool, 6, 7), "a_id", "b_id", "d_obs", "null_mean", "null_sd", "z", "p", "n_used") == held
+    assert sum(sources) <= 7  # six draws and the pair itself, not the pool of 200
