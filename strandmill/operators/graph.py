@@ -64,7 +64,7 @@ def degree_bins(degree_table: DataFrame, by: str | None = None, least: int = MIN
 def distances(adj: DataFrame, sources: DataFrame) -> DataFrame:
     """``src, node, dist``: steps from each source to each node it reaches; unreached nodes have no row.
 
-    A graph that a task can hold is searched in memory, and the pairs go out as they are found. Else all sources advance
+    A graph that a task can hold is searched in memory, and its pairs go out in an order that packs well. Else all sources advance
     together, one level per round, until a level is empty. A neighbour of a node at distance k is at k - 1, k or k + 1, so
     that a round only looks at the last two levels.
     """
@@ -338,6 +338,10 @@ def uniform_null(adj: DataFrame, nodes: DataFrame, n_perm: int, seed: int) -> Da
 
 #: A graph of so many directed edges at most is given to every task (some 12 bytes an edge); a larger one is searched by joins.
 HELD_EDGES = 8_000_000
+#: Bytes of a task's distances while it searches from a group of sources; groups whose sources share an array of names.
+HELD_BYTES, GROUPS = 2**27, 64
+#: Nodes of a range, and ranges of a file: so many names fit the dictionary of a parquet file.
+RANGE, RANGES = 4096, 4
 
 
 class HeldGraph:
@@ -356,38 +360,64 @@ class HeldGraph:
         return max(1, min(groups, 8 * self.spark.sparkContext.defaultParallelism))
 
     def distances(self, sources: DataFrame) -> DataFrame:
-        """``src, node, dist``, as ``distances`` says; a source outside the graph reaches itself."""
-        ids = sources.select("id").distinct()
+        """``src, node, dist``, as ``distances`` says; a source outside the graph reaches itself.
+
+        Up to 64 sources are searched together. Their distances go packed, a few bits for a pair, to the tasks that have
+        a range of nodes each, and pairs are made only there: node by node, the sources always in the same order. A file
+        then holds few different nodes in long runs and repeats its sources, and takes a tenth of pairs by source or less.
+        """
+        ids = settle(sources.select("id").distinct(), "ids")
         own = ids.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist"))
-        names = self.nodes.orderBy("slot").select("id").toArrow()["id"].combine_chunks()
-        lists, names = self.lists, self.spark.sparkContext.broadcast(names)
-        placed = slots_of(ids.join(self.nodes.select("id"), "id", "left_semi")).withColumnRenamed("slot", "k").join(self.nodes, "id")
-
-        def found(key: tuple, rows: pa.Table) -> pa.Table:
-            start, label = rows["slot"].to_numpy(), names.value
-            src, node, dist = [], [], []
-            for level, new in _levels(*lists.value, start):
-                if level:
-                    at = np.flatnonzero(new)
-                    for bit in range(len(start)):
-                        hit = at[(new[at] >> np.uint64(bit)) & np.uint64(1) == 1]
-                        src.append(np.full(len(hit), start[bit], np.int64))
-                        node.append(hit)
-                        dist.append(np.full(len(hit), level, np.int32))
-            for s, n, d in zip(src, node, dist):
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([label.take(pa.array(s)), label.take(pa.array(n)), pa.array(d)], names=["src", "node", "dist"])
+        n, lists = len(self.lists.value[0]), self.lists
+        names = self.spark.sparkContext.broadcast(self.nodes.orderBy("slot").select("id").toArrow()["id"].combine_chunks())
+        width, size, share = max(1, min(64, HELD_BYTES // n)), RANGE, GROUPS
+        placed = settle(slots_of(ids.join(self.nodes.select("id"), "id", "left_semi")).withColumnRenamed("slot", "k").join(self.nodes, "id"), "sources")
+        part = F.expr(f"cast(k div {width * share} as int)").alias("part")
 
-        def run(batches):
+        def search(batches):
             held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
             if held is not None and held.num_rows:
                 groups = held["g"].to_numpy()
                 for g in np.unique(groups):
-                    yield from found(g, held.filter(pa.array(groups == g)))
-
-        groups = math.ceil((placed.count() or 1) / 64)
-        rows = placed.withColumn("g", F.expr("k div 64")).select("g", "slot").repartition(self._tasks(groups), "g")
-        return own.unionByName(rows.mapInArrow(run, "src string, node string, dist int"))
+                    own = held.filter(pa.array(groups == g)).sort_by("k")
+                    dist = _packed(*lists.value, own["slot"].to_numpy(), size)
+                    for lo in range(0, n, size):
+                        if (block := dist[lo : lo + size]).any():
+                            yield pa.RecordBatch.from_pydict({"part": pa.array([g // share], pa.int32()), "r": pa.array([lo // size], pa.int32()), "first": pa.array([g % share * width], pa.int32()), "item": pa.array([block.itemsize], pa.int32()), "sources": pa.array([block.shape[1]], pa.int32()), "packed": pa.array([pa.compress(block.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+        def pairs(key: tuple[int, int], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            lo, label = key[1] * size, names.value
+            count = min(size, n - lo)
+            blocks = [np.frombuffer(pa.decompress(x["packed"], count * x["sources"] * x["item"], "zstd", asbytes=True), np.uint8 if x["item"] == 1 else np.int32).reshape(count, -1) for x in rows]
+            at, dist = np.concatenate([x["first"] + np.arange(x["sources"], dtype=np.int64) for x in rows]) << 32, np.hstack(blocks)
+            order = np.argsort((dist != 0).argmax(axis=1), kind="stable")  # nodes of a component together: they have the same sources
+            step = max(1, 2**20 // len(at))
+            for i in range(0, count, step):
+                some = dist[order[i : i + step]]
+                row, col = np.nonzero(some)
+                if len(row):
+                    node, start = np.unique(row, return_index=True)
+                    v = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)), pa.int32()), pa.array(at[col] + some[row, col]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key[0], np.int32)), label.take(pa.array(lo + order[i + node])), v], names=["part", "node", "v"])
+
+        def meet(batches):
+            key, held = None, []
+            for row in (x for b in batches for x in b.to_pylist()):
+                if (row["part"], row["r"]) != key:
+                    if held:
+                        yield from pairs(key, held)
+                    key, held = (row["part"], row["r"]), []
+                held.append(row)
+            if held:
+                yield from pairs(key, held)
+
+        groups = math.ceil((placed.count() or 1) / width)
+        found = placed.withColumn("g", F.expr(f"cast(k div {width} as int)")).select("g", "k", "slot").repartition(self._tasks(groups), "g").mapInArrow(search, "part int, r int, first int, item int, sources int, packed binary")
+        files = math.ceil(math.ceil(n / size) * math.ceil(groups / share) / RANGES)  # a number that is asked for is left alone: their input is small, their output isn't
+        met = found.repartition(files, "part", "r").sortWithinPartitions("part", "r", "first").mapInArrow(meet, "part int, node string, v array<bigint>")
+        called = placed.groupBy(part).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("names"))
+        v = met.join(F.broadcast(called), "part").select("node", "names", F.explode("v").alias("v"))
+        return own.unionByName(v.select(F.expr("get(names, cast(shiftright(v, 32) as int))").alias("src"), "node", F.expr("cast(v & 4294967295L as int)").alias("dist")))
 
     def asked(self, pairs: DataFrame) -> DataFrame:
         """``a_id, b_id, dist`` of the different ``pairs`` that have a path; a group of sources ends when all its pairs are found."""
@@ -433,6 +463,19 @@ def _levels(starts: np.ndarray, ends: np.ndarray, sources: np.ndarray) -> Iterat
         level += 1
 
 
+def _packed(starts: np.ndarray, ends: np.ndarray, sources: np.ndarray, step: int) -> np.ndarray:
+    """The distance of each node (rows) to each source (columns), 0 for none and for itself; a byte each, or four if any is over 255."""
+    dist = np.zeros((len(starts), len(sources)), np.uint8)
+    for level, new in _levels(starts, ends, sources):
+        if level == 256:
+            dist = dist.astype(np.int32)
+        for lo in range(0, len(new), step) if level else ():
+            if (some := new[lo : lo + step]).any():
+                bits = np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                dist[lo : lo + step] += bits[:, : len(sources)] * dist.dtype.type(level)  # each bit is set at one level only
+    return dist
+
+
 def held_graph(adj: DataFrame) -> HeldGraph | None:
     """The graph in arrays, or None if it has more than ``HELD_EDGES`` directed edges."""
     return HeldGraph(adj) if 0 < adj.count() <= HELD_EDGES else None

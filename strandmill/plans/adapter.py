@@ -9,6 +9,7 @@ from strandmill.functions.ids import name_key, norm_id, trimmed
 from strandmill.plans.registry import load
 
 PMID = "([0-9]{5,})"
+EDGE = ("subject", "predicate", "object", "polarity", "evidence_tier", "source_type", "source_id", "relation_status", "pmids", "years", "support_count", "confidence", "added_at")
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,14 +21,18 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per edge id, the one retrieved last, with normalised ends and the PubMed ids as a sorted array."""
+def edges(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One row per edge id, the one retrieved last, with normalised ends and the PubMed ids as a sorted array.
+
+    ``columns`` may name those that are wanted besides ``edge_id``; no other is read or shuffled.
+    """
     rows = load(spark, sf, "merged_edges").where("edge_id is not null")
-    keep = F.struct(
-        norm_id(F.col("subject")).alias("subject"), F.col("predicate"), norm_id(F.col("object")).alias("object"), "polarity", "evidence_tier", "source_type", "source_id", "relation_status",
-        F.array_sort(F.array_distinct(F.coalesce(F.regexp_extract_all("pmids", F.lit(PMID)), F.array().cast("array<string>")))).alias("pmids"),
-        F.coalesce(F.transform("pub_years", lambda y: y.cast("int")), F.array().cast("array<int>")).alias("years"), "support_count", "confidence", "added_at",
-    )
+    own = {
+        "subject": norm_id(F.col("subject")), "object": norm_id(F.col("object")),
+        "pmids": F.array_sort(F.array_distinct(F.coalesce(F.regexp_extract_all("pmids", F.lit(PMID)), F.array().cast("array<string>")))),
+        "years": F.coalesce(F.transform("pub_years", lambda y: y.cast("int")), F.array().cast("array<int>")),
+    }
+    keep = F.struct(*[own.get(c, F.col(c)).alias(c) for c in columns or EDGE])
     return rows.groupBy("edge_id").agg(F.max_by(keep, "retrieved_at").alias("e")).select("edge_id", "e.*")
 
 

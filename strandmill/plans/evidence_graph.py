@@ -30,7 +30,7 @@ _ADJ = """adj AS (SELECT subject AS a, object AS b FROM edges WHERE subject IS N
 
 
 def _adj(spark: Spark, sf: str) -> DataFrame:
-    return settle(gr.adjacency(ad.edges(spark, sf)), "adj")
+    return settle(gr.adjacency(ad.edges(spark, sf, "subject", "object")), "adj")
 
 
 def _degrees(spark: Spark, sf: str, adj: DataFrame | None = None) -> DataFrame:

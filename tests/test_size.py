@@ -2,6 +2,7 @@
 
 import contextlib
 import math
+import os
 import random
 import uuid
 
@@ -85,6 +86,30 @@ def test_held_graph_searches_as_joins_do(spark, monkeypatch):
     assert len(held[0]) > moved  # pairs are not shuffled
 
 
+def test_held_distances_take_little_space(spark):
+    rng = random.Random(7)
+    pairs = {(f"{c}NODE:{i:07}", f"{c}NODE:{rng.randint(0, 2999):07}") for c in "AB" for i in range(3000) for _ in range(2)}
+    adj = settle(gr.adjacency(spark.createDataFrame(sorted(pairs), "subject string, object string")), "adj")
+    sources = spark.createDataFrame([(f"{c}NODE:{i:07}",) for c in "AB" for i in range(100)], "id string")
+    out = settle(gr.distances(adj, sources), "pairs")
+    folder = out._settled_at.removeprefix("file://")
+    size = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet"))
+    assert out.count() > 500_000 and size < out.count()  # some 2 bytes a pair where pairs are written by source
+
+
+def test_held_search_in_small_ranges_and_over_long_paths(spark, monkeypatch):
+    n = 300  # a path that is longer than a byte can say, and a pair apart
+    edges = [(f"p{i:03}", f"p{i + 1:03}") for i in range(n)] + [("x", "y")]
+    adj = settle(gr.adjacency(spark.createDataFrame(edges, "subject string, object string")), "adj")
+    sources = [*range(0, n, 9), n]
+    monkeypatch.setattr(gr, "HELD_BYTES", 4 * (n + 3))  # four sources at once
+    monkeypatch.setattr(gr, "GROUPS", 2)
+    monkeypatch.setattr(gr, "RANGE", 64)
+    got = rows(gr.distances(adj, spark.createDataFrame([(f"p{i:03}",) for i in sources] + [("y",), ("away",)], "id string")), "src", "node", "dist")
+    want = [(f"p{i:03}", f"p{j:03}", abs(i - j)) for i in sources for j in range(n + 1)] + [("y", "x", 1), ("y", "y", 0), ("away", "away", 0)]
+    assert got == sorted(want, key=repr)
+
+
 def test_chain_null_searches_from_drawn_ends_only(spark, monkeypatch):
     pairs = [(f"a{i}", f"b{i % 40}") for i in range(200)] + [(f"b{i}", f"b{i + 1}") for i in range(39)]
     adj = settle(gr.adjacency(spark.createDataFrame(pairs, "subject string, object string")), "adj")
