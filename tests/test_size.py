@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from strandmill.functions import stats
 from strandmill.operators import chains as ch
 from strandmill.operators import graph as gr
+from strandmill.plans import adapter as ad
+from strandmill.plans import evidence_tables as et
 from strandmill.session import settle
 
 
@@ -56,6 +58,17 @@ def test_assembly_shuffles_hops_and_not_chains(spark, monkeypatch):
     assert rows(cut.groupBy("hop_terminus").count(), "hop_terminus", "count") == [("gene", 300), ("metabolite", 5), ("pathway", 60000)]
 
 
+def test_hops_read_and_move_their_columns_only(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    first, _, third = et._built_hops(spark, sf)
+    assert "predicate" in plan(first) and not any(c in plan(first) for c in ("pmids", "confidence", "pub_years"))
+    assert "hop3_pathway" in plan(third) and not any(c in plan(third) for c in ("microbe_name", "metabolite_chebi", "hop1_edge_id"))
+    for table, some in ((ad.edges, ["subject", "pmids"]), (ad.chains, ["metabolite_name", "depth"])):
+        few = table(spark, sf, *some)
+        assert few.count() == table(spark, sf).count() and few.exceptAll(table(spark, sf).select(*few.columns)).isEmpty()
+
+
 def test_shares_are_counted_without_making_chains(spark):
     hops = fanned_hops(spark)
     out = {}
